@@ -1,0 +1 @@
+"""tillroll.streaming."""
