@@ -13,9 +13,11 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 
 from tillroll.operators import reports as R
+from tillroll.operators import writes as W
 from tillroll.plans.oracle_sql import PARAMS as P
-from tillroll.sources.requests import load_order_requests, load_refund_requests
-from tillroll.sources.starmap import load_star
+from tillroll.sources.requests import (brand_pairs, inactive_type_pairs, load_order_requests,
+                                       load_refund_requests, new_category_rows)
+from tillroll.sources.starmap import load_star, raw_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,5 +79,71 @@ REPORT_QUERIES: dict[str, Query] = {
 }
 
 
+def _write(make, pick) -> Query:
+    """A registered view of one output of a write operator."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return pick(make(spark, sf_dir))
+    return run
+
+
+def _shipped(spark, sf_dir):
+    return W.mark_shipped(load_star(spark, sf_dir), _day(P["ship_as_of"]), days=P["ship_days"])
+
+
+def _categories_added(spark, sf_dir):
+    return W.add_categories(load_star(spark, sf_dir),
+                            new_category_rows(raw_table(spark, sf_dir, "part")))
+
+
+def _brands_mapped(spark, sf_dir):
+    # script order: the brand categories are added first, then mapped
+    after = _categories_added(spark, sf_dir).tables
+    return W.map_products(after, brand_pairs(raw_table(spark, sf_dir, "part")))
+
+
+def _inactive_unmapped(spark, sf_dir):
+    return W.unmap_products(load_star(spark, sf_dir),
+                            inactive_type_pairs(raw_table(spark, sf_dir, "part")))
+
+
+def _repriced(spark, sf_dir):
+    return W.reprice_category(load_star(spark, sf_dir), P["reprice_category"],
+                              Decimal(P["reprice_factor"]))
+
+
+def _purged(spark, sf_dir):
+    return W.purge_small_refunds(load_star(spark, sf_dir), Decimal(P["purge_limit"]))
+
+
+def _placed(spark, sf_dir):
+    return W.place_orders(load_star(spark, sf_dir), load_order_requests(spark, sf_dir),
+                          _day(P["orders_as_of"]))
+
+
+def _refunded(spark, sf_dir):
+    return W.record_refunds(load_star(spark, sf_dir), load_refund_requests(spark, sf_dir),
+                            _day(P["refunds_as_of"]))
+
+
+WRITE_QUERIES: dict[str, Query] = {
+    "mark_shipped_affected": _write(_shipped, lambda w: w.affected),
+    "mark_shipped_state": _write(_shipped, lambda w: w.tables.invoice),
+    "add_category_inserted": _write(_categories_added, lambda w: w.affected),
+    "add_category_rejected": _write(_categories_added, lambda w: w.rejected),
+    "map_product_category_inserted": _write(_brands_mapped, lambda w: w.affected),
+    "unmap_product_category_removed": _write(_inactive_unmapped, lambda w: w.affected),
+    "reprice_category_affected": _write(_repriced, lambda w: w.affected),
+    "reprice_category_state": _write(_repriced, lambda w: w.tables.product),
+    "purge_small_refunds_removed": _write(_purged, lambda w: w.affected),
+    "purge_small_refunds_state": _write(_purged, lambda w: w.tables.payment),
+    "place_orders_invoices": _write(_placed, lambda w: w.invoices),
+    "place_orders_lines": _write(_placed, lambda w: w.lines),
+    "place_orders_payments": _write(_placed, lambda w: w.payments),
+    "place_orders_rejected": _write(_placed, lambda w: w.rejected),
+    "record_refunds_payments": _write(_refunded, lambda w: w.affected),
+    "record_refunds_rejected": _write(_refunded, lambda w: w.rejected),
+}
+
+
 def all_queries() -> dict[str, Query]:
-    return dict(REPORT_QUERIES)
+    return {**REPORT_QUERIES, **WRITE_QUERIES}

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.sources.starmap import read_raw
+from tillroll.sources.starmap import ACTIVE_MAX_SIZE, raw_table, sku_of
 
 ORDER_EVENT = "purchase"
 REFUND_EVENT = "error"
@@ -40,9 +40,34 @@ def refund_requests(events: DataFrame) -> DataFrame:
                     F.col("value").alias("amount")))
 
 
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw_table(spark, sf_dir, "events")
+
+
 def load_order_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_requests(read_raw(spark, sf_dir, "events"))
+    return order_requests(_events(spark, sf_dir))
 
 
 def load_refund_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return refund_requests(read_raw(spark, sf_dir, "events"))
+    return refund_requests(_events(spark, sf_dir))
+
+
+# Catalog-management requests derived from ``part``.
+
+def new_category_rows(part: DataFrame) -> DataFrame:
+    """(name, description): every brand as a new category, plus every part type
+    again (those already exist, so they exercise the unique-name refusal)."""
+    brands = part.select(F.col("p_brand").alias("name"), F.lit("brand").alias("description"))
+    types = part.select(F.col("p_type").alias("name"), F.lit("type").alias("description"))
+    return brands.distinct().unionByName(types.distinct())
+
+
+def brand_pairs(part: DataFrame) -> DataFrame:
+    """(sku, category): map every product to the category named after its brand."""
+    return part.select(sku_of(F.col("p_partkey")).alias("sku"), F.col("p_brand").alias("category"))
+
+
+def inactive_type_pairs(part: DataFrame, active_max_size: int = ACTIVE_MAX_SIZE) -> DataFrame:
+    """(sku, category): unmap inactive products from their part-type category."""
+    return (part.filter(F.col("p_size") > active_max_size)
+            .select(sku_of(F.col("p_partkey")).alias("sku"), F.col("p_type").alias("category")))

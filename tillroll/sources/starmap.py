@@ -39,11 +39,40 @@ SKU_DIGITS = 9
 LINE_ID_STRIDE = 1000
 REFUND_FLAG, REFUND_STATUS = "R", "F"
 
-RAW_TABLES = ("nation", "customer", "part", "orders", "lineitem", "events")
+# Declared schemas of the driver tables that are read: no footer sampling or
+# inference at load time, and a type change in the data fails loudly.
+RAW_SCHEMAS = {
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": ("c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, "
+                 "c_mktsegment STRING"),
+    "part": ("p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, "
+             "p_retailprice DOUBLE"),
+    "orders": ("o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+               "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING"),
+    "lineitem": ("l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, "
+                 "l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, "
+                 "l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ"),
+    "events": ("event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, "
+               "value DOUBLE, props STRING"),
+}
 
 
 def read_raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    reader = spark.read
+    if name in RAW_SCHEMAS:
+        reader = reader.schema(RAW_SCHEMAS[name])
+    return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+_RAW: dict[tuple[str, int, str, str], DataFrame] = {}
+
+
+def raw_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """``read_raw`` defined once per session and directory (a lazy plan, not a cache)."""
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"), name)
+    if key not in _RAW:
+        _RAW[key] = read_raw(spark, sf_dir, name)
+    return _RAW[key]
 
 
 def category_id(name: Column) -> Column:
@@ -172,8 +201,21 @@ def payment(lineitem: DataFrame) -> DataFrame:
     return card.unionByName(refund)
 
 
+# Table definitions per (session, directory).  They are lazy plans, like
+# entries of a catalog: defining them once spares every query the file
+# listing; nothing is cached in memory.
+_DEFINED: dict[tuple[str, int, str], RetailTables] = {}
+
+
 def load_star(spark: SparkSession, sf_dir: str) -> RetailTables:
-    raw = {name: read_raw(spark, sf_dir, name) for name in ("nation", "customer", "part",
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"))
+    if key not in _DEFINED:
+        _DEFINED[key] = _map_star(spark, sf_dir)
+    return _DEFINED[key]
+
+
+def _map_star(spark: SparkSession, sf_dir: str) -> RetailTables:
+    raw = {name: raw_table(spark, sf_dir, name) for name in ("nation", "customer", "part",
                                                              "orders", "lineitem")}
     return RetailTables(
         country=country(raw["nation"]),
