@@ -12,6 +12,9 @@ from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from tillroll.operators import quality as Q
 from tillroll.operators import reports as R
 from tillroll.operators import writes as W
 from tillroll.plans.oracle_sql import PARAMS as P
@@ -145,5 +148,37 @@ WRITE_QUERIES: dict[str, Query] = {
 }
 
 
+def _pending_invoices_deleted(spark, sf_dir):
+    t = load_star(spark, sf_dir)
+    ids = t.invoices().filter(F.col("status") == P["delete_status"]).select("invoice_id")
+    return Q.cascade_delete(t, "invoice", ids)
+
+
+def _segment_customers_deleted(spark, sf_dir):
+    ids = (raw_table(spark, sf_dir, "customer").filter(F.col("c_mktsegment") == P["delete_segment"])
+           .select(F.col("c_custkey").alias("customer_id")))
+    return Q.cascade_delete(load_star(spark, sf_dir), "customer", ids)
+
+
+def _invoice_defaults(spark, sf_dir):
+    bare = load_order_requests(spark, sf_dir).select(
+        F.col("request_id").alias("invoice_id"), "customer_id")
+    return Q.apply_defaults(bare, "invoice", _day(P["defaults_as_of"]))
+
+
+QUALITY_QUERIES: dict[str, Query] = {
+    "check_primary_keys": _report(Q.check_primary_keys),
+    "check_unique": _report(Q.check_unique),
+    "check_foreign_keys": _report(Q.check_foreign_keys),
+    "check_not_null": _report(Q.check_not_null),
+    "check_domains": _report(Q.check_domains),
+    "check_lengths": _report(Q.check_lengths),
+    "line_total_audit": _report(Q.audit_line_totals),
+    "cascade_delete_removed": _write(_pending_invoices_deleted, lambda w: w.affected),
+    "cascade_delete_refused": _write(_segment_customers_deleted, lambda w: w.rejected),
+    "apply_defaults_invoice": _invoice_defaults,
+}
+
+
 def all_queries() -> dict[str, Query]:
-    return {**REPORT_QUERIES, **WRITE_QUERIES}
+    return {**REPORT_QUERIES, **WRITE_QUERIES, **QUALITY_QUERIES}
