@@ -21,6 +21,7 @@ from tillroll.plans.oracle_sql import PARAMS as P
 from tillroll.sources.requests import (brand_pairs, inactive_type_pairs, load_order_requests,
                                        load_refund_requests, new_category_rows)
 from tillroll.sources.starmap import load_star, raw_table
+from tillroll.sources.tables import payments_from_totals
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -166,7 +167,13 @@ def _invoice_defaults(spark, sf_dir):
     return Q.apply_defaults(bare, "invoice", _day(P["defaults_as_of"]))
 
 
+def _payments_from_totals(spark, sf_dir):
+    t = load_star(spark, sf_dir)
+    return payments_from_totals(t, t.invoices(), P["seed_method"], _day(P["seed_paid_at"]))
+
+
 QUALITY_QUERIES: dict[str, Query] = {
+    "payment_from_invoice_totals": _payments_from_totals,
     "check_primary_keys": _report(Q.check_primary_keys),
     "check_unique": _report(Q.check_unique),
     "check_foreign_keys": _report(Q.check_foreign_keys),
