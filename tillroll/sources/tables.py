@@ -36,8 +36,8 @@ def manifest(spark: SparkSession, root: str, snapshot: str | None = None) -> dic
 
     The manifest has one row per table, so collecting it is bounded.
     """
-    m = spark.read.schema("snapshot STRING, table_name STRING, path STRING").json(
-        f"{root.rstrip('/')}/{MANIFESTS}")
+    m = (spark.read.schema("snapshot STRING, table_name STRING, path STRING")
+         .option("recursiveFileLookup", "true").json(f"{root.rstrip('/')}/{MANIFESTS}"))
     if snapshot is None:
         snapshot = m.agg(F.max("snapshot")).first()[0]
         if snapshot is None:
