@@ -107,11 +107,12 @@ def check_primary_keys(t: RetailTables) -> DataFrame:
     parts = []
     for table in TABLE_NAMES:
         keys = list(PRIMARY_KEYS[table])
-        df = _tbl(t, table, keys)
         any_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-        dup = (df.filter(~any_null).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-               .filter(F.col("n") > 1).select(_key_text(keys).alias("value"), "n"))
-        nulls = (df.agg(F.count(F.when(any_null, F.lit(1))).alias("n"))
+        # one aggregation per table feeds both rules (the exchange is reused)
+        counted = _tbl(t, table, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        dup = (counted.filter(~any_null & (F.col("n") > 1))
+               .select(_key_text(keys).alias("value"), "n"))
+        nulls = (counted.filter(any_null).agg(F.sum("n").alias("n"))
                  .filter(F.col("n") > 0).select(F.lit(None).cast("string").alias("value"), "n"))
         parts += [_violations(dup, "duplicate_key", table, ",".join(keys)),
                   _violations(nulls, "null_key", table, ",".join(keys))]

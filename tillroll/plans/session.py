@@ -32,6 +32,9 @@ def build_session(master: str | None = None, app_name: str = "tillroll",
     conf = dict(BASE_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if master and master.startswith("local"):
+        # local mode: the driver JVM is the only executor
+        conf.setdefault("spark.driver.memory", "8g")
     conf.update(extra or {})
     for key, value in conf.items():
         builder = builder.config(key, value)

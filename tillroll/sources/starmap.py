@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.functions.money import cents, from_cents, half_up_div
+from tillroll.functions.money import from_cents
 from tillroll.sources.schema import RetailTables
 
 # Fixed values of the mapping (shared with the oracle SQL text).
@@ -168,9 +168,21 @@ def _line_total() -> Column:
     return F.col("l_extendedprice").cast("decimal(12,2)")
 
 
+def _unit_price(total: Column, qty: Column) -> Column:
+    """ROUND(total / qty, 2) half away from zero, exact on integer cents.
+
+    A NUMERIC(12,2) total has under 10^12 cents, so the arithmetic stays in
+    longs; NULL when the quantity is not positive."""
+    c = (total * F.lit(100)).cast("bigint")
+    q = qty.cast("bigint")
+    mag = F.call_function("div", F.abs(c) * 2 + q, q * 2)
+    unit_cents = F.when(c < 0, -mag).otherwise(mag)
+    return F.when(q > 0, from_cents(unit_cents, "decimal(12,2)"))
+
+
 def invoice_line(lineitem: DataFrame) -> DataFrame:
     qty = F.col("l_quantity").cast("int")
-    unit = F.when(qty > 0, from_cents(half_up_div(cents(_line_total()), qty), "decimal(12,2)"))
+    unit = _unit_price(_line_total(), qty)
     return lineitem.select(
         (F.col("l_orderkey") * LINE_ID_STRIDE + F.col("l_linenumber")).alias("invoice_line_id"),
         F.col("l_orderkey").alias("invoice_id"),
@@ -201,20 +213,49 @@ def payment(lineitem: DataFrame) -> DataFrame:
     return card.unionByName(refund)
 
 
-# Table definitions per (session, directory).  They are lazy plans, like
-# entries of a catalog: defining them once spares every query the file
-# listing; nothing is cached in memory.
-_DEFINED: dict[tuple[str, int, str], RetailTables] = {}
+# Tables per (session, directory, mode), defined once: every query then skips
+# the file listing, and with materialisation also the mapping itself.
+_DEFINED: dict[tuple, RetailTables] = {}
+MATERIALIZE_CONF = "tillroll.star.materialize"
 
 
-def load_star(spark: SparkSession, sf_dir: str) -> RetailTables:
-    key = (spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"))
+def load_star(spark: SparkSession, sf_dir: str, materialize: bool | None = None) -> RetailTables:
+    """The retail tables of a driver star schema.
+
+    By default every table is the lazy mapping (``map_star``): each query
+    computes from the given raw tables end to end.  With ``materialize=True``
+    (or ``tillroll.star.materialize=true``) the mapping runs once per session
+    and directory as a load job instead: the eight mapped tables are written as
+    a snapshot under the session's ``spark.checkpoint.dir`` (a shared folder on
+    a cluster), in files sized for parallel scans, and read back with their
+    declared schemas — the typed retail model without per-query
+    double-to-decimal casts, payment aggregation or ship-to join.  The written
+    snapshot also cuts the lineage, so a lost executor never re-derives it.
+    """
+    if materialize is None:
+        materialize = spark.conf.get(MATERIALIZE_CONF, "false").lower() == "true"
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"), materialize)
     if key not in _DEFINED:
-        _DEFINED[key] = _map_star(spark, sf_dir)
+        lazy = map_star(spark, sf_dir)
+        _DEFINED[key] = _materialized(spark, sf_dir, lazy) if materialize else lazy
     return _DEFINED[key]
 
 
-def _map_star(spark: SparkSession, sf_dir: str) -> RetailTables:
+def _materialized(spark: SparkSession, sf_dir: str, lazy: RetailTables) -> RetailTables:
+    import hashlib
+    import uuid
+
+    from tillroll.plans.session import ensure_checkpoint_dir
+    from tillroll.sources.tables import load_tables, write_snapshot
+
+    tag = hashlib.md5(sf_dir.rstrip("/").encode()).hexdigest()[:12]
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tillroll-star/{tag}-{uuid.uuid4().hex[:8]}"
+    write_snapshot(lazy, root, "0001", layout="parallel")
+    return load_tables(spark, root)
+
+
+def map_star(spark: SparkSession, sf_dir: str) -> RetailTables:
+    """The lazy mapping: every table a projection of the raw parquet scans."""
     raw = {name: raw_table(spark, sf_dir, name) for name in ("nation", "customer", "part",
                                                              "orders", "lineitem")}
     return RetailTables(

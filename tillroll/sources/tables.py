@@ -54,13 +54,37 @@ def load_tables(spark: SparkSession, root: str, snapshot: str | None = None) ->
     return RetailTables(**{name: read_table(spark, paths[name], name) for name in TABLE_NAMES})
 
 
+TARGET_FILE_BYTES = 256 * 1024 * 1024
+MIN_SPLIT_BYTES = 1024 * 1024
+
+
+def file_count(df: DataFrame) -> int:
+    """Files to write for ``df``: about 256 MB each, but spread over at least the
+    cluster's default parallelism once the table exceeds a few MB, so that a
+    mid-sized table is still scanned by many tasks.
+
+    The size is that of the largest input relation (from file sizes, no pass
+    over the data): the mapped tables are projections, filters and aggregates
+    of one fact or dimension table, and a join's own estimate without column
+    statistics is a product of its inputs, far too large to use."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    size = max(sizes, default=0)
+    parallelism = df.sparkSession.sparkContext.defaultParallelism
+    by_target = -(-size // TARGET_FILE_BYTES)
+    return max(1, min(-(-size // MIN_SPLIT_BYTES), max(parallelism, by_target)))
+
+
 def write_snapshot(t: RetailTables, root: str, snapshot: str,
                    base: RetailTables | None = None,
-                   base_paths: dict[str, str] | None = None) -> dict[str, str]:
+                   base_paths: dict[str, str] | None = None,
+                   layout: str = "as_is") -> dict[str, str]:
     """Write the tables of ``t`` that differ from ``base`` and publish them.
 
     ``snapshot`` must sort after the snapshots already published (e.g. a
-    zero-padded sequence number or an ISO timestamp).  Returns the manifest.
+    zero-padded sequence number or an ISO timestamp).  ``layout="parallel"``
+    rewrites each table into ``file_count`` files (one round-robin shuffle);
+    ``"as_is"`` keeps the partitioning the plan produces.  Returns the manifest.
     """
     spark = t.country.sparkSession
     root = root.rstrip("/")
@@ -71,7 +95,10 @@ def write_snapshot(t: RetailTables, root: str, snapshot: str,
             paths[name] = base_paths[name]
             continue
         path = f"{root}/data/{snapshot}/{name}"
-        df.select(*SCHEMAS[name].fieldNames()).write.mode("errorifexists").parquet(path)
+        out = df.select(*SCHEMAS[name].fieldNames())
+        if layout == "parallel":
+            out = out.repartition(file_count(out))
+        out.write.mode("errorifexists").parquet(path)
         paths[name] = path
     rows = [(snapshot, name, path) for name, path in paths.items()]
     (spark.createDataFrame(rows, "snapshot STRING, table_name STRING, path STRING")
