@@ -173,8 +173,12 @@ def top_customers(t: RetailTables, n: int = 3, ties: str = "cut") -> DataFrame:
     customer_id), ranked among themselves — the rank of each kept row equals its
     global rank because every higher-revenue row is kept too.  The limit runs
     first (TakeOrderedAndProject keeps n rows per task), so the window sees n rows.
-    ``keep``: every customer whose RANK() <= n; Spark plans the rank filter as a
-    WindowGroupLimit, which trims each task before the single-partition window.
+    ``keep``: every customer whose RANK() <= n, however many tie at the cut.
+    The n-th revenue (from the same bounded top-n) is the threshold; rows at or
+    above it are kept by a distributed filter, and each keeps the rank of its
+    revenue level, 1 + the rows at higher levels.  There are at most n distinct
+    levels, so only that small table is windowed and broadcast.  (A NULL
+    revenue cannot arise from NOT NULL line totals and is not ranked.)
     """
     revenue = (customer_revenue(t)
                .join(t.customer.select("customer_id", "full_name"), "customer_id"))
@@ -183,7 +187,15 @@ def top_customers(t: RetailTables, n: int = 3, ties: str = "cut") -> DataFrame:
         ranked = (revenue.orderBy(F.desc("revenue"), "customer_id").limit(n)
                   .withColumn("rnk", F.rank().over(by_revenue)))
     elif ties == "keep":
-        ranked = revenue.withColumn("rnk", F.rank().over(by_revenue)).filter(F.col("rnk") <= n)
+        valued = revenue.filter(F.col("revenue").isNotNull())
+        threshold = (valued.orderBy(F.desc("revenue"), "customer_id").limit(n)
+                     .agg(F.min("revenue")).scalar())
+        kept = valued.filter(F.col("revenue") >= threshold)
+        higher = by_revenue.rowsBetween(Window.unboundedPreceding, -1)
+        levels = (kept.groupBy("revenue").agg(F.count(F.lit(1)).alias("_rows"))
+                  .select("revenue", (F.coalesce(F.sum("_rows").over(higher), F.lit(0)) + 1)
+                          .cast("int").alias("rnk")))
+        ranked = kept.join(F.broadcast(levels), "revenue")
     else:
         raise ValueError(f"ties must be 'cut' or 'keep', not {ties!r}")
     return ranked.select("full_name", "revenue", "rnk").orderBy("rnk", "full_name")

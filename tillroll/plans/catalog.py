@@ -65,6 +65,7 @@ REPORT_QUERIES: dict[str, Query] = {
                                         since=_day(P["customers_since"])),
     "products_never_ordered": _report(R.products_never_ordered, since=_day(P["products_since"])),
     "top_customers": _report(R.top_customers, n=3),
+    "top_customers_with_ties": _report(R.top_customers, n=P["top_n_ties"], ties="keep"),
     "partial_refunds": _report(R.partial_refunds),
     "partial_refunds_fanout": _report(R.partial_refunds, literal=True),
     "last_order_per_customer": _report(R.last_order, since=_day(P["last_order_since"])),
