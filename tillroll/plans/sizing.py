@@ -1,0 +1,14 @@
+"""Size estimates from the optimizer's statistics (file sizes scaled to the
+selected columns); no pass over the data is made."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def largest_input_bytes(df: DataFrame) -> int:
+    """Size of the largest relation ``df`` reads (robust for plans with joins,
+    whose own estimate without column statistics is a product of inputs)."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return max((int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())),
+               default=0)

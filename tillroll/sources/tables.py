@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.functions.sequence import assign_keys
+from tillroll.plans.sizing import largest_input_bytes
 from tillroll.sources.schema import SCHEMAS, TABLE_NAMES, RetailTables
 
 MANIFESTS = "_manifests"
@@ -67,9 +68,7 @@ def file_count(df: DataFrame) -> int:
     over the data): the mapped tables are projections, filters and aggregates
     of one fact or dimension table, and a join's own estimate without column
     statistics is a product of its inputs, far too large to use."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    size = max(sizes, default=0)
+    size = largest_input_bytes(df)
     parallelism = df.sparkSession.sparkContext.defaultParallelism
     by_target = -(-size // TARGET_FILE_BYTES)
     return max(1, min(-(-size // MIN_SPLIT_BYTES), max(parallelism, by_target)))
