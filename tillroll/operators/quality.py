@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillroll.functions.money import MONEY_TYPE
+from tillroll.functions.times import ntz
 from tillroll.operators.writes import Written
 from tillroll.sources.schema import PRIMARY_KEYS, SCHEMAS, TABLE_NAMES, RetailTables
 
@@ -269,7 +270,7 @@ def apply_defaults(df: DataFrame, table: str, as_of: datetime) -> DataFrame:
             continue
         default = DEFAULTS.get((table, field.name))
         if default == "now":
-            value = F.lit(as_of).cast(T.TimestampNTZType())
+            value = ntz(as_of)
         elif default is None:
             value = F.lit(None).cast(field.dataType)
         else:

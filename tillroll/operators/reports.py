@@ -24,14 +24,13 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.money import (avg_money, cents, money_sum, percent_of,
                                       to_total)
+from tillroll.functions.times import ntz, truncate
 from tillroll.plans.session import ensure_checkpoint_dir
 from tillroll.sources.schema import RetailTables
 
 
 def _ts(value: datetime | str | None) -> Column | None:
-    if value is None:
-        return None
-    return F.lit(value).cast("timestamp_ntz")
+    return None if value is None else ntz(value)
 
 
 def _invoices_since(t: RetailTables, since) -> DataFrame:
@@ -144,7 +143,7 @@ def avg_order_value(t: RetailTables) -> DataFrame:
 
 def monthly_revenue(t: RetailTables, grain: str = "month") -> DataFrame:
     """Line revenue per calendar month of the invoice date (empty months absent)."""
-    month = F.date_trunc(grain, F.col("invoice_date")).cast("timestamp_ntz")
+    month = truncate(F.col("invoice_date"), grain)
     return (invoice_totals(t)
             .join(t.invoices().select("invoice_id", "invoice_date"), "invoice_id")
             .groupBy(month.alias(grain)).agg(money_sum("total").alias("revenue"))

@@ -5,7 +5,7 @@ what it reads, so every operator is a pure function returning a
 :class:`Written` — the new :class:`RetailTables` (unchanged tables are
 shared), the affected rows (what ``RETURNING`` gave) and, where requests can
 be refused, the rejected requests with a reason.  Publishing the new snapshot
-is a separate step (``tillroll.sources.snapshot.write_snapshot``).
+is a separate step (``tillroll.sources.tables.write_snapshot``).
 
 NULL logic follows SQL: a row whose condition is NULL is not updated or
 deleted (``coalesce(cond, false)``), and it is kept by the complementary filter.
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.money import MONEY_TYPE, money_sum
+from tillroll.functions.times import ntz
 from tillroll.functions.sequence import assign_keys, running_sum
 from tillroll.sources.schema import RetailTables
 from tillroll.sources.starmap import category_id
@@ -42,7 +43,7 @@ def _holds(cond: Column) -> Column:
 
 
 def _ts(value) -> Column:
-    return F.lit(value).cast("timestamp_ntz")
+    return ntz(value)
 
 
 def _max_id(df: DataFrame, col: str) -> Column:

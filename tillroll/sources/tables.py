@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.functions.sequence import assign_keys
+from tillroll.functions.times import ntz
 from tillroll.plans.sizing import largest_input_bytes
 from tillroll.sources.schema import SCHEMAS, TABLE_NAMES, RetailTables
 
@@ -118,7 +119,7 @@ def payments_from_totals(t: RetailTables, invoices: DataFrame, method: str,
     rows = wanted.join(totals, "invoice_id", "left").select(
         "invoice_id", F.lit(method).alias("method"),
         F.col("amount").cast("decimal(12,2)").alias("amount"),
-        F.lit(paid_at).cast("timestamp_ntz").alias("paid_at"),
+        ntz(paid_at).alias("paid_at"),
         F.concat(F.lit(ref_prefix), F.col("invoice_id").cast("string")).alias("external_ref"))
     return assign_keys(rows, "payment_id", ["invoice_id"], start).select(
         *SCHEMAS["payment"].fieldNames())
