@@ -41,3 +41,27 @@ def test_order_stream_matches_batch(spark):
     before = streamed.invoice.count()
     handle_batch(spark, root, "orders", events.filter(F.col("event_type") == "purchase"), 0)
     assert load_tables(spark, root).invoice.count() == before
+
+
+def test_refund_stream_matches_batch(spark):
+    from tillroll.operators.writes import record_refunds
+    from tillroll.sources.requests import refund_requests
+
+    work = tempfile.mkdtemp(prefix="tillroll-stream-", dir="/tmp")
+    root, events_dir = f"{work}/tables", f"{work}/events"
+    os.makedirs(events_dir)
+    shutil.copy(f"{SF}/events.parquet", f"{events_dir}/part-0.parquet")
+    write_snapshot(map_star(spark, SF), root, "0000-base")
+    query = start(spark, events_dir, root, f"{work}/checkpoint", kind="refunds", available_now=True)
+    query.awaitTermination(300)
+    assert query.exception() is None
+
+    base = load_tables(spark, root, "0000-base")
+    events = read_raw(spark, SF, "events")
+    as_of = events.filter(F.col("event_type") == "error").agg(F.max("ts")).first()[0]
+    direct = record_refunds(base, refund_requests(events), as_of)
+    streamed = load_tables(spark, root)
+    new_payments = streamed.payment.join(base.payment, "payment_id", "left_anti")
+    assert sorted(rows(new_payments, "payment_id", "invoice_id", "amount")) == sorted(
+        rows(direct.affected, "payment_id", "invoice_id", "amount"))
+    assert new_payments.filter("method = 'REFUND'").count() == new_payments.count() > 0

@@ -335,8 +335,8 @@ def invoice_items(t: RetailTables, ids: DataFrame) -> DataFrame:
 def invoice_payments(t: RetailTables, ids: DataFrame) -> DataFrame:
     """Payments and refunds of requested invoices, by payment time."""
     return (t.payment.join(_ids(ids, "invoice_id"), "invoice_id", "left_semi")
-            .select("invoice_id", "method", "amount", "paid_at")
-            .orderBy("invoice_id", F.asc_nulls_last("paid_at"), "method", "amount"))
+            .orderBy("invoice_id", F.asc_nulls_last("paid_at"), "payment_id")
+            .select("invoice_id", "method", "amount", "paid_at"))
 
 
 def invoice_balance(t: RetailTables, ids: DataFrame) -> DataFrame:
