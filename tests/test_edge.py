@@ -247,3 +247,14 @@ def test_apply_defaults(spark):
     df = spark.createDataFrame([(1, 5, None)], "invoice_id bigint, customer_id bigint, status string")
     got = rows(Q.apply_defaults(df, "invoice", T))
     assert got == [(1, 5, T, None, "GBP", None)]  # explicit NULL status kept, currency defaulted
+
+
+def test_batches_where_everything_is_refused(spark, shop):
+    req = spark.createDataFrame([(1, 99, datetime(2025, 7, 1).date(), 1, 1, None)], ORDER_COLS)
+    placed = W.place_orders(shop, req, T)
+    assert placed.invoices.count() == 0 and placed.lines.count() == 0
+    assert placed.payments.count() == 0
+    assert rows(placed.rejected, "request_id", "reason") == [(1, "unknown customer")]
+    refunds = spark.createDataFrame([(1, 999, 1.0)], "request_id bigint, invoice_id bigint, amount double")
+    got = W.record_refunds(shop, refunds, T)
+    assert got.affected.count() == 0 and got.tables.payment.count() == 6
