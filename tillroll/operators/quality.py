@@ -144,7 +144,8 @@ def check_foreign_keys(t: RetailTables) -> DataFrame:
     for child, col, parent, key in FOREIGN_KEYS:
         refs = (_tbl(t, child, [col]).filter(F.col(col).isNotNull())
                 .groupBy(col).agg(F.count(F.lit(1)).alias("n")))
-        parents = _tbl(t, parent, [key]).withColumnRenamed(key, col).distinct()
+        # an anti join ignores duplicate keys on its right side: no distinct
+        parents = _tbl(t, parent, [key]).withColumnRenamed(key, col)
         orphans = refs.join(parents, col, "left_anti").select(F.col(col).alias("value"), "n")
         parts.append(_violations(orphans, "foreign_key", child, f"{col}->{parent}.{key}"))
     return _union(parts)
@@ -231,7 +232,7 @@ def cascade_delete(t: RetailTables, table: str, ids: DataFrame) -> Written:
     for child, col, parent, cascades in DELETE_RULES:
         if parent == table and not cascades:
             refs = _tbl(t, child, [col]).filter(F.col(col).isNotNull()).select(
-                F.col(col).alias(key)).distinct()
+                F.col(col).alias(key))
             blockers.append(wanted.join(refs, key, "left_semi")
                             .withColumn("referenced_by", F.lit(f"{child}.{col}")))
     rejected = _union(blockers) if blockers else wanted.limit(0).withColumn(
