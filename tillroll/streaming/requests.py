@@ -45,22 +45,27 @@ def _published(spark: SparkSession, root: str, snapshot: str) -> bool:
 
 
 def handle_batch(spark: SparkSession, root: str, kind: str, events: DataFrame, batch_id: int) -> None:
+    if kind not in ("orders", "refunds"):
+        raise ValueError(f"kind must be 'orders' or 'refunds', not {kind!r}")
     snapshot = snapshot_id(batch_id)
     if _published(spark, root, snapshot):
         return
-    as_of = events.agg(F.max("ts")).first()[0]  # one row
-    if as_of is None:
-        return
-    base_paths = manifest(spark, root)
-    tables = load_tables(spark, root)
-    if kind == "orders":
-        result = place_orders(tables, order_requests(events), as_of)
-    elif kind == "refunds":
-        result = record_refunds(tables, refund_requests(events), as_of)
-    else:
-        raise ValueError(f"kind must be 'orders' or 'refunds', not {kind!r}")
-    result.rejected.write.mode("overwrite").parquet(f"{root}/_rejects/{kind}/{batch_id:012d}")
-    write_snapshot(result.tables, root, snapshot, base=tables, base_paths=base_paths)
+    # the batch is read several times below; a replay re-reads the same files
+    events = events.persist()
+    try:
+        as_of = events.agg(F.max("ts")).first()[0]  # one row
+        if as_of is None:
+            return
+        base_paths = manifest(spark, root)
+        tables = load_tables(spark, root)
+        if kind == "orders":
+            result = place_orders(tables, order_requests(events), as_of)
+        else:
+            result = record_refunds(tables, refund_requests(events), as_of)
+        result.rejected.write.mode("overwrite").parquet(f"{root}/_rejects/{kind}/{batch_id:012d}")
+        write_snapshot(result.tables, root, snapshot, base=tables, base_paths=base_paths)
+    finally:
+        events.unpersist()
 
 
 def start(spark: SparkSession, events_dir: str, root: str, checkpoint: str, kind: str = "orders",
