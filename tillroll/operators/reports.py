@@ -44,7 +44,10 @@ def _invoices_since(t: RetailTables, since) -> DataFrame:
 # shared pre-aggregates
 
 def invoice_totals(t: RetailTables) -> DataFrame:
-    """(invoice_id, total): SUM(line_total) per invoice that has lines."""
+    """(invoice_id, total): SUM(line_total) per invoice that has lines.
+
+    Lines reference an existing invoice by foreign key, so the invoice table
+    is not joined just to confirm it (``check_foreign_keys`` verifies it)."""
     return t.invoice_line.groupBy("invoice_id").agg(money_sum("line_total").alias("total"))
 
 
@@ -212,6 +215,8 @@ def partial_refunds(t: RetailTables, literal: bool = False) -> DataFrame:
     Each side is aggregated per invoice before the join, so an invoice with L
     lines and P payments is compared as SUM(payments) < SUM(lines).  Invoices
     without any payment are excluded (inner join), as in the reference text.
+    The invoice table itself is not joined: lines and payments reference an
+    existing invoice by foreign key (``check_foreign_keys`` verifies it).
 
     ``literal=True`` (R13b) reproduces the reference query as written, which
     joins lines to payments first and so sums every line P times and every
