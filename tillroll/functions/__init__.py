@@ -1 +1,2 @@
-"""tillroll.functions."""
+"""Column-expression helpers: exact money (``money``), zone-free timestamps
+(``times``) and skew-safe numbering / running sums (``sequence``)."""

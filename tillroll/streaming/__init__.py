@@ -1 +1,6 @@
-"""tillroll.streaming."""
+"""Structured Streaming drivers.
+
+``requests.start`` runs order or refund requests arriving as event files
+through the batch write operators, one micro-batch at a time, publishing a
+snapshot per batch exactly once.
+"""
