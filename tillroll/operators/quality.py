@@ -185,7 +185,11 @@ def check_domains(t: RetailTables) -> DataFrame:
 
 
 def check_lengths(t: RetailTables) -> DataFrame:
-    """Text wider than its VARCHAR(n) / CHAR(n); value = the row's key."""
+    """Text wider than its VARCHAR(n) / CHAR(n); value = the row's key.
+
+    The NUMERIC(12,2) range needs no rule here: every money column has type
+    decimal(12,2), so an out-of-range value cannot be stored — the write
+    operators refuse it (``try_cast``) or, under ANSI mode, a cast raises."""
     parts = []
     for table, col, width in MAX_LENGTHS:
         keys = list(PRIMARY_KEYS[table])
