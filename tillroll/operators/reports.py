@@ -267,14 +267,15 @@ def buyers_of_category(t: RetailTables, category: str, since=None) -> DataFrame:
 def invoices_above_average(t: RetailTables) -> DataFrame:
     """Invoices whose total exceeds the mean invoice total.
 
-    ``total > SUM/n`` is tested as ``total * n > SUM`` on exact cents; SUM
-    and n come from one global aggregate used as a scalar subquery.
+    ``total > SUM/n`` is tested as ``total * n > SUM``, exact in decimals (no
+    average is ever rounded); SUM and n come from one global aggregate used as
+    a scalar subquery.
     """
     totals = invoice_totals(t)
-    stats = totals.agg(F.struct(F.sum(cents("total")).alias("s"),
+    stats = totals.agg(F.struct(money_sum("total").alias("s"),
                                 F.count(F.lit(1)).alias("n")).alias("st")).scalar()
     return (totals.withColumn("st", stats)
-            .filter(cents("total") * F.col("st.n") > F.col("st.s"))
+            .filter(F.col("total") * F.col("st.n") > F.col("st.s"))
             .select("invoice_id", "total")
             .orderBy(F.desc("total"), "invoice_id"))
 
