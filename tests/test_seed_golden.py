@@ -155,3 +155,14 @@ def test_script_order(spark, seed):
         ("Stationery", D("35.50")), ("Home", D("23.07")), ("Gifts", D("21.34")),
         ("Seasonal", D("13.92")), ("Toys", D("6.18"))]
     assert W.purge_small_refunds(t).affected.count() == 0
+
+
+def test_monthly_revenue_other_grains(seed):
+    # all six seed invoices fall between 2026-03-03 and 2026-03-25
+    assert rows(R.monthly_revenue(seed, "year")) == [(datetime(2026, 1, 1), D("127.19"))]
+    assert rows(R.monthly_revenue(seed, "quarter")) == [(datetime(2026, 1, 1), D("127.19"))]
+    by_day = rows(R.monthly_revenue(seed, "day"))
+    assert len(by_day) == 6 and sum(v for _, v in by_day) == D("127.19")
+    weeks = rows(R.monthly_revenue(seed, "week"))
+    assert all(d.weekday() == 0 for d, _ in weeks)  # weeks start on Monday
+    assert sum(v for _, v in weeks) == D("127.19")
