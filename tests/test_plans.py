@@ -48,3 +48,20 @@ def test_filters_and_columns_reach_the_scan(spark):
     text = plan(df)
     assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate" in text
     assert "ReadSchema: struct<o_custkey:bigint,o_orderdate:timestamp_ntz>" in text
+
+
+def test_shuffle_joins_reuse_the_aggregate_partitioning(spark):
+    """Planned as for large tables (no broadcast): each join key is shuffled
+    once per side — the pre-aggregated fact side is not shuffled again."""
+    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k in keys:
+            spark.conf.set(k, "-1")
+        text = plan(queries()["revenue_by_country"](spark, SF_DIR))
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert "SortMergeJoin" in text and "BroadcastHashJoin" not in text
+    for key in ("invoice_id", "customer_id"):
+        assert text.count(f"Exchange hashpartitioning({key}") == 2, key
