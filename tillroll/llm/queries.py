@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ngram_join import near_duplicates
 from .repeated_phrases import remove_repeated
 from .tables import read
 
@@ -17,8 +18,12 @@ def op1_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repeated_phrases,)}
+    return {f.__name__: f for f in (op1_repeated_phrases, op2_ngram_join)}
 
 
 def llm_oracles() -> dict[str, str]:
