@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import line_quality, secret_forest, subword_language, word_shapes
 from .ngram_join import near_duplicates
 from .repeated_phrases import remove_repeated
+from .samples import held_out
 from .tables import read
 
 
@@ -22,8 +24,41 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op3_word_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = word_shapes.train(word_shapes.labelled_lines())
+    out = word_shapes.find_personal(read(spark, sf_dir, "documents"), model)
+    count = lambda kind: F.size(F.filter("base", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    rank = F.create_map(*(F.lit(x) for pair in zip(word_shapes.KINDS, range(4), strict=True) for x in pair))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+    ordered = F.transform(F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(
+        rank[s.kind].alias("rank"), s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind")))), lambda s: s)
+    return out.select("doc_id", *(count(k) for k in word_shapes.KINDS),
+                      F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(ordered).alias("spans"))
+
+
+def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    out = line_quality.score_documents(docs, line_quality.fit(docs, read(spark, sf_dir, "labels")))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                      (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op5_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = secret_forest.train(secret_forest.labelled_findings())
+    out = secret_forest.scan(read(spark, sf_dir, "documents"), forest)
+    return out.select("doc_id", "n_candidates", F.size("findings").cast("long").alias("n_secrets"),
+                      F.transform("findings", lambda f: F.concat_ws(":", f.start, f.end)).alias("spans"),
+                      F.sha2(F.col("redacted").cast("binary"), 256).alias("redacted_sha256"))
+
+
+def op8_subword_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    out = subword_language.identify(docs, subword_language.fit(docs))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repeated_phrases, op2_ngram_join)}
+    return {f.__name__: f for f in (op1_repeated_phrases, op2_ngram_join, op3_word_shapes, op4_line_quality, op5_secret_forest, op8_subword_language)}
 
 
 def llm_oracles() -> dict[str, str]:

@@ -39,7 +39,7 @@ def _powers(n: int) -> list[np.ndarray]:
     return out
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 21,
+def slices(batches: Iterator[pa.RecordBatch], column: str | int, max_bytes: int = 1 << 21,
            max_rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each piece holds at most ``max_bytes`` of ``column`` (or one row)."""
     for batch in batches:
