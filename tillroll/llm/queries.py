@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_quality, secret_forest, subword_language, word_shapes
+from . import line_quality, multiprobe, page_model, secret_forest, subword_language, word_shapes
 from .ngram_join import near_duplicates
 from .repeated_phrases import remove_repeated
 from .samples import held_out
@@ -57,8 +57,19 @@ def op8_subword_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op9_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiprobe.nearest(read(spark, sf_dir, "embeddings"))
+
+
+def op10_page_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = page_model.train(page_model.labelled_pages())
+    out = page_model.extract(read(spark, sf_dir, "pages"), model)
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repeated_phrases, op2_ngram_join, op3_word_shapes, op4_line_quality, op5_secret_forest, op8_subword_language)}
+    return {f.__name__: f for f in (op1_repeated_phrases, op2_ngram_join, op3_word_shapes, op4_line_quality, op5_secret_forest,
+                                    op8_subword_language, op9_multiprobe, op10_page_model)}
 
 
 def llm_oracles() -> dict[str, str]:
