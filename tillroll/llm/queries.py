@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_quality, multiprobe, page_model, secret_forest, subword_language, word_shapes
+from . import line_quality, multiprobe, page_model, secret_forest, simhash_windows, soft_mixing, subword_language, word_shapes
 from .ngram_join import near_duplicates
 from .repeated_phrases import remove_repeated
 from .samples import held_out
@@ -51,6 +52,15 @@ def op5_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.col("redacted").cast("binary"), 256).alias("redacted_sha256"))
 
 
+def op6_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = soft_mixing.label_domains(read(spark, sf_dir, "labels"))
+    return soft_mixing.mix(read(spark, sf_dir, "documents"), labels, soft_mixing.TARGETS)
+
+
+def op7_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_windows.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op8_subword_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     out = subword_language.identify(docs, subword_language.fit(docs))
@@ -67,10 +77,15 @@ def op10_page_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repeated_phrases, op2_ngram_join, op3_word_shapes, op4_line_quality, op5_secret_forest,
-                                    op8_subword_language, op9_multiprobe, op10_page_model)}
+    return {f.__name__: f for f in (
+        op1_repeated_phrases, op2_ngram_join, op3_word_shapes, op4_line_quality, op5_secret_forest, op6_soft_mixing,
+        op7_simhash_windows, op8_subword_language, op9_multiprobe, op10_page_model, pipeline)}
 
 
 def llm_oracles() -> dict[str, str]:
-    return {}
+    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
