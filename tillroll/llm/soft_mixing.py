@@ -1,8 +1,8 @@
 """Operator 6, mixing sources to target weights by soft membership (DataFrame functions only).
 
 A labelled table trains a naive Bayes classifier over the distinct words of a text, by grouped counts on a
-bounded sample of labelled documents: the ``vocabulary`` words (and one mark, for texts most of whose words
-recur) that tell the domains apart best.  Only words that are there count, so that a short text stays near the prior.  Every document then gets posterior probabilities of the domains, so it
+bounded sample of labelled documents: the ``vocabulary`` letter runs (and marks for texts that repeat
+themselves, or are full of symbols or capitals) that tell the domains apart best.  Only words that are there count, so that a short text stays near the prior.  Every document then gets posterior probabilities of the domains, so it
 belongs to several domains softly.  Rates r >= 0 are fitted by projected gradient least squares:
 
     minimise  sum_k (sum_d n_d r_d p_dk - T_k)^2 / (2 S_k)  +  decay / 2 * sum_d n_d (r_d - b)^2,   r_d >= 0
@@ -14,7 +14,7 @@ documents of K sums (K numbers reach the driver) and a longer column expression;
 collected and nothing is shuffled but partial sums.  A rate above 1 means repeats; ``copies`` turns the
 rate into a whole number with the expectation of the rate, by a hash of the id.
 
-Defined results: a null or empty text has no tokens, the prior's posteriors and a rate like any other;
+A token is a run of letters and digits.  Defined results: a null or empty text has no tokens, the prior's posteriors and a rate like any other;
 without labelled rows the posteriors are even; a domain with no expected tokens can't be raised (its gap
 stays and does no harm); rows with a null doc_id get a rate and copies by the hash of null; repeated rows
 count each; extra columns are ignored; an empty table gives no rows.
@@ -31,22 +31,31 @@ from pyspark.sql import functions as F
 from .samples import bounded_sample
 from .tables import cut, texts
 
-REPEATED = "\x20repeated"  # no word holds a space
-
 
 def words_of(text: str = "text") -> Column:
-    """The words of a text, none for a null one."""
+    """The words of a text as white space parts them, none for a null one."""
     parts = F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+")
     return F.filter(parts, lambda w: w != "")
 
 
-def _marks(words: Column) -> Column:
-    """The distinct words, and the mark of repetition."""
-    distinct = F.array_distinct(words)
-    return F.when(F.size(distinct) * 2 < F.size(words), F.array_append(distinct, REPEATED)).otherwise(distinct)
-
+def _described(docs: DataFrame) -> DataFrame:
+    """doc_id, n_tokens (runs of letters and digits) and m: the distinct ones and marks of the text's form.
 
-def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], vocabulary: int = 300, bound: int = 1500) -> list[tuple]:
+    One split of each text; marks hold a space, which no run does.
+    """
+    rows = texts(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.select("doc_id", "text", F.split(F.lower("text"), "[^0-9a-z\u00df-\u024f]+").alias("runs"))
+    empty = lambda at: F.when(F.element_at("runs", at) == "", 1).otherwise(0)
+    rows = rows.select("doc_id", "text", F.array_distinct("runs").alias("distinct"),
+                       F.greatest(F.lit(0), F.size("runs") - empty(1) - empty(-1)).cast("long").alias("n_tokens"))
+    without = lambda pattern: F.length("text") - F.length(F.regexp_replace("text", pattern, ""))
+    mark = lambda name, test: F.when(test, F.array(F.lit(f" {name}"))).otherwise(F.array().cast("array<string>"))
+    return rows.select("doc_id", "n_tokens", F.concat(
+        "distinct", mark("repeated", F.size("distinct") * 3 < F.col("n_tokens")), mark("symbols", without("[*$#&%|!]+") * 25 > F.length("text")),
+        mark("capitals", without("[A-Z]+") * 3 > F.length("text"))).alias("m"))
+
+
+def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], vocabulary: int = 120, bound: int = 1500) -> list[tuple]:
     """(word or None for the prior, log-probability in each domain), from at most ``bound`` documents a domain.
 
     ``labelled`` has doc_id and domain.  The priors are those of the whole labelled table.
@@ -54,7 +63,8 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], voc
     labelled = labelled.where(F.col("doc_id").isNotNull() & F.col("domain").isin(domains)).dropDuplicates(["doc_id"])
     known = {r.domain: r.n for r in labelled.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     some = bounded_sample(labelled, "domain", "doc_id", bound)
-    rows = texts(docs).join(F.broadcast(some), "doc_id").select("doc_id", "domain", _marks(words_of()).alias("w"))
+    rows = texts(docs).join(F.broadcast(some), "doc_id")
+    rows = _described(rows).join(F.broadcast(some), "doc_id").select("doc_id", "domain", F.array_remove("m", "").alias("w"))
     rows = cut(rows.dropDuplicates(["doc_id"]))
     size = {r.domain: r.n for r in rows.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     total = sum(size.values())
@@ -78,7 +88,7 @@ def posteriors(docs: DataFrame, model: list[tuple], domains: list[str]) -> DataF
     """doc_id, n_tokens, p (array of probabilities in the order of ``domains``) of every row."""
     vocabulary = {w: shifts for w, shifts in model if w is not None}
     base = next(shifts for w, shifts in model if w is None)
-    rows = texts(docs).select("doc_id", words_of().alias("w")).select("doc_id", F.size("w").cast("long").alias("n_tokens"), _marks(F.col("w")).alias("m"))
+    rows = _described(docs)
     if vocabulary:
         found = F.array_intersect("m", F.array(*map(F.lit, vocabulary)))
         shift = F.create_map(*(F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for pair in vocabulary.items() for x in pair))
@@ -120,7 +130,7 @@ def fit_rates(members: DataFrame, targets: list[float], fraction: float = 0.5, d
     return rate
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], fraction: float = 0.5, vocabulary: int = 300,
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], fraction: float = 0.5, vocabulary: int = 120,
         bound: int = 1500) -> DataFrame:
     """doc_id, n_tokens, p_<domain> for each domain, rate and copies of every row of ``docs``."""
     domains = sorted(targets)
