@@ -293,15 +293,13 @@ def _cover(window: int):
             ids = piece.column("doc_id")
             if len(flat := hits.flatten()):
                 hit_row = np.repeat(np.arange(piece.num_rows), hits.value_lengths().fill_null(0).to_numpy())
-                start = flat.field("start").to_numpy(zero_copy_only=False) + words.first[hit_row]
-                sizes = flat.field("firsts").value_lengths().to_numpy()
-                inner = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                at = np.repeat(start, sizes) + inner
-                first = flat.field("firsts").flatten().to_numpy()
-                own = ids.fill_null(0).to_numpy()[np.repeat(hit_row, sizes)]
-                at = at[first < own]
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + window, -1)
+                flat = flat.to_numpy(zero_copy_only=False)
+                start = (flat >> 16) + words.first[hit_row]
+                for bit in range(16):
+                    at = start[flat >> bit & 1 == 1]
+                    edge += np.bincount(at, minlength=total + 1).astype(np.int32)
+                    edge -= np.bincount(at + window, minlength=total + 1).astype(np.int32)
+                    start = start + 1
             kept = np.cumsum(edge[:-1]) == 0
             data, begin, end = words.data.tobytes(), words.start, words.end
             out, removed = [], []
@@ -339,8 +337,12 @@ def remove_repeated(docs: DataFrame, window: int = 13, gram: int = 5, key: str =
     firsts = (marked.mapInArrow(run, kind).groupBy("shard")
               .applyInArrow(_automaton(window), "anchor long, passage_key long, firsts array<long>"))
     run, kind = _passages(window, gram, shards, dictionary=False)
+    # windows to remove, as bits beside their passage's start
+    bits = F.aggregate(F.sequence(F.lit(0), F.size("firsts") - 1), F.col("start").cast("long") * 65536, lambda total, i: total + F.when(
+        F.get("firsts", i) < F.col("doc_id"), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(0))
     hits = (marked.mapInArrow(run, kind).join(firsts, ["anchor", "passage_key"])
-            .where(F.array_min("firsts") < F.col("doc_id"))
-            .groupBy("doc_id").agg(F.collect_list(F.struct("start", "firsts")).alias("hits")))
+            .where(F.array_min("firsts") < F.col("doc_id")).select("doc_id", bits.alias("hit"))
+            .groupBy("doc_id").agg(F.collect_list("hit").alias("hits")))
     run, kind = _cover(window)
-    return rows.join(hits, "doc_id", "left").select("doc_id", "text", "hits").mapInArrow(run, kind)
+    rest = rows.where("doc_id IS NULL OR text IS NULL").withColumn("hits", F.lit(None).cast("array<long>"))
+    return known.join(hits, "doc_id", "left").select("doc_id", "text", "hits").union(rest).mapInArrow(run, kind)
