@@ -11,8 +11,7 @@ id are removed; windows are judged on the input.  Four steps, all partitioned:
    the documents, which cut the surrounding words (at most ``2 * window - gram`` words) out as passages.
 3. *Automata.*  Distinct passages, with the least and largest document that hold them, meet in the
    shard of their minimizer.  Windows of at least two documents are confirmed phrases; they are
-   compiled into an Aho-Corasick automaton over one character a word (numbered exactly inside the
-   shard), and all passages of all documents stream through it, which gives for every window of
+   compiled into Aho-Corasick automata over the numbers of their words, and all passages of all documents stream through it, which gives for every window of
    every passage the first document that has it.
 4. *Cover.*  Passages return to their documents, whose words inside a window with an earlier first
    document are dropped.
@@ -228,8 +227,18 @@ def _least_gram(hashes, at, count, window, gram):
     return out
 
 
+#: Letters of the automata, and the words that two of them tell apart.  An automaton looks a node's
+#: children up one by one, so that a small alphabet is fast.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+VOCABULARY = len(ALPHABET) ** 2
+
+
 def _automaton(window: int):
-    """Step 3: first documents of the windows of each passage of one shard."""
+    """Step 3: first documents of the windows of each passage of one shard.
+
+    The passages of a minimizer stay together; minimizers are put into one automaton until it has
+    ``VOCABULARY`` words (one minimizer alone may have more, its words just get longer numbers).
+    """
 
     def run(group: pa.Table) -> pa.Table:
         merged: dict[bytes, list] = {}
@@ -237,46 +246,55 @@ def _automaton(window: int):
                 "anchor", "passage_key", "passage", "least", "most")), strict=True):
             have = merged.setdefault(t, [a, k, low, high])
             have[2], have[3] = min(have[2], low), max(have[3], high)
-        number: dict[bytes, int] = {}
-        split = [[number.setdefault(w, len(number)) for w in t.split(b" ")] for t in merged]
-        width = 1 if len(number) < 1_000_000 else 2  # characters a word
-        coded = [_letters(x, width) for x in split]
-        span, extent = window * width, {}
-        for text, (_, _, low, high) in zip(coded, merged.values(), strict=True):
-            for i in range(0, len(text) - span + 1, width):
-                have = extent.get(piece := text[i:i + span])
-                if have is None:
-                    extent[piece] = (low, high)
-                elif low < have[0] or high > have[1]:
-                    extent[piece] = (min(low, have[0]), max(high, have[1]))
-        phrases = ahocorasick.Automaton()
-        for piece, (low, high) in extent.items():
-            if low != high:
-                phrases.add_word(piece, low)
-        del extent
-        anchors, keys, firsts = [], [], []
-        if len(phrases):
-            phrases.make_automaton()
-            for text, (a, k, _, high) in zip(coded, merged.values(), strict=True):
-                first = np.full(len(text) // width - window + 1, np.iinfo(np.int64).max)
-                for end, low in phrases.iter(text):
-                    if (end + 1) % width == 0:
-                        first[(end + 1 - span) // width] = low
-                if (first < high).any():
-                    anchors.append(a)
-                    keys.append(k)
-                    firsts.append(first.tolist())
-        return pa.table({"anchor": pa.array(anchors, pa.int64()), "passage_key": pa.array(keys, pa.int64()),
-                         "firsts": pa.array(firsts, pa.list_(pa.int64()))})
+        passages = sorted(((a, k, low, high, t.split(b" ")) for t, (a, k, low, high) in merged.items()), key=lambda p: p[0])
+        found: tuple[list, list, list] = ([], [], [])
+        start, number = 0, {}
+        for i, (a, _, _, _, words) in enumerate(passages):
+            if len(number) > VOCABULARY * 3 // 4 and passages[i - 1][0] != a:
+                _locate(passages[start:i], number, window, found)
+                start, number = i, {}
+            for w in words:
+                number.setdefault(w, len(number))
+        _locate(passages[start:], number, window, found)
+        return pa.table({"anchor": pa.array(found[0], pa.int64()), "passage_key": pa.array(found[1], pa.int64()),
+                         "firsts": pa.array(found[2], pa.list_(pa.int64()))})
 
     return run
 
 
-def _letters(numbers: list[int], width: int) -> str:
-    """Word numbers as characters, past the surrogate range."""
-    if width == 1:
-        return "".join([chr(n + 0xE000 if n < 0x10FFFF - 0xE000 else n - 0x101FFF + 1) for n in numbers])
-    return "".join([chr(n // 1000 + 0xE000) + chr(n % 1000 + 0xF000) for n in numbers])
+def _locate(passages: list[tuple], number: dict[bytes, int], window: int, found: tuple[list, list, list]) -> None:
+    """Confirm the windows of two documents, compile them and stream the passages through."""
+    width, base = 2, len(ALPHABET)
+    while base ** width < len(number):
+        width += 1
+    letters = {w: "".join(ALPHABET[n // base ** j % base] for j in range(width)) for w, n in number.items()}
+    coded = ["".join([letters[w] for w in words]) for *_, words in passages]
+    span, extent = window * width, {}
+    for text, (_, _, low, high, _) in zip(coded, passages, strict=True):
+        for i in range(0, len(text) - span + 1, width):
+            have = extent.get(piece := text[i:i + span])
+            if have is None:
+                extent[piece] = (low, high)
+            elif low < have[0] or high > have[1]:
+                extent[piece] = (min(low, have[0]), max(high, have[1]))
+    phrases = ahocorasick.Automaton()
+    for piece, (low, high) in extent.items():
+        if low != high:
+            phrases.add_word(piece, low)
+    if not len(phrases):
+        return
+    phrases.make_automaton()
+    never = np.iinfo(np.int64).max
+    for text, (a, k, _, high, _) in zip(coded, passages, strict=True):
+        first, some = [never] * ((len(text) - span) // width + 1), False
+        for end, low in phrases.iter(text):
+            if (end + 1) % width == 0:
+                first[(end + 1 - span) // width] = low
+                some = some or low < high
+        if some:
+            found[0].append(a)
+            found[1].append(k)
+            found[2].append(first)
 
 
 def _cover(window: int):
