@@ -154,9 +154,7 @@ def _confirm(group: pa.Table) -> pa.Table:
 def _passages(window: int, gram: int, shards: int, dictionary: bool):
     """Step 2.  ``dictionary``: each distinct passage of the task with its documents, else each use."""
     if dictionary:
-        kind = ("shard int, anchor long, passage_key long, passage binary, least long, most long")
-        schema = pa.schema([("shard", pa.int32()), ("anchor", pa.int64()), ("passage_key", pa.int64()),
-                            ("passage", pa.binary()), ("least", pa.int64()), ("most", pa.int64())])
+        kind = "shard int, passages binary"
     else:
         kind = "doc_id long, start int, anchor long, passage_key long"
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("anchor", pa.int64()),
@@ -198,16 +196,24 @@ def _passages(window: int, gram: int, shards: int, dictionary: bool):
             yield batch(seen)
 
     def batch(seen):
-        keys = np.array(list(seen), dtype=np.uint64).reshape(-1, 2)
+        shard = (np.array([a for a, _ in seen], dtype=np.uint64) % np.uint64(shards)).astype(np.int32)
         text, least, most = zip(*seen.values(), strict=True)
-        return pa.RecordBatch.from_arrays(
-            [pa.array((keys[:, 0] % np.uint64(shards)).astype(np.int32)),
-             pa.array(keys[:, 0].copy().view(np.int64)), pa.array(keys[:, 1].copy().view(np.int64)),
-             pa.array(text, pa.binary()), pa.array(least, pa.int64()), pa.array(most, pa.int64())], schema=schema)
+        rows = pa.RecordBatch.from_arrays([pa.array(text, pa.binary()), pa.array(least, pa.int64()), pa.array(most, pa.int64())],
+                                          names=["passage", "least", "most"])
+        parts = [(s, _compressed(rows.take(pa.array(index)))) for s, index in _by_shard(shard, np.arange(len(shard)), shards)]
+        return pa.RecordBatch.from_arrays([pa.array([s for s, _ in parts], pa.int32()), pa.array([b for _, b in parts], pa.binary())],
+                                          names=["shard", "passages"])
 
     return run, kind
 
 
+def _compressed(rows: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
 def _span_hash(hashes: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
     out = length.astype(np.uint64)
     with np.errstate(over="ignore"):
@@ -233,7 +239,7 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 VOCABULARY = len(ALPHABET) ** 2
 
 
-def _automaton(window: int):
+def _automaton(window: int, gram: int):
     """Step 3: first documents of the windows of each passage of one shard.
 
     The passages of a minimizer stay together; minimizers are put into one automaton until it has
@@ -242,11 +248,17 @@ def _automaton(window: int):
 
     def run(group: pa.Table) -> pa.Table:
         merged: dict[bytes, list] = {}
-        for a, k, t, low, high in zip(*(group.column(c).to_pylist() for c in (
-                "anchor", "passage_key", "passage", "least", "most")), strict=True):
-            have = merged.setdefault(t, [a, k, low, high])
-            have[2], have[3] = min(have[2], low), max(have[3], high)
-        passages = sorted(((a, k, low, high, t.split(b" ")) for t, (a, k, low, high) in merged.items()), key=lambda p: p[0])
+        for blob in group.column("passages"):
+            part = pa.ipc.open_stream(blob.as_buffer()).read_all()
+            for t, low, high in zip(*(part.column(c).to_pylist() for c in ("passage", "least", "most")), strict=True):
+                have = merged.setdefault(t, [low, high])
+                have[0], have[1] = min(have[0], low), max(have[1], high)
+        spoken = Words(pa.array(list(merged), pa.binary()))  # the keys of step 2, from the words again
+        at, length = spoken.first[:-1], spoken.count
+        anchor = _least_gram(spoken.hash, at, length - window + 1, window, gram).view(np.int64)
+        key = _span_hash(spoken.hash, at, length).view(np.int64)
+        passages = sorted(((a, k, low, high, t.split(b" ")) for a, k, (t, (low, high)) in zip(
+            anchor.tolist(), key.tolist(), merged.items(), strict=True)), key=lambda p: p[0])
         found: tuple[list, list, list] = ([], [], [])
         start, number = 0, {}
         for i, (a, _, _, _, words) in enumerate(passages):
@@ -353,7 +365,7 @@ def remove_repeated(docs: DataFrame, window: int = 13, gram: int = 5, key: str =
     marked = known.join(places, "doc_id").select("doc_id", "text", "places")
     run, kind = _passages(window, gram, shards, dictionary=True)
     firsts = (marked.mapInArrow(run, kind).groupBy("shard")
-              .applyInArrow(_automaton(window), "anchor long, passage_key long, firsts array<long>"))
+              .applyInArrow(_automaton(window, gram), "anchor long, passage_key long, firsts array<long>"))
     run, kind = _passages(window, gram, shards, dictionary=False)
     # windows to remove, as bits beside their passage's start
     bits = F.aggregate(F.sequence(F.lit(0), F.size("firsts") - 1), F.col("start").cast("long") * 65536, lambda total, i: total + F.when(

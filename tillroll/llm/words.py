@@ -56,7 +56,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets of each row, all bytes); a null row is an empty one."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("") if column.null_count else column
+    column = column.fill_null("") if column.null_count else column
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     kind = np.int64 if wide else np.int32
     buffers = column.buffers()
