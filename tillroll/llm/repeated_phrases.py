@@ -17,7 +17,8 @@ id are removed; windows are judged on the input.  Four steps, all partitioned:
    document are dropped.
 
 Hot passages are merged in each task before the shuffle, and the join that returns them is an
-ordinary shuffle join that adaptive execution splits.  Only step 1 compares hashes (of 64 bits); it
+ordinary shuffle join that adaptive execution splits.  The texts are shuffled once, compressed, for the three steps
+that need them.  Only step 1 compares hashes (of 64 bits); it
 can only make extra passages, because steps 3 compares words themselves.
 
 Defined results: a null or empty text and one without words has no words and stays empty; documents
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import texts
-from .words import Words, grams, pack, slices, unpack
+from .words import Words, grams, pack, packed, slices, unpack, unpacked
 
 #: Occurrences that a task gathers before it sends them.
 FLUSH = 2_000_000
@@ -162,7 +163,7 @@ def _passages(window: int, gram: int, shards: int, dictionary: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, int], list] = {}
-        for piece in slices(batches, "text"):
+        for piece in unpacked(batches):
             words = Words(piece.column("text"))
             places = piece.column("places")
             row = np.repeat(np.arange(piece.num_rows), places.value_lengths().to_numpy(zero_copy_only=False))
@@ -315,7 +316,7 @@ def _cover(window: int):
                         ("kept_text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, "text"):
+        for piece in unpacked(batches):
             words = Words(piece.column("text"), hashes=False)
             total = len(words.start)
             edge = np.zeros(total + 1, dtype=np.int32)
@@ -362,7 +363,8 @@ def remove_repeated(docs: DataFrame, window: int = 13, gram: int = 5, key: str =
     run, kind = _sketch(shards, window, gram)
     places = (known.mapInArrow(run, kind).groupBy("shard").applyInArrow(_confirm, "doc_id long, place long")
               .groupBy("doc_id").agg(F.collect_list("place").alias("places")))
-    marked = known.join(places, "doc_id").select("doc_id", "text", "places")
+    small = known.mapInArrow(packed, "doc_id long, text binary")
+    marked = small.join(places, "doc_id").select("doc_id", "text", "places")
     run, kind = _passages(window, gram, shards, dictionary=True)
     firsts = (marked.mapInArrow(run, kind).groupBy("shard")
               .applyInArrow(_automaton(window, gram), "anchor long, passage_key long, firsts array<long>"))
@@ -374,5 +376,6 @@ def remove_repeated(docs: DataFrame, window: int = 13, gram: int = 5, key: str =
             .where(F.array_min("firsts") < F.col("doc_id")).select("doc_id", bits.alias("hit"))
             .groupBy("doc_id").agg(F.collect_list("hit").alias("hits")))
     run, kind = _cover(window)
-    rest = rows.where("doc_id IS NULL OR text IS NULL").withColumn("hits", F.lit(None).cast("array<long>"))
-    return known.join(hits, "doc_id", "left").select("doc_id", "text", "hits").union(rest).mapInArrow(run, kind)
+    rest = (rows.where("doc_id IS NULL OR text IS NULL").mapInArrow(packed, "doc_id long, text binary")
+            .withColumn("hits", F.lit(None).cast("array<long>")))
+    return small.join(hits, "doc_id", "left").select("doc_id", "text", "hits").union(rest).mapInArrow(run, kind)
