@@ -9,8 +9,9 @@ least ``percent / 100``.  Documents with equal sets form one class; all work bel
   of many documents come last; any order gives right results.  Of a set of n tokens, the prefix is the
   first ``n - ceil(0.85 n) + 1``: two linked sets share a token of their prefixes under every order.
 * *Candidates.*  Under the first order, classes meet on prefix tokens.  A token's classes are first
-  linked sparsely, each to the token's least class and to its neighbour by size.  Candidates must also be
-  of compatible size and share a prefix token under each of the other orders; those that remain
+  linked sparsely, each to the class that has the token earliest in its order and to the next one.  Candidates must also be
+  of compatible size, have enough tokens left from the common one on in both (linked sets have at their
+  first common token), and share a prefix token under each of the other orders; those that remain
   are verified on their whole sets.
 * *The rest.*  Verified links give components.  Then each token whose classes lie in more than one
   component pairs its classes across components - classes outside the token's largest component
@@ -164,7 +165,13 @@ def _verify(percent: int):
 
 
 def _compatible(percent: int, x: str, y: str) -> str:
-    return f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})"
+    """Whether two classes may be linked, seen from a token at ``pos`` of each one's order.
+
+    Their sizes must allow it; and if this is their first common token, no earlier token is common, so that
+    the overlap is at most what follows on either side.  Linked classes pass at their first common token.
+    """
+    return (f"100 * least({x}n, {y}n) >= {percent} * greatest({x}n, {y}n) AND "
+            f"{100 + percent} * least({x}n - {x}pos, {y}n - {y}pos) >= {percent} * ({x}n + {y}n)")
 
 
 def similar_classes(docs: DataFrame, size: int = 4, percent: int = 85, key: str = "doc_id",
@@ -180,14 +187,14 @@ def similar_classes(docs: DataFrame, size: int = 4, percent: int = 85, key: str
     profile = cut(known.mapInArrow(run, kind))
     members = profile.select("doc_id", "class", F.col("n").alias("n_shingles"))
     w = Window.partitionBy("token")
-    shared = cut(profile.where("size(p0) > 0").select(F.explode("p0").alias("token"), "class", "n")
+    shared = cut(profile.where("size(p0) > 0").select(F.posexplode("p0").alias("pos", "token"), "class", "n")
                  .repartition("token").dropDuplicates(["token", "class"])
                  .withColumn("many", F.count("*").over(w)).where("many > 1").drop("many"))
-    by_size = w.orderBy("n", "class")
-    sparse = (shared.withColumn("hub", F.min(F.struct("class", "n")).over(w))
-              .withColumn("next", F.lead(F.struct("class", "n")).over(by_size)))
-    pairs = (sparse.select(F.explode(F.array("hub", "next")).alias("o"), "class", "n")
-             .where("o IS NOT NULL AND o.class <> class AND " + _compatible(percent, "n", "o.n"))
+    # the hub has the token earliest: few of its tokens are rarer, so it is the source of its copies, if any is
+    sparse = (shared.withColumn("hub", F.min(F.struct("pos", "class", "n")).over(w))
+              .withColumn("next", F.lead(F.struct("pos", "class", "n")).over(w.orderBy("pos", "class"))))
+    pairs = (sparse.select(F.explode(F.array("hub", "next")).alias("o"), "class", "n", "pos")
+             .where("o IS NOT NULL AND o.class <> class AND " + _compatible(percent, "", "o."))
              .select(F.least("class", "o.class").alias("a"), F.greatest("class", "o.class").alias("b")).distinct())
     others = profile.where("size(p0) > 0").dropDuplicates(["class"]).select("class", *(f"p{i}" for i in range(1, len(ORDERS))))
     rep = members.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
@@ -214,7 +221,7 @@ def similar_classes(docs: DataFrame, size: int = 4, percent: int = 85, key: str
     apart = cut(placed.join(largest, "token"))
     x, y = apart.where("component <> main").alias("x"), apart.alias("y")
     across = (x.join(y, F.expr("x.token = y.token AND x.component <> y.component AND (y.component = y.main OR x.class < y.class) AND "
-                               + _compatible(percent, "x.n", "y.n")))
+                               + _compatible(percent, "x.", "y.")))
               .select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
               .join(cut(pairs), ["a", "b"], "left_anti"))
     return members, links.union(verified(across))
