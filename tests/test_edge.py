@@ -133,23 +133,22 @@ def test_empty_tables(spark):
 # ---------------------------------------------------------------------------
 # W7 order placement
 
-ORDER_COLS = ("request_id bigint, customer_id bigint, order_day date, product_id bigint, "
-              "quantity bigint, method string")
+ORDER_COLS = ("request_id bigint, customer_id bigint, order_id string, product_id string, "
+              "quantity string, method string")
 
 
 def test_place_orders_rules(spark, shop):
-    d1, d2 = datetime(2025, 7, 1).date(), datetime(2025, 7, 2).date()
     req = spark.createDataFrame([
-        (1, 1, d1, 1, 2, None),       # ok: 20.00
-        (2, 1, d1, 1, 1, None),       # repeated product -> its own line
-        (3, 1, d1, 2, 0, None),       # quantity 0
-        (4, 1, d1, 2, -3, None),      # negative quantity
-        (5, 1, d1, 4, 1, None),       # inactive product
-        (6, 1, d1, 99, 1, None),      # unknown product
-        (7, 42, d1, 1, 1, None),      # unknown customer
-        (8, 2, d1, 3, 5, None),       # only a free product -> cancelled
-        (9, 3, d2, 2, 1, " paypal "), # customer without country, method trimmed/upper-cased
-        (10, 4, d2, None, 1, None),   # unparsable product id
+        (1, 1, "1-1", "1", "2", None),       # ok: 20.00
+        (2, 1, "1-1", "1", "1", None),       # repeated product -> its own line
+        (3, 1, "1-1", "2", "0", None),       # quantity 0
+        (4, 1, "1-1", "2", "-3", None),      # negative quantity
+        (5, 1, "1-1", "4", "1", None),       # inactive product
+        (6, 1, "1-1", "99", "1", None),      # unknown product
+        (7, 42, "42-1", "1", "1", None),      # unknown customer
+        (8, 2, "2-1", "3", "5", None),       # only a free product -> cancelled
+        (9, 3, "3-2", "2", "1", " paypal "), # customer without country, method trimmed/upper-cased
+        (10, 4, "4-2", None, "1", None),   # unparsable product id
     ], ORDER_COLS)
     placed = W.place_orders(shop, req, T)
     inv = {r[0]: r for r in rows(placed.invoices)}
@@ -250,7 +249,7 @@ def test_apply_defaults(spark):
 
 
 def test_batches_where_everything_is_refused(spark, shop):
-    req = spark.createDataFrame([(1, 99, datetime(2025, 7, 1).date(), 1, 1, None)], ORDER_COLS)
+    req = spark.createDataFrame([(1, 99, "99-1", "1", "1", None)], ORDER_COLS)
     placed = W.place_orders(shop, req, T)
     assert placed.invoices.count() == 0 and placed.lines.count() == 0
     assert placed.payments.count() == 0
@@ -258,3 +257,55 @@ def test_batches_where_everything_is_refused(spark, shop):
     refunds = spark.createDataFrame([(1, 999, 1.0)], "request_id bigint, invoice_id bigint, amount double")
     got = W.record_refunds(shop, refunds, T)
     assert got.affected.count() == 0 and got.tables.payment.count() == 6
+
+
+def test_place_orders_refuses_bad_texts_and_keeps_the_rest(spark, shop):
+    req = spark.createDataFrame([
+        (1, 1, "a", "1", "abc", None), (2, 1, "a", "x", "1", None), (3, 1, "a", "1", "2.5", None),
+        (4, 1, "a", "1", "2.0", ""), (5, 1, "a", "1", "1", "PayPal "),   # one order, one method, a blank ignored
+        (6, 1, "b", "1", "1", "card"), (7, 1, "b", "2", "1", "PAYPAL"),  # two methods
+        (8, 1, "c", "1", "1", None), (9, 2, "c", "1", "1", None),        # two customers
+        (10, 1, "d", "1", "1", None), (11, 1, "e", "1", "1", None),      # two orders of one customer
+        (12, 1, None, "1", "1", None), (13, 1, "f", "1", "99999999999999999999", None),
+    ], ORDER_COLS)
+    placed = W.place_orders(shop, req, T)
+    assert dict(rows(placed.rejected, "request_id", "reason")) == {
+        1: "invalid quantity", 2: "invalid product id", 3: "invalid quantity", 6: "payment methods disagree",
+        7: "payment methods disagree", 8: "customers disagree", 9: "customers disagree", 12: "missing order id",
+        13: "invalid quantity"}
+    assert sorted(rows(placed.payments, "method", "amount")) == [
+        ("CARD", D("10.00")), ("CARD", D("10.00")), ("PAYPAL", D("30.00"))]
+
+
+def test_refund_amounts_as_texts_and_decimals(spark, shop):
+    req = spark.createDataFrame([(1, 10, "5.00"), (2, 10, "abc"), (3, 10, None), (4, 10, "99999999999")],
+                                "request_id bigint, invoice_id bigint, amount string")
+    got = W.record_refunds(shop, req, T)
+    assert rows(got.affected, "request_id", "amount") == [(1, D("-5.00"))]
+    assert sorted(rows(got.rejected, "request_id")) == [(2,), (3,), (4,)]
+    exact = spark.createDataFrame([(1, 10, D("0.07"))], "request_id bigint, invoice_id bigint, amount decimal(20,4)")
+    assert rows(W.record_refunds(shop, exact, T).affected, "amount") == [(D("-0.07"),)]
+
+
+def test_blank_category_name_is_a_name(spark, shop):
+    got = W.add_categories(shop, spark.createDataFrame([("", "d"), (None, "d")], "name string, description string"))
+    assert rows(got.affected, "name") == [("",)] and rows(got.rejected, "reason") == [("missing name",)]
+
+
+def test_orphan_lines_do_not_count(spark):
+    t = make(spark, customer=[(1, "A", None, None, None, T)], invoice=[(2, 1, T, "PAID", "GBP", None), (3, 1, T, "PAID", "GBP", None)],
+             invoice_line=[(1, 1, 1, 1, D("99"), D("99")), (2, 2, 1, 1, D("5"), D("5")), (3, 3, 1, 1, D("2"), D("2"))],
+             payment=[(1, 1, "CARD", D("1"), T, None), (2, 2, "CARD", D("1"), T, None)])
+    assert rows(R.invoices_above_average(t), "invoice_id") == [(2,)]
+    assert rows(R.partial_refunds(t), "invoice_id") == [(2,)]
+    assert rows(R.partial_refunds(t, literal=True), "invoice_id") == [(2,)]
+
+
+def test_null_keys_and_numeric_range(spark):
+    loose = StructType([StructField(f.name, f.dataType, True) for f in SCHEMAS["country"]])
+    t = make(spark).with_tables(
+        country=spark.createDataFrame([(None, "A"), (None, "B"), (3, "C")], loose),
+        payment=spark.createDataFrame([(1, 1, "CARD", D("10000000000.00"), T, None)],
+                                      "payment_id long, invoice_id long, method string, amount decimal(20,2), paid_at timestamp_ntz, external_ref string"))
+    assert rows(Q.check_primary_keys(t), "rule", "value", "n") == [("null_key", None, 2)]
+    assert rows(Q.check_lengths(t), "rule", "column_name", "value") == [("numeric(12,2)", "amount", "1")]

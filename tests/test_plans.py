@@ -2,7 +2,7 @@
 
 import pytest
 
-from __spark_entry__ import queries
+from tillroll.plans.catalog import all_queries as queries
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -44,7 +44,7 @@ def test_fact_tables_are_aggregated_before_the_join(spark):
 
 
 def test_filters_and_columns_reach_the_scan(spark):
-    df = queries()["customers_without_orders"](spark, SF_DIR)
+    df = queries()["customers_without_orders_since"](spark, SF_DIR)
     text = plan(df)
     assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate" in text
     assert "ReadSchema: struct<o_custkey:bigint,o_orderdate:timestamp_ntz>" in text
@@ -65,3 +65,26 @@ def test_shuffle_joins_reuse_the_aggregate_partitioning(spark):
     assert "SortMergeJoin" in text and "BroadcastHashJoin" not in text
     for key in ("invoice_id", "customer_id"):
         assert text.count(f"Exchange hashpartitioning({key}") == 2, key
+
+
+def test_write_conditions_reach_the_scan(spark):
+    text = plan(queries()["mark_shipped_affected"](spark, SF_DIR))
+    assert "PushedFilters: [IsNotNull(o_orderdate), LessThan(o_orderdate" in text
+
+
+def test_requested_invoices_are_filtered_before_the_aggregate(spark):
+    text = plan(queries()["invoice_balance"](spark, SF_DIR))
+    scan = text.index("lineitem")
+    assert text.rfind("LeftSemi", 0, scan) > text.rfind("partial_sum", 0, scan) > 0
+
+
+def test_references_are_distinct_before_the_semi_join(spark):
+    text = plan(queries()["cascade_delete_refused"](spark, SF_DIR))
+    assert "LeftSemi" in text and text.count("HashAggregate(keys=[customer_id") >= 2
+
+
+def test_rejects_need_no_job_to_be_built(spark):
+    """Building the rejects writes no checkpoint: the plan starts at the scans."""
+    for name in ("place_orders_rejected", "record_refunds_rejected"):
+        text = plan(queries()[name](spark, SF_DIR))
+        assert "Scan ExistingRDD" not in text and "RDDScan" not in text, name

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from tillroll.functions.sequence import assign_keys, running_sum
 from tillroll.operators import reports as R
 from tillroll.operators import writes as W
-from tillroll.sources.tables import load_tables, manifest, payments_from_totals, write_snapshot
+import pytest
+
+from tillroll.sources.tables import (load_tables, manifest, payments_from_totals, payments_from_totals_rejected,
+                                     write_snapshot)
 
 
 def test_assign_keys_matches_row_number(spark):
@@ -74,3 +77,29 @@ def test_materialized_star_equals_lazy_mapping(spark):
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0, name
     assert rows(R.partial_refunds(stored)) and sorted(rows(R.revenue_by_country(stored))) == sorted(
         rows(R.revenue_by_country(lazy)))
+
+
+def test_invoice_without_lines_gets_no_payment(spark, seed):
+    wanted = seed.invoice.select("invoice_id").union(spark.createDataFrame([(77,)], "invoice_id long"))
+    assert payments_from_totals(seed, wanted, "CARD", T0).filter("amount IS NULL OR invoice_id = 77").count() == 0
+    assert rows(payments_from_totals_rejected(seed, wanted), "invoice_id") == [(77,)]
+
+
+def test_unreadable_snapshot_is_refused_and_a_failed_one_can_be_repeated(spark, seed):
+    root = tempfile.mkdtemp(prefix="tillroll-snap-", dir="/tmp")
+    write_snapshot(seed, root, "0002")
+    with pytest.raises(ValueError):
+        write_snapshot(seed, root, "0001")
+    broken = seed.with_tables(payment=seed.payment.withColumn("amount", F.raise_error(F.lit("lost")).cast("decimal(12,2)")))
+    with pytest.raises(Exception, match="lost"):
+        write_snapshot(broken, root, "0003")
+    assert manifest(spark, root)["payment"].count("/data/0002-") == 1
+    write_snapshot(seed, root, "0003")
+    assert load_tables(spark, root).payment.count() == seed.payment.count()
+
+
+def test_ids_that_would_clash_fail_loudly(spark):
+    from tillroll.sources import starmap
+    line = spark.createDataFrame([(1, 1, 1, 1000, 1.0, 5.0, 0.0, 0.0, "N", "O", None)], starmap.RAW_SCHEMAS["lineitem"])
+    with pytest.raises(Exception, match="id stride"):
+        starmap.invoice_line(line).collect()

@@ -61,8 +61,3 @@ def percent_of(part_cents: Column, whole_cents: Column) -> Column:
     """ROUND(100 * part / whole, 2); NULL when ``whole`` is 0 (no division error)."""
     hundredths = half_up_div(part_cents.cast(CENTS_TYPE) * F.lit(10000), whole_cents)
     return F.when(whole_cents == 0, F.lit(None)).otherwise(from_cents(hundredths))
-
-
-def round_money(col: Column) -> Column:
-    """ROUND(x, 2) kept as decimal(12,2); Spark rounds decimals HALF_UP."""
-    return F.round(col, 2).cast(MONEY_TYPE)

@@ -56,6 +56,7 @@ MAX_LENGTHS = [
     ("product", "name", 200), ("invoice", "status", 20), ("invoice", "currency", 3),
     ("invoice", "ship_to_country", 100), ("payment", "method", 30), ("payment", "external_ref", 100),
 ]
+MONEY_COLUMNS = [("product", "unit_price"), ("invoice_line", "unit_price"), ("invoice_line", "line_total"), ("payment", "amount")]
 # ON DELETE behaviour: child table, column, parent table, cascades?
 DELETE_RULES = [
     ("product_category", "product_id", "product", True),
@@ -104,19 +105,21 @@ def _tbl(t: RetailTables, name: str, cols: list[str]) -> DataFrame:
 # C1 primary keys, C2 unique columns
 
 def check_primary_keys(t: RetailTables) -> DataFrame:
-    """Duplicate primary keys (one row per key) and rows with a NULL key part."""
+    """Duplicate primary keys (one row per key) and rows with a NULL key part.
+
+    One aggregate per table: complete keys are grouped by value, all keys
+    with a NULL part form one group."""
     parts = []
     for table in TABLE_NAMES:
         keys = list(PRIMARY_KEYS[table])
         any_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-        # one aggregation per table feeds both rules (the exchange is reused)
-        counted = _tbl(t, table, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-        dup = (counted.filter(~any_null & (F.col("n") > 1))
-               .select(_key_text(keys).alias("value"), "n"))
-        nulls = (counted.filter(any_null).agg(F.sum("n").alias("n"))
-                 .filter(F.col("n") > 0).select(F.lit(None).cast("string").alias("value"), "n"))
-        parts += [_violations(dup, "duplicate_key", table, ",".join(keys)),
-                  _violations(nulls, "null_key", table, ",".join(keys))]
+        whole = [F.when(~any_null, F.col(k)).alias(k) for k in keys]
+        counted = (_tbl(t, table, keys).select(*whole, any_null.alias("_null")).groupBy(*keys, "_null")
+                   .agg(F.count(F.lit(1)).alias("n")).filter(F.col("_null") | (F.col("n") > 1)))
+        parts.append(counted.select(
+            F.when(F.col("_null"), F.lit("null_key")).otherwise(F.lit("duplicate_key")).alias("rule"),
+            F.lit(table).alias("table_name"), F.lit(",".join(keys)).alias("column_name"),
+            F.when(~F.col("_null"), _key_text(keys)).alias("value"), F.col("n").cast("bigint").alias("n")))
     return _union(parts)
 
 
@@ -173,30 +176,31 @@ def check_not_null(t: RetailTables) -> DataFrame:
 # ---------------------------------------------------------------------------
 # C5 CHECK constraints, C6 widths
 
-def check_domains(t: RetailTables) -> DataFrame:
-    """Rows failing a CHECK (a NULL result passes, as in SQL); value = the row's key."""
+def _row_rules(t: RetailTables, rules: list[tuple[str, str, str, Column]]) -> DataFrame:
+    """One scan per table: each row gives the rules (table, column, rule, broken) that it breaks."""
     parts = []
-    for table, col, text, cond in DOMAIN_CHECKS:
+    for table in dict.fromkeys(r[0] for r in rules):
+        own = [r for r in rules if r[0] == table]
         keys = list(PRIMARY_KEYS[table])
-        bad = (_tbl(t, table, keys + [col]).filter(~F.coalesce(cond(F.col(col)), F.lit(True)))
-               .select(_key_text(keys).alias("value"), F.lit(1).alias("n")))
-        parts.append(_violations(bad, "check:" + text, table, col))
+        columns = list(dict.fromkeys([*keys, *(r[1] for r in own)]))
+        broken = F.array_compact(F.array(*[
+            F.when(bad, F.struct(F.lit(rule).alias("rule"), F.lit(col).alias("column_name"))) for _, col, rule, bad in own]))
+        parts.append(_tbl(t, table, columns).select(_key_text(keys).alias("value"), F.explode(broken).alias("b"))
+                     .select("b.rule", F.lit(table).alias("table_name"), "b.column_name", "value",
+                             F.lit(1).cast("bigint").alias("n")))
     return _union(parts)
 
 
-def check_lengths(t: RetailTables) -> DataFrame:
-    """Text wider than its VARCHAR(n) / CHAR(n); value = the row's key.
+def check_domains(t: RetailTables) -> DataFrame:
+    """Rows failing a CHECK (a NULL result passes, as in SQL); value = the row's key."""
+    return _row_rules(t, [(table, col, "check:" + text, ~cond(F.col(col))) for table, col, text, cond in DOMAIN_CHECKS])
 
-    The NUMERIC(12,2) range needs no rule here: every money column has type
-    decimal(12,2), so an out-of-range value cannot be stored — the write
-    operators refuse it (``try_cast``) or, under ANSI mode, a cast raises."""
-    parts = []
-    for table, col, width in MAX_LENGTHS:
-        keys = list(PRIMARY_KEYS[table])
-        bad = (_tbl(t, table, keys + [col]).filter(F.length(F.col(col)) > width)
-               .select(_key_text(keys).alias("value"), F.lit(1).alias("n")))
-        parts.append(_violations(bad, f"length>{width}", table, col))
-    return _union(parts)
+
+def check_lengths(t: RetailTables) -> DataFrame:
+    """Text wider than its VARCHAR(n) / CHAR(n), and amounts outside NUMERIC(12,2); value = the row's key."""
+    wide = [(table, col, f"length>{width}", F.length(F.col(col)) > width) for table, col, width in MAX_LENGTHS]
+    big = [(table, col, "numeric(12,2)", F.abs(F.col(col)) >= F.lit(10 ** 10)) for table, col in MONEY_COLUMNS]
+    return _row_rules(t, wide + big)
 
 
 # ---------------------------------------------------------------------------
@@ -236,7 +240,7 @@ def cascade_delete(t: RetailTables, table: str, ids: DataFrame) -> Written:
     for child, col, parent, cascades in DELETE_RULES:
         if parent == table and not cascades:
             refs = _tbl(t, child, [col]).filter(F.col(col).isNotNull()).select(
-                F.col(col).alias(key))
+                F.col(col).alias(key)).distinct()  # a hot reference is one row before the join
             blockers.append(wanted.join(refs, key, "left_semi")
                             .withColumn("referenced_by", F.lit(f"{child}.{col}")))
     rejected = _union(blockers) if blockers else wanted.limit(0).withColumn(

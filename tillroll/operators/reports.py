@@ -44,13 +44,16 @@ def _invoices_since(t: RetailTables, since) -> DataFrame:
 # shared pre-aggregates
 
 def invoice_totals(t: RetailTables) -> DataFrame:
-    """(invoice_id, total): SUM(line_total) per invoice that has lines.
-
-    Lines reference an existing invoice by foreign key, so the invoice table
-    is not joined just to confirm it (``check_foreign_keys`` verifies it)."""
+    """(invoice_id, total): SUM(line_total) per invoice id that has lines."""
     return t.invoice_line.groupBy("invoice_id").agg(money_sum("line_total").alias("total"))
 
 
+def _of_known_invoices(t: RetailTables, per_invoice: DataFrame) -> DataFrame:
+    """Only ids in the invoice table (Parquet enforces no foreign key); the aggregate's
+    partitioning by invoice_id serves this join too."""
+    return per_invoice.join(t.invoices().select("invoice_id"), "invoice_id", "left_semi")
+
+
 def customer_revenue(t: RetailTables, with_stats: bool = False) -> DataFrame:
     """(customer_id, revenue[, n_invoices]) over invoices that have lines."""
     per_invoice = invoice_totals(t).join(t.invoices().select("invoice_id", "customer_id"),
@@ -85,7 +88,7 @@ def category_revenue(t: RetailTables) -> DataFrame:
 def browse_products(t: RetailTables) -> DataFrame:
     """Active products, by id."""
     return (t.product.filter(F.col("is_active"))
-            .select("product_id", "sku", "name", "unit_price")
+            .select("product_id", "sku", "name", "unit_price", "is_active")
             .orderBy("product_id"))
 
 
@@ -215,8 +218,7 @@ def partial_refunds(t: RetailTables, literal: bool = False) -> DataFrame:
     Each side is aggregated per invoice before the join, so an invoice with L
     lines and P payments is compared as SUM(payments) < SUM(lines).  Invoices
     without any payment are excluded (inner join), as in the reference text.
-    The invoice table itself is not joined: lines and payments reference an
-    existing invoice by foreign key (``check_foreign_keys`` verifies it).
+    Orphan lines and payments, of no known invoice, don't count.
 
     ``literal=True`` (R13b) reproduces the reference query as written, which
     joins lines to payments first and so sums every line P times and every
@@ -227,7 +229,7 @@ def partial_refunds(t: RetailTables, literal: bool = False) -> DataFrame:
         money_sum("line_total").alias("billed"), F.count(F.lit(1)).alias("n_lines"))
     pays = t.payment.groupBy("invoice_id").agg(
         money_sum("amount").alias("paid"), F.count(F.lit(1)).alias("n_payments"))
-    joined = lines.join(pays, "invoice_id")
+    joined = _of_known_invoices(t, lines).join(pays, "invoice_id")
     if literal:
         billed = to_total(F.col("billed") * F.col("n_payments"))
         paid = to_total(F.col("paid") * F.col("n_lines"))
@@ -271,7 +273,7 @@ def invoices_above_average(t: RetailTables) -> DataFrame:
     average is ever rounded); SUM and n come from one global aggregate used as
     a scalar subquery.
     """
-    totals = invoice_totals(t)
+    totals = _of_known_invoices(t, invoice_totals(t))
     stats = totals.agg(F.struct(money_sum("total").alias("s"),
                                 F.count(F.lit(1)).alias("n")).alias("st")).scalar()
     return (totals.withColumn("st", stats)
@@ -348,16 +350,22 @@ def invoice_payments(t: RetailTables, ids: DataFrame) -> DataFrame:
 def invoice_balance(t: RetailTables, ids: DataFrame) -> DataFrame:
     """Billed and paid so far per requested invoice, each 0 when absent."""
     zero = F.lit(0).cast("decimal(38,2)")
-    billed = invoice_totals(t).withColumnRenamed("total", "billed")
-    paid = t.payment.groupBy("invoice_id").agg(money_sum("amount").alias("paid"))
-    return (_ids(ids, "invoice_id")
+    wanted = _ids(ids, "invoice_id")
+    # only the requested invoices' lines and payments are aggregated
+    billed = (t.invoice_line.join(wanted, "invoice_id", "left_semi").groupBy("invoice_id")
+              .agg(money_sum("line_total").alias("billed")))
+    paid = (t.payment.join(wanted, "invoice_id", "left_semi").groupBy("invoice_id")
+            .agg(money_sum("amount").alias("paid")))
+    return (wanted
             .join(billed, "invoice_id", "left").join(paid, "invoice_id", "left")
             .select("invoice_id", F.coalesce("billed", zero).alias("billed"),
                     F.coalesce("paid", zero).alias("paid")))
 
 
 def active_price(t: RetailTables, ids: DataFrame) -> DataFrame:
-    """Current price of each requested product that exists and is active."""
+    """Current price of each requested product that exists and is active; ids may be
+    texts as typed in, and those that are no number name no product."""
+    wanted = ids.select(F.col("product_id").try_cast("bigint").alias("product_id")).distinct()
     return (t.product.filter(F.col("is_active"))
-            .join(_ids(ids, "product_id"), "product_id", "left_semi")
+            .join(wanted, "product_id", "left_semi")
             .select("product_id", "unit_price"))

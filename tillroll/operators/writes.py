@@ -16,6 +16,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 from decimal import Decimal
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,9 +58,9 @@ def _max_id(df: DataFrame, col: str) -> Column:
 def mark_shipped(t: RetailTables, as_of: datetime, days: int = 7) -> Written:
     """PAID invoices dated strictly before ``as_of - days`` become SHIPPED."""
     cutoff = _ts(as_of - timedelta(days=days))
-    due = _holds((F.col("status") == "PAID") & (F.col("invoice_date") < cutoff))
+    due = (F.col("status") == "PAID") & (F.col("invoice_date") < cutoff)  # a filter drops NULL by itself
     new_invoice = t.invoice.withColumn(
-        "status", F.when(due, F.lit("SHIPPED")).otherwise(F.col("status")))
+        "status", F.when(_holds(due), F.lit("SHIPPED")).otherwise(F.col("status")))
     affected = t.invoices().filter(due).select("invoice_id", F.lit("SHIPPED").alias("status"))
     return Written(t.with_tables(invoice=new_invoice), affected)
 
@@ -70,8 +71,8 @@ def mark_shipped(t: RetailTables, as_of: datetime, days: int = 7) -> Written:
 def add_categories(t: RetailTables, rows: DataFrame) -> Written:
     """Insert (name, description) rows into ``category``.
 
-    A name that is NULL or blank, already present, or given more than once in
-    the batch is rejected (the UNIQUE / NOT NULL constraints).  The new id is
+    A name that is NULL, already present, or given more than once in the
+    batch is rejected (the UNIQUE / NOT NULL constraints); a blank name is a name.  The new id is
     derived from the name exactly as for existing categories; a clash with an
     existing id is rejected too.
     """
@@ -85,7 +86,7 @@ def add_categories(t: RetailTables, rows: DataFrame) -> Written:
               .withColumn("category_id", category_id(F.col("name")))
               .join(existing_names.withColumn("_exists", F.lit(True)), "name", "left")
               .join(existing_ids.withColumn("_id_taken", F.lit(True)), "category_id", "left"))
-    reason = (F.when(F.col("name").isNull() | (F.trim(F.col("name")) == ""), "missing name")
+    reason = (F.when(F.col("name").isNull(), "missing name")
               .when(F.col("_exists"), "name already exists")
               .when(F.col("_n") > 1, "name repeated in batch")
               .when(F.col("_id_taken"), "id collision"))
@@ -164,147 +165,191 @@ def reprice_category(t: RetailTables, category: str, factor=Decimal("1.10")) ->
 
 def purge_small_refunds(t: RetailTables, limit=Decimal("1")) -> Written:
     """DELETE payments with amount < 0 and ABS(amount) < ``limit``; return them."""
-    small = _holds((F.col("amount") < 0)
-                   & (F.abs(F.col("amount")) < F.lit(Decimal(str(limit)))))
+    bound = F.lit(Decimal(str(limit)))  # abs(amount) < bound, as ranges that a scan can prune by
+    small = (F.col("amount") < 0) & (F.col("amount") > -bound)
     removed = t.payment.filter(small).select("payment_id", "amount")
-    kept = t.payment.filter(~small)
+    kept = t.payment.filter(~_holds(small))
     return Written(t.with_tables(payment=kept), removed)
 
 
 # ---------------------------------------------------------------------------
 # W7 place_orders
 
-@dataclass(frozen=True)
+def _whole(col: Column) -> Column:
+    """A bigint if the value, given as a number or a text, is a whole number; else NULL."""
+    number = col.try_cast("decimal(30,6)")
+    return F.when(number == F.floor(number), number.try_cast("bigint"))
+
+
 class PlacedOrders:
-    tables: RetailTables
-    invoices: DataFrame
-    lines: DataFrame
-    payments: DataFrame
-    rejected: DataFrame
+    """The outputs of ``place_orders``, each built when it is first asked for.
+
+    ``rejected`` needs no numbering; invoices, lines and payments share one
+    numbering of the orders, which writes a checkpoint.  ``tables`` are lazy
+    unions; to publish a batch, append ``invoices``, ``lines`` and ``payments``
+    instead of rewriting whole tables.
+    """
+
+    def __init__(self, t: RetailTables, staged: DataFrame, orders: DataFrame, methods: DataFrame, when: Column):
+        self._t, self._staged, self._orders, self._methods, self._when = t, staged, orders, methods, when
+
+    @cached_property
+    def _placed(self) -> DataFrame:
+        good = self._orders.filter(F.col("_order_reason").isNull())
+        return assign_keys(good, "invoice_id", ["customer_id", "order_id"], _max_id(self._t.invoices(), "invoice_id"))
+
+    @cached_property
+    def invoices(self) -> DataFrame:
+        countries = self._t.country.select("country_id", F.col("name").alias("ship_to_country"))
+        return (self._placed.join(countries, "country_id", "left")
+                .select("invoice_id", "customer_id", self._when.alias("invoice_date"), F.lit("PAID").alias("status"),
+                        F.lit("GBP").alias("currency"), "ship_to_country"))
+
+    @cached_property
+    def lines(self) -> DataFrame:
+        good = self._staged.filter(F.col("reason").isNull()).drop("customer_id")
+        lines = assign_keys(good.join(self._placed.select("order_id", "invoice_id"), "order_id"),
+                            "invoice_line_id", ["invoice_id", "request_id"], _max_id(self._t.invoice_line, "invoice_line_id"))
+        return lines.select("invoice_line_id", "invoice_id", F.col("_product").alias("product_id"),
+                            F.col("_quantity").cast("int").alias("quantity"), F.col("_price").alias("unit_price"), "line_total")
+
+    @cached_property
+    def payments(self) -> DataFrame:
+        first = _max_id(self._t.invoices(), "invoice_id")
+        return self._placed.join(self._methods, "order_id", "left").select(
+            (_max_id(self._t.payment, "payment_id") + F.col("invoice_id") - first).alias("payment_id"), "invoice_id",
+            F.coalesce("_method", F.lit("CARD")).alias("method"), F.col("subtotal").cast(MONEY_TYPE).alias("amount"),
+            self._when.alias("paid_at"), F.lit(None).cast("string").alias("external_ref"))
+
+    @cached_property
+    def rejected(self) -> DataFrame:
+        refused = self._orders.filter(F.col("_order_reason").isNotNull()).select("order_id", "_order_reason")
+        columns = ["request_id", "order_id", "customer_id", "product_id", "quantity", "reason"]
+        return (self._staged.join(refused, "order_id", "left")
+                .withColumn("reason", F.coalesce("reason", "_order_reason"))
+                .filter(F.col("reason").isNotNull()).select(*columns))
+
+    @cached_property
+    def tables(self) -> RetailTables:
+        t = self._t
+        return t.with_tables(invoice=t.invoice.unionByName(self.invoices),
+                             invoice_line=t.invoice_line.unionByName(self.lines),
+                             payment=t.payment.unionByName(self.payments))
 
 
 def place_orders(t: RetailTables, requests: DataFrame, as_of: datetime) -> PlacedOrders:
     """Turn order requests into invoices, lines and one payment per invoice.
 
-    ``requests``: (request_id, customer_id, order_day, product_id, quantity,
-    method); one order = one (customer_id, order_day).  Rules of the console
-    flow, applied to the whole batch:
+    ``requests``: (request_id, order_id, customer_id, product_id, quantity,
+    method), one row per line; product and quantity may be texts as typed in.
+    Rules of the console flow, applied to the whole batch:
 
-    * the customer must exist, else every line of the order is rejected;
-    * a line needs an integer quantity > 0 and an existing, active product,
-      else that line alone is skipped; a repeated product gives separate lines;
+    * a line needs an order id and an existing customer, a whole quantity > 0
+      and an existing, active product, else that line alone is refused; a
+      repeated product gives separate lines;
     * the price is the product's current price; line_total = quantity * price;
-    * an order whose accepted lines sum to 0 (none, or only free products) is
-      cancelled: no invoice, its lines are rejected;
+    * an order whose lines name two customers or two payment methods is refused;
+      blank methods count as none, upper and lower case as one;
+    * an order whose accepted lines sum to 0 (only free products) is cancelled:
+      no invoice, its lines are rejected;
     * invoice: status PAID, currency GBP, date ``as_of``, ship-to = name of the
       customer's country (NULL without one);
-    * payment: method upper-cased and trimmed, blank -> CARD, amount = subtotal.
+    * payment: the order's method upper-cased and trimmed, else CARD, amount = subtotal.
 
-    Ids continue after the current maxima: invoices in (customer_id,
-    order_day) order, lines in (invoice_id, request_id) order, and payment i
-    belongs to the i-th new invoice.
+    Ids continue after the current maxima: invoices in (customer_id, order_id)
+    order, lines in (invoice_id, request_id) order, and payment i belongs to
+    the i-th new invoice.  Nothing runs before an output is asked for.
     """
-    when = _ts(as_of)
-    req = requests.select("request_id", "customer_id", "order_day", "product_id",
-                          F.col("quantity").cast("bigint").alias("quantity"), "method")
+    req = (requests.select("request_id", F.col("order_id").cast("string").alias("order_id"), "customer_id", "product_id", "quantity", "method")
+           .withColumn("_product", F.col("product_id").try_cast("bigint")).withColumn("_quantity", _whole(F.col("quantity"))))
     known = t.customer.select("customer_id", "country_id").withColumn("_known", F.lit(True))
-    priced = t.product.filter(F.col("is_active")).select(
-        "product_id", F.col("unit_price").alias("_price"))
-    staged = req.join(known, "customer_id", "left").join(priced, "product_id", "left")
-    line_reason = (F.when(~_holds(F.col("_known")), "unknown customer")
-                   .when(F.col("product_id").isNull(), "invalid product id")
-                   .when(~_holds(F.col("quantity") > 0), "invalid quantity")
+    priced = t.product.filter(F.col("is_active")).select(F.col("product_id").alias("_product"), F.col("unit_price").alias("_price"))
+    staged = req.join(known, "customer_id", "left").join(priced, "_product", "left")
+    line_reason = (F.when(F.col("order_id").isNull(), "missing order id")
+                   .when(~_holds(F.col("_known")), "unknown customer")
+                   .when(F.col("_product").isNull(), "invalid product id")
+                   .when(~_holds(F.col("_quantity") > 0), "invalid quantity")
                    .when(F.col("_price").isNull(), "unknown or inactive product"))
-    # NUMERIC(12,2) overflow refuses the line instead of failing the batch.
-    line_total = (F.col("quantity").cast("decimal(20,0)") * F.col("_price")).try_cast(MONEY_TYPE)
+    # NUMERIC(12,2) and INTEGER overflow refuse the line instead of failing the batch.
+    line_total = F.when(F.col("_quantity") <= 2147483647,
+                        (F.col("_quantity").cast("decimal(20,0)") * F.col("_price")).try_cast(MONEY_TYPE))
     staged = (staged.withColumn("line_total", line_total)
               .withColumn("reason", F.coalesce(line_reason, F.when(
                   F.col("line_total").isNull(), F.lit("line total out of range")))))
 
-    order_key = ["customer_id", "order_day"]
-    good = staged.filter(F.col("reason").isNull())
-    orders = (good.groupBy(*order_key)
-              .agg(money_sum("line_total").alias("subtotal"),
-                   F.max("country_id").alias("country_id"),
-                   F.min(F.upper(F.trim(F.col("method")))).alias("_method")))
-    order_reason = (F.when(~_holds(F.col("subtotal") > 0), "order total is zero")
+    ok = F.col("reason").isNull()
+    method = F.upper(F.trim(F.col("method")))
+    methods = staged.select("order_id", method.alias("_method")).filter((F.col("_method") != "") & F.col("order_id").isNotNull()).distinct()
+    several = methods.groupBy("order_id").agg(F.count(F.lit(1)).alias("_methods")).filter(F.col("_methods") > 1)
+    orders = (staged.filter(F.col("order_id").isNotNull()).groupBy("order_id")
+              .agg(money_sum(F.when(ok, F.col("line_total"))).alias("subtotal"), F.max(F.when(ok, F.col("country_id"))).alias("country_id"),
+                   F.min("customer_id").alias("customer_id"), F.max("customer_id").alias("_other_customer"))
+              .filter(F.col("subtotal").isNotNull())  # without an accepted line there is no order
+              .join(several, "order_id", "left"))
+    order_reason = (F.when(F.col("customer_id") != F.col("_other_customer"), "customers disagree")
+                    .when(F.col("_methods") > 1, "payment methods disagree")
+                    .when(~_holds(F.col("subtotal") > 0), "order total is zero")
                     .when(F.col("subtotal") > F.lit(MAX_MONEY), "order total out of range"))
-    orders = orders.withColumn("_order_reason", order_reason)
-    placed = assign_keys(orders.filter(F.col("_order_reason").isNull()), "invoice_id", order_key,
-                         _max_id(t.invoices(), "invoice_id"))
-
-    countries = t.country.select("country_id", F.col("name").alias("ship_to_country"))
-    invoices = (placed.join(countries, "country_id", "left")
-                .select("invoice_id", "customer_id", when.alias("invoice_date"),
-                        F.lit("PAID").alias("status"), F.lit("GBP").alias("currency"),
-                        "ship_to_country"))
-
-    lines = assign_keys(
-        good.join(placed.select(*order_key, "invoice_id"), order_key),
-        "invoice_line_id", ["invoice_id", "request_id"], _max_id(t.invoice_line, "invoice_line_id"))
-    lines = lines.select("invoice_line_id", "invoice_id", "product_id",
-                         F.col("quantity").cast("int").alias("quantity"),
-                         F.col("_price").alias("unit_price"), "line_total")
-
-    method = F.when(F.col("_method").isNull() | (F.col("_method") == ""), F.lit("CARD")) \
-        .otherwise(F.col("_method"))
-    first_invoice = _max_id(t.invoices(), "invoice_id")
-    payments = placed.select(
-        (_max_id(t.payment, "payment_id") + F.col("invoice_id") - first_invoice).alias("payment_id"),
-        "invoice_id", method.alias("method"), F.col("subtotal").cast(MONEY_TYPE).alias("amount"),
-        when.alias("paid_at"), F.lit(None).cast("string").alias("external_ref"))
-
-    cancelled = (good.join(orders.filter(F.col("_order_reason").isNotNull())
-                           .select(*order_key, "_order_reason"), order_key)
-                 .withColumn("reason", F.col("_order_reason")))
-    reject_cols = ["request_id", "customer_id", "order_day", "product_id", "quantity", "reason"]
-    rejected = (staged.filter(F.col("reason").isNotNull()).select(*reject_cols)
-                .unionByName(cancelled.select(*reject_cols)))
-
-    new_tables = t.with_tables(
-        invoice=t.invoice.unionByName(invoices),
-        invoice_line=t.invoice_line.unionByName(lines),
-        payment=t.payment.unionByName(payments))
-    return PlacedOrders(new_tables, invoices, lines, payments, rejected)
+    return PlacedOrders(t, staged, orders.withColumn("_order_reason", order_reason), methods, _ts(as_of))
 
 
 # ---------------------------------------------------------------------------
 # W9 record_refunds
 
-def record_refunds(t: RetailTables, refunds: DataFrame, as_of: datetime) -> Written:
+class RecordedRefunds:
+    """The outputs of ``record_refunds``; ``rejected`` runs without the numbering of the others."""
+
+    def __init__(self, t: RetailTables, staged: DataFrame, when: Column):
+        self._t, self._staged, self._when = t, staged, when
+
+    @cached_property
+    def rejected(self) -> DataFrame:
+        return self._staged.filter(F.col("reason").isNotNull()).select(
+            "request_id", "invoice_id", F.col("amount").cast("string").alias("amount"), "reason")
+
+    @cached_property
+    def _numbered(self) -> DataFrame:
+        good = self._staged.filter(F.col("reason").isNull()).drop("amount")
+        paid = (self._t.payment.join(good.select("invoice_id").distinct(), "invoice_id", "left_semi")
+                .groupBy("invoice_id").agg(money_sum("amount").alias("_paid")))
+        good = running_sum(good, ["invoice_id"], ["request_id"], F.col("refund"), "_refunded_upto")
+        good = (good.join(paid, "invoice_id", "left")
+                .withColumn("_paid_before", F.coalesce("_paid", F.lit(0).cast("decimal(38,2)"))
+                            - (F.col("_refunded_upto") - F.col("refund"))))
+        return assign_keys(good, "payment_id", ["request_id"], _max_id(self._t.payment, "payment_id"))
+
+    @cached_property
+    def payments(self) -> DataFrame:
+        return self._numbered.select(
+            "payment_id", "invoice_id", F.lit("REFUND").alias("method"), (-F.col("refund")).cast(MONEY_TYPE).alias("amount"),
+            self._when.alias("paid_at"), F.lit(None).cast("string").alias("external_ref"))
+
+    @cached_property
+    def affected(self) -> DataFrame:
+        return self._numbered.select(
+            "request_id", "payment_id", "invoice_id", (-F.col("refund")).cast(MONEY_TYPE).alias("amount"),
+            (F.col("refund") > F.col("_paid_before")).alias("over_refund"))
+
+    @cached_property
+    def tables(self) -> RetailTables:
+        return self._t.with_tables(payment=self._t.payment.unionByName(self.payments))
+
+
+def record_refunds(t: RetailTables, refunds: DataFrame, as_of: datetime) -> RecordedRefunds:
     """Append a REFUND payment of -amount for each valid refund request.
 
-    ``refunds``: (request_id, invoice_id, amount).  The amount must be a finite
-    number > 0 (NaN and infinities are refused) and the invoice must exist.
-    The status of the invoice is not changed.  A refund larger than what was
-    paid so far is accepted with ``over_refund`` = true — "so far" includes the
-    earlier accepted refunds of the same invoice in this batch (request order),
-    as if the requests had been entered one after another.
+    ``refunds``: (request_id, invoice_id, amount).  The amount, a number or a
+    text, must be a finite number that is > 0 in cents and fits NUMERIC(12,2),
+    and the invoice must exist.  The status of the invoice is not changed.  A
+    refund larger than what was paid so far is accepted with ``over_refund`` =
+    true — "so far" includes the earlier accepted refunds of the same invoice
+    in this batch (request order), as if they had been entered one after another.
     """
-    req = refunds.select("request_id", "invoice_id", F.col("amount").cast("double").alias("_amt"))
-    known = t.invoices().select("invoice_id").distinct().withColumn("_known", F.lit(True))
+    req = (refunds.select("request_id", F.col("invoice_id"), "amount")
+           .withColumn("refund", F.col("amount").try_cast(MONEY_TYPE)))
+    known = (t.invoices().select("invoice_id").join(req.select("invoice_id").distinct(), "invoice_id", "left_semi")
+             .withColumn("_known", F.lit(True)))
     staged = req.join(known, "invoice_id", "left")
-    bad_amount = (F.col("_amt").isNull() | F.isnan("_amt") | (F.col("_amt") <= 0)
-                  | (F.col("_amt") >= F.lit(float(MAX_MONEY) + 0.005)))
-    reason = (F.when(bad_amount, "invalid amount")
+    reason = (F.when(~_holds(F.col("refund") > 0), "invalid amount")
               .when(~_holds(F.col("_known")), "unknown invoice"))
-    staged = staged.withColumn("reason", reason)
-    rejected = staged.filter(F.col("reason").isNotNull()).select(
-        "request_id", "invoice_id", F.col("_amt").alias("amount"), "reason")
-
-    good = (staged.filter(F.col("reason").isNull())
-            .withColumn("refund", F.col("_amt").cast(MONEY_TYPE)))
-    paid = t.payment.groupBy("invoice_id").agg(money_sum("amount").alias("_paid"))
-    good = running_sum(good, ["invoice_id"], ["request_id"], F.col("refund"), "_refunded_upto")
-    good = (good.join(paid, "invoice_id", "left")
-            .withColumn("_paid_before", F.coalesce("_paid", F.lit(0).cast("decimal(38,2)"))
-                        - (F.col("_refunded_upto") - F.col("refund"))))
-    numbered = assign_keys(good, "payment_id", ["request_id"], _max_id(t.payment, "payment_id"))
-    new_payments = numbered.select(
-        "payment_id", "invoice_id", F.lit("REFUND").alias("method"),
-        (-F.col("refund")).cast(MONEY_TYPE).alias("amount"), _ts(as_of).alias("paid_at"),
-        F.lit(None).cast("string").alias("external_ref"))
-    affected = numbered.select(
-        "request_id", "payment_id", "invoice_id", (-F.col("refund")).cast(MONEY_TYPE).alias("amount"),
-        (F.col("refund") > F.col("_paid_before")).alias("over_refund"))
-    return Written(t.with_tables(payment=t.payment.unionByName(new_payments)), affected, rejected)
+    return RecordedRefunds(t, staged.withColumn("reason", reason), _ts(as_of))

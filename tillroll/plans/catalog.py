@@ -21,7 +21,7 @@ from tillroll.plans.oracle_sql import PARAMS as P
 from tillroll.sources.requests import (brand_pairs, inactive_type_pairs, load_order_requests,
                                        load_refund_requests, new_category_rows)
 from tillroll.sources.starmap import load_star, raw_table
-from tillroll.sources.tables import payments_from_totals
+from tillroll.sources.tables import payments_from_totals, payments_from_totals_rejected
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,16 +61,18 @@ REPORT_QUERIES: dict[str, Query] = {
     "orders_per_customer": _report(R.orders_per_customer),
     "avg_order_value": _report(R.avg_order_value),
     "monthly_revenue": _report(R.monthly_revenue),
-    "customers_without_orders": _report(R.customers_without_orders,
-                                        since=_day(P["customers_since"])),
-    "products_never_ordered": _report(R.products_never_ordered, since=_day(P["products_since"])),
+    "customers_without_orders": _report(R.customers_without_orders),
+    "customers_without_orders_since": _report(R.customers_without_orders, since=_day(P["customers_since"])),
+    "products_never_ordered": _report(R.products_never_ordered),
+    "products_never_ordered_since": _report(R.products_never_ordered, since=_day(P["products_since"])),
     "top_customers": _report(R.top_customers, n=3),
     "top_customers_with_ties": _report(R.top_customers, n=P["top_n_ties"], ties="keep"),
     "partial_refunds": _report(R.partial_refunds),
     "partial_refunds_fanout": _report(R.partial_refunds, literal=True),
-    "last_order_per_customer": _report(R.last_order, since=_day(P["last_order_since"])),
-    "buyers_of_category": _report(R.buyers_of_category, P["buyers_category"],
-                                  since=_day(P["buyers_since"])),
+    "last_order_per_customer": _report(R.last_order),
+    "last_order_per_customer_since": _report(R.last_order, since=_day(P["last_order_since"])),
+    "buyers_of_category": _report(R.buyers_of_category, P["buyers_category"]),
+    "buyers_of_category_since": _report(R.buyers_of_category, P["buyers_category"], since=_day(P["buyers_since"])),
     "invoices_above_average": _report(R.invoices_above_average),
     "product_keyword_search": _report(R.search_products, P["keyword"]),
     "customers_min_revenue": _report(R.customers_min_revenue, Decimal(P["min_revenue"])),
@@ -106,6 +108,13 @@ def _brands_mapped(spark, sf_dir):
     return W.map_products(after, brand_pairs(raw_table(spark, sf_dir, "part")))
 
 
+def _brands_mapped_again(spark, sf_dir):
+    # the brands aren't categories yet, and the inactive products are mapped to their types already
+    part = raw_table(spark, sf_dir, "part")
+    t = load_star(spark, sf_dir)
+    return W.map_products(t, brand_pairs(part).unionByName(inactive_type_pairs(part)))
+
+
 def _inactive_unmapped(spark, sf_dir):
     return W.unmap_products(load_star(spark, sf_dir),
                             inactive_type_pairs(raw_table(spark, sf_dir, "part")))
@@ -121,8 +130,11 @@ def _purged(spark, sf_dir):
 
 
 def _placed(spark, sf_dir):
-    return W.place_orders(load_star(spark, sf_dir), load_order_requests(spark, sf_dir),
-                          _day(P["orders_as_of"]))
+    # every fifth product is given away, so that some orders are cancelled
+    t = load_star(spark, sf_dir)
+    free = F.when(F.col("product_id") % 5 == 0, F.lit(Decimal("0.00"))).otherwise(F.col("unit_price"))
+    t = t.with_tables(product=t.product.withColumn("unit_price", free.cast("decimal(12,2)")))
+    return W.place_orders(t, load_order_requests(spark, sf_dir), _day(P["orders_as_of"]))
 
 
 def _refunded(spark, sf_dir):
@@ -134,6 +146,12 @@ WRITE_QUERIES: dict[str, Query] = {
     "mark_shipped_affected": _write(_shipped, lambda w: w.affected),
     "mark_shipped_state": _write(_shipped, lambda w: w.tables.invoice),
     "add_category_inserted": _write(_categories_added, lambda w: w.affected),
+    "add_category_state": _write(_categories_added, lambda w: w.tables.category),
+    "map_product_category_state": _write(_brands_mapped, lambda w: w.tables.product_category),
+    "map_product_category_rejected": _write(_brands_mapped_again, lambda w: w.rejected),
+    "unmap_product_category_state": _write(_inactive_unmapped, lambda w: w.tables.product_category),
+    "place_orders_state": _write(_placed, lambda w: w.tables.invoice),
+    "record_refunds_state": _write(_refunded, lambda w: w.tables.payment),
     "add_category_rejected": _write(_categories_added, lambda w: w.rejected),
     "map_product_category_inserted": _write(_brands_mapped, lambda w: w.affected),
     "unmap_product_category_removed": _write(_inactive_unmapped, lambda w: w.affected),
@@ -173,7 +191,70 @@ def _payments_from_totals(spark, sf_dir):
     return payments_from_totals(t, t.invoices(), P["seed_method"], _day(P["seed_paid_at"]))
 
 
+def _customers_emptied(spark, sf_dir):
+    t = load_star(spark, sf_dir)
+    return Q.cascade_delete(t, "invoice", t.invoices().filter(F.col("customer_id") % 10 == 0).select("invoice_id")).tables
+
+
+def _early_invoices_deleted(spark, sf_dir):
+    t = load_star(spark, sf_dir)
+    return Q.cascade_delete(t, "invoice", t.invoices().filter(F.col("invoice_date") < _day(P["products_since"])).select("invoice_id")).tables
+
+
+def _spoilt(spark, sf_dir):
+    """The tables with violations of C3 to C6 put in by rule, as a faulty load would leave them."""
+    t = load_star(spark, sf_dir)
+    money = lambda c, bad, value: F.when(bad, value).otherwise(F.col(c)).cast("decimal(20,2)")
+    product = t.product.filter(F.col("product_id") % 50 != 0).select(
+        "product_id", F.when(F.col("product_id") % 41 == 0, F.repeat("sku", 6)).otherwise(F.col("sku")).alias("sku"),
+        F.when(F.col("product_id") % 43 != 0, F.col("name")).alias("name"), "description",
+        money("unit_price", F.col("product_id") % 37 == 0, F.lit(Decimal("-1.00"))).alias("unit_price"), "is_active", "created_at")
+    line = t.invoice_line.select(
+        "invoice_line_id", "invoice_id", "product_id",
+        F.when(F.col("invoice_line_id") % 997 == 0, 0).otherwise(F.col("quantity")).alias("quantity"), "unit_price",
+        money("line_total", F.col("invoice_line_id") % 991 == 0, F.lit(Decimal("10000000000.00"))).alias("line_total"))
+    payment = t.payment.withColumn("amount", F.when(F.col("payment_id") % 983 != 0, F.col("amount")))
+    invoice = t.invoice.filter(F.col("invoice_id") % 100 != 0).withColumn(
+        "currency", F.when(F.col("invoice_id") % 89 == 0, "STERLING").otherwise(F.col("currency")))
+    return t.with_tables(product=product, invoice_line=line, payment=payment, invoice=invoice)
+
+
+def _on(make, fn, *args) -> Query:
+    """A report or check on a derived state of the tables."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(make(spark, sf_dir), *args)
+    run.__name__ = fn.__name__
+    return run
+
+
+def _line_totals_derived(spark, sf_dir):
+    return Q.derive_line_total(load_star(spark, sf_dir).invoice_line.filter(F.col("unit_price").isNotNull()).drop("line_total"))
+
+
+def _defaults(table: str, *columns: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return Q.apply_defaults(load_star(spark, sf_dir).table(table).select(*columns), table, _day(P["defaults_as_of"]))
+    return run
+
+
+def _payments_refused(spark, sf_dir):
+    t = load_star(spark, sf_dir)
+    return payments_from_totals_rejected(t, t.invoices())
+
+
 QUALITY_QUERIES: dict[str, Query] = {
+    "customers_without_orders_after_delete": _on(_customers_emptied, R.customers_without_orders),
+    "products_never_ordered_after_delete": _on(_early_invoices_deleted, R.products_never_ordered),
+    "spoilt_foreign_keys": _on(_spoilt, Q.check_foreign_keys),
+    "spoilt_not_null": _on(_spoilt, Q.check_not_null),
+    "spoilt_domains": _on(_spoilt, Q.check_domains),
+    "spoilt_lengths": _on(_spoilt, Q.check_lengths),
+    "derive_line_total": _line_totals_derived,
+    "apply_defaults_customer": _defaults("customer", "customer_id", "full_name"),
+    "apply_defaults_product": _defaults("product", "product_id", "sku", "name", "unit_price"),
+    "apply_defaults_payment": _defaults("payment", "payment_id", "invoice_id", "method", "amount"),
+    "payment_from_invoice_totals_rejected": _payments_refused,
+    "cascade_delete_state": _write(_pending_invoices_deleted, lambda w: w.tables.invoice_line),
     "payment_from_invoice_totals": _payments_from_totals,
     "check_primary_keys": _report(Q.check_primary_keys),
     "check_unique": _report(Q.check_unique),

@@ -1,12 +1,13 @@
 """Batch request DataFrames derived from the driver's ``events`` table.
 
-The reference takes orders and refunds one at a time from a console prompt;
-here a batch of requests is a DataFrame:
-
-* order requests  <- ``purchase`` events: one order per (user, calendar day),
-  one line per event, product = integer ``k`` of the JSON props, quantity =
-  floor(value) % 6 (so 0, an invalid quantity, occurs), payment method blank
-* refund requests <- ``error`` events: invoice = event_id, amount = value
+The reference takes orders and refunds one at a time from a console prompt, as
+typed texts; here a batch of requests is a DataFrame of such texts:
+
+* order requests  <- ``purchase`` events: one line per event; orders are
+  (user, calendar day, parity of the event id), so that a customer may place two
+  a day; some products, quantities, customers and methods are bad by rule
+* refund requests <- ``error`` events: invoice = event_id, amount = value in
+  cents; some amounts and invoices are bad by rule
 """
 
 from __future__ import annotations
@@ -22,22 +23,26 @@ QUANTITY_MODULUS = 6
 
 
 def order_requests(events: DataFrame) -> DataFrame:
-    """(request_id, customer_id, order_day, product_id, quantity, method)."""
+    """(request_id, order_id, customer_id, product_id, quantity, method)."""
+    e, user = F.col("event_id"), F.col("user_id")
+    quantity = (F.floor("value") % QUANTITY_MODULUS).cast("string")
     return (events.filter(F.col("event_type") == ORDER_EVENT)
-            .select(F.col("event_id").alias("request_id"),
-                    F.col("user_id").alias("customer_id"),
-                    F.to_date("ts").alias("order_day"),
-                    F.get_json_object("props", "$.k").cast("bigint").alias("product_id"),
-                    (F.floor("value") % QUANTITY_MODULUS).alias("quantity"),
-                    F.lit(None).cast("string").alias("method")))
+            .select(e.alias("request_id"),
+                    F.concat_ws("-", user.cast("string"), F.to_date("ts").cast("string"), (e % 2).cast("string")).alias("order_id"),
+                    F.when(user % 23 == 0, -user - 1).when(e % 29 == 0, user + 1).otherwise(user).alias("customer_id"),
+                    F.when(e % 17 == 0, "x").otherwise(F.get_json_object("props", "$.k")).alias("product_id"),
+                    F.when(e % 11 == 0, "abc").when(e % 13 == 0, F.concat(quantity, F.lit(".5"))).otherwise(quantity).alias("quantity"),
+                    F.when(e % 31 == 0, "CASH").when(user % 4 == 0, " paypal ").when(user % 4 == 1, " ").when(user % 4 == 2, "Card")
+                    .alias("method")))
 
 
 def refund_requests(events: DataFrame) -> DataFrame:
-    """(request_id, invoice_id, amount) with the amount as given (a double)."""
+    """(request_id, invoice_id, amount) with the amount as a text."""
+    e = F.col("event_id")
     return (events.filter(F.col("event_type") == REFUND_EVENT)
-            .select(F.col("event_id").alias("request_id"),
-                    F.col("event_id").alias("invoice_id"),
-                    F.col("value").alias("amount")))
+            .select(e.alias("request_id"), F.when(e % 5 == 0, -e).otherwise(e).alias("invoice_id"),
+                    F.when(e % 7 == 0, "abc").when(e % 11 == 0, "-5.00")
+                    .otherwise(F.col("value").cast("decimal(18,2)").cast("string")).alias("amount")))
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,12 +10,14 @@ Nothing is collected and no global ordering is needed:
                       p_size <= 45, price = p_retailprice as decimal(12,2))
 * category         <- distinct words of p_name and the p_type values; the id
                       is a 60-bit prefix of md5(name), computed per row, so
-                      the bridge needs no join to find it
+                      the bridge needs no join to find it; two names with one
+                      id fail the query that reads the categories
 * product_category <- (p_partkey, id of each distinct word / type of that part)
 * invoice          <- orders (status F/O/P -> SHIPPED/PAID/PENDING, GBP,
                       ship-to = name of the customer's nation)
 * invoice_line     <- lineitem (id = orderkey * 1000 + linenumber, which is not
-                      unique in the data — the PK check reports it; line_total =
+                      unique in the data — the PK check reports it; a line
+                      number outside 1 to 999 fails the query; line_total =
                       l_extendedprice; unit_price = line_total / quantity
                       rounded half-up to the cent)
 * payment          <- one CARD payment per order for the sum of its lines, plus
@@ -25,7 +27,7 @@ Nothing is collected and no global ordering is needed:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.money import from_cents
@@ -108,7 +110,7 @@ def product(part: DataFrame) -> DataFrame:
         sku_of(F.col("p_partkey")).alias("sku"),
         F.col("p_name").alias("name"),
         F.lit(None).cast("string").alias("description"),
-        F.col("p_retailprice").cast("decimal(12,2)").alias("unit_price"),
+        F.col("p_retailprice").try_cast("decimal(12,2)").alias("unit_price"),
         (F.col("p_size") <= ACTIVE_MAX_SIZE).alias("is_active"),
         F.lit(None).cast("timestamp_ntz").alias("created_at"),
     )
@@ -126,8 +128,12 @@ def _part_category_names(part: DataFrame) -> DataFrame:
 
 
 def category(part: DataFrame) -> DataFrame:
+    clash = F.raise_error(F.concat(F.lit("two category names have one id, among them "), F.col("name")))
+    same = F.count(F.lit(1)).over(Window.partitionBy("category_id"))  # over distinct names: a few rows
     return (_part_category_names(part).select("name").distinct()
-            .select(category_id(F.col("name")).alias("category_id"), "name",
+            .select(category_id(F.col("name")).alias("category_id"), "name")
+            .withColumn("_same", same)
+            .select("category_id", F.when(F.col("_same") > 1, clash).otherwise(F.col("name")).alias("name"),
                     F.lit(None).cast("string").alias("description")))
 
 
@@ -164,8 +170,16 @@ def invoice(orders: DataFrame, cust: DataFrame, nation: DataFrame) -> DataFrame:
         "invoice_id", "customer_id", "invoice_date", "status", "currency", "ship_to_country")
 
 
+def _line_id() -> Column:
+    """orderkey * stride + line number; a number that the stride can't hold fails loudly."""
+    bad = F.raise_error(F.concat(F.lit("line number outside the id stride: "), F.col("l_linenumber").cast("string")))
+    return F.when(F.col("l_linenumber").between(1, LINE_ID_STRIDE - 1),
+                  F.col("l_orderkey") * LINE_ID_STRIDE + F.col("l_linenumber")).otherwise(bad.cast("bigint"))
+
+
 def _line_total() -> Column:
-    return F.col("l_extendedprice").cast("decimal(12,2)")
+    """NULL for a price outside NUMERIC(12,2); check_numeric_ranges reports it."""
+    return F.col("l_extendedprice").try_cast("decimal(12,2)")
 
 
 def _unit_price(total: Column, qty: Column) -> Column:
@@ -184,7 +198,7 @@ def invoice_line(lineitem: DataFrame) -> DataFrame:
     qty = F.col("l_quantity").cast("int")
     unit = _unit_price(_line_total(), qty)
     return lineitem.select(
-        (F.col("l_orderkey") * LINE_ID_STRIDE + F.col("l_linenumber")).alias("invoice_line_id"),
+        _line_id().alias("invoice_line_id"),
         F.col("l_orderkey").alias("invoice_id"),
         F.col("l_partkey").alias("product_id"),
         qty.alias("quantity"),
@@ -195,15 +209,16 @@ def invoice_line(lineitem: DataFrame) -> DataFrame:
 
 def payment(lineitem: DataFrame) -> DataFrame:
     card = (lineitem.groupBy("l_orderkey")
-            .agg(F.sum(_line_total()).cast("decimal(12,2)").alias("amount"),
+            .agg(F.sum(_line_total()).try_cast("decimal(12,2)").alias("amount"),
                  F.min("l_shipdate").alias("paid_at"))
+            .filter(F.col("amount").isNotNull())  # a sum out of range is no payment
             .select((F.col("l_orderkey") * LINE_ID_STRIDE).alias("payment_id"),
                     F.col("l_orderkey").alias("invoice_id"),
                     F.lit("CARD").alias("method"), "amount", "paid_at",
                     F.concat(F.lit("PAY-"), F.col("l_orderkey").cast("string")).alias("external_ref")))
     refund = (lineitem.filter((F.col("l_returnflag") == REFUND_FLAG)
                               & (F.col("l_linestatus") == REFUND_STATUS))
-              .select((F.col("l_orderkey") * LINE_ID_STRIDE + F.col("l_linenumber")).alias("payment_id"),
+              .select(_line_id().alias("payment_id"),
                       F.col("l_orderkey").alias("invoice_id"),
                       F.lit("REFUND").alias("method"),
                       (-_line_total()).alias("amount"),
@@ -227,8 +242,7 @@ def load_star(spark: SparkSession, sf_dir: str, materialize: bool | None = None)
     (or ``tillroll.star.materialize=true``) the mapping runs once per session
     and directory as a load job instead: the eight mapped tables are written as
     a snapshot under the session's ``spark.checkpoint.dir`` (a shared folder on
-    a cluster), in files sized for parallel scans, and read back with their
-    declared schemas — the typed retail model without per-query
+    a cluster) and read back with their declared schemas — the typed retail model without per-query
     double-to-decimal casts, payment aggregation or ship-to join.  The written
     snapshot also cuts the lineage, so a lost executor never re-derives it.
     """
@@ -250,7 +264,7 @@ def _materialized(spark: SparkSession, sf_dir: str, lazy: RetailTables) -> Retai
 
     tag = hashlib.md5(sf_dir.rstrip("/").encode()).hexdigest()[:12]
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tillroll-star/{tag}-{uuid.uuid4().hex[:8]}"
-    write_snapshot(lazy, root, "0001", layout="parallel")
+    write_snapshot(lazy, root, "0001")
     return load_tables(spark, root)
 
 

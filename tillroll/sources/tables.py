@@ -15,14 +15,15 @@ rewritten: their manifest entry keeps the previous path.
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.functions.sequence import assign_keys
 from tillroll.functions.times import ntz
-from tillroll.plans.sizing import largest_input_bytes
 from tillroll.sources.schema import SCHEMAS, TABLE_NAMES, RetailTables
 
 MANIFESTS = "_manifests"
@@ -56,49 +57,30 @@ def load_tables(spark: SparkSession, root: str, snapshot: str | None = None) ->
     return RetailTables(**{name: read_table(spark, paths[name], name) for name in TABLE_NAMES})
 
 
-TARGET_FILE_BYTES = 256 * 1024 * 1024
-MIN_SPLIT_BYTES = 1024 * 1024
-
-
-def file_count(df: DataFrame) -> int:
-    """Files to write for ``df``: about 256 MB each, but spread over at least the
-    cluster's default parallelism once the table exceeds a few MB, so that a
-    mid-sized table is still scanned by many tasks.
-
-    The size is that of the largest input relation (from file sizes, no pass
-    over the data): the mapped tables are projections, filters and aggregates
-    of one fact or dimension table, and a join's own estimate without column
-    statistics is a product of its inputs, far too large to use."""
-    size = largest_input_bytes(df)
-    parallelism = df.sparkSession.sparkContext.defaultParallelism
-    by_target = -(-size // TARGET_FILE_BYTES)
-    return max(1, min(-(-size // MIN_SPLIT_BYTES), max(parallelism, by_target)))
-
-
 def write_snapshot(t: RetailTables, root: str, snapshot: str,
                    base: RetailTables | None = None,
-                   base_paths: dict[str, str] | None = None,
-                   layout: str = "as_is") -> dict[str, str]:
+                   base_paths: dict[str, str] | None = None) -> dict[str, str]:
     """Write the tables of ``t`` that differ from ``base`` and publish them.
 
-    ``snapshot`` must sort after the snapshots already published (e.g. a
-    zero-padded sequence number or an ISO timestamp).  ``layout="parallel"``
-    rewrites each table into ``file_count`` files (one round-robin shuffle);
-    ``"as_is"`` keeps the partitioning the plan produces.  Returns the manifest.
+    ``snapshot`` must sort after every published snapshot (e.g. a zero-padded
+    sequence number or an ISO timestamp), else readers would never see it; a
+    ValueError refuses it.  The data go to a folder of this attempt, so a
+    publication that failed half-way can be tried again.  Returns the manifest.
     """
     spark = t.country.sparkSession
     root = root.rstrip("/")
+    newest = _newest(spark, root)
+    if newest is not None and not snapshot > newest:
+        raise ValueError(f"snapshot {snapshot!r} does not sort after the published {newest!r}")
+    attempt = f"{root}/data/{snapshot}-{uuid.uuid4().hex[:12]}"
     paths: dict[str, str] = {}
     for name in TABLE_NAMES:
         df = t.table(name)
         if base is not None and base_paths and df is base.table(name) and name in base_paths:
             paths[name] = base_paths[name]
             continue
-        path = f"{root}/data/{snapshot}/{name}"
-        out = df.select(*SCHEMAS[name].fieldNames())
-        if layout == "parallel":
-            out = out.repartition(file_count(out))
-        out.write.mode("errorifexists").parquet(path)
+        path = f"{attempt}/{name}"
+        df.select(*SCHEMAS[name].fieldNames()).write.mode("errorifexists").parquet(path)
         paths[name] = path
     rows = [(snapshot, name, path) for name, path in paths.items()]
     (spark.createDataFrame(rows, "snapshot STRING, table_name STRING, path STRING")
@@ -106,20 +88,42 @@ def write_snapshot(t: RetailTables, root: str, snapshot: str,
     return paths
 
 
+def _newest(spark: SparkSession, root: str) -> str | None:
+    """The newest published snapshot, None before the first one."""
+    try:
+        m = (spark.read.schema("snapshot STRING").option("recursiveFileLookup", "true")
+             .json(f"{root}/{MANIFESTS}"))
+    except AnalysisException as missing:
+        if missing.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    return m.agg(F.max("snapshot")).first()[0]
+
+
+def _invoice_sums(t: RetailTables, invoices: DataFrame) -> DataFrame:
+    """(invoice_id, amount) of each requested invoice, NULL without a sum in NUMERIC(12,2)."""
+    wanted = invoices.select("invoice_id").distinct()
+    totals = (t.invoice_line.join(wanted, "invoice_id", "left_semi").groupBy("invoice_id")
+              .agg(F.sum("line_total").try_cast("decimal(12,2)").alias("amount")))
+    return wanted.join(totals, "invoice_id", "left")
+
+
 def payments_from_totals(t: RetailTables, invoices: DataFrame, method: str,
                          paid_at: datetime, ref_prefix: str = "PAY-") -> DataFrame:
-    """One payment per requested invoice for the sum of its lines (the seed's
-    ``amount = (SELECT SUM(line_total) ...)``), in one aggregation rather than
-    one subquery per invoice.  An invoice without lines pays NULL, as the scalar
-    subquery would.  Ids continue after the current maximum in invoice order.
+    """One payment per requested invoice for the sum of its lines, in one aggregation
+    rather than one subquery per invoice.  ``payment.amount`` is NOT NULL, so an invoice
+    without lines (or with a sum out of range) gets none: ``payments_from_totals_rejected``
+    lists it.  Ids continue after the current maximum in invoice order.
     """
-    totals = t.invoice_line.groupBy("invoice_id").agg(F.sum("line_total").alias("amount"))
-    wanted = invoices.select("invoice_id").distinct()
     start = F.coalesce(t.payment.agg(F.max("payment_id")).scalar(), F.lit(0))
-    rows = wanted.join(totals, "invoice_id", "left").select(
-        "invoice_id", F.lit(method).alias("method"),
-        F.col("amount").cast("decimal(12,2)").alias("amount"),
-        ntz(paid_at).alias("paid_at"),
+    rows = _invoice_sums(t, invoices).filter(F.col("amount").isNotNull()).select(
+        "invoice_id", F.lit(method).alias("method"), "amount", ntz(paid_at).alias("paid_at"),
         F.concat(F.lit(ref_prefix), F.col("invoice_id").cast("string")).alias("external_ref"))
     return assign_keys(rows, "payment_id", ["invoice_id"], start).select(
         *SCHEMAS["payment"].fieldNames())
+
+
+def payments_from_totals_rejected(t: RetailTables, invoices: DataFrame) -> DataFrame:
+    """(invoice_id, reason) of the requested invoices that get no payment."""
+    return (_invoice_sums(t, invoices).filter(F.col("amount").isNull())
+            .select("invoice_id", F.lit("no lines or total out of range").alias("reason")))
