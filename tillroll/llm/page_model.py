@@ -282,7 +282,7 @@ def main_texts(model: TreeModel, sources: list[str | None]) -> list[str]:
             for (_, blocks), start in zip(pages, f.first, strict=False)]
 
 
-def labelled_pages(count: int = 240, seed: int = 21) -> list[str]:
+def labelled_pages(count: int = 700, seed: int = 21) -> list[str]:
     """Pages of common layouts with labelled elements; words are random, so that only form counts."""
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(1, 9)))
@@ -324,7 +324,7 @@ def labelled_pages(count: int = 240, seed: int = 21) -> list[str]:
             name = attr("content", "article", "main", "story", "post", "entry", "body", "text")
         inner = [f"<h1>{sentence(2, 9)}</h1>"] if rng.random() < 0.8 else []
         for _ in range(rng.randint(1, 9)):
-            inner.append(rng.choice(junk[7:])() if rng.random() < 0.12 else rng.choice(body)())
+            inner.append(rng.choice(junk[7:])() if rng.random() < 0.25 else rng.choice(body)())
         main = start.format(name + " data-content=1") + "".join(inner) + stop
         if rng.random() < 0.2:
             main = f"<div{attr('wrapper', 'container', 'page', 'layout')}>{main}</div>"

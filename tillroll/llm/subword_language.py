@@ -121,6 +121,7 @@ def train(texts: list[str], labels: list[str], dim: int = 16, epochs: int = 4, r
     bags = _bags(pa.array(samples))
     embed = rng.normal(0, 0.1, (BUCKETS, dim))
     weight, bias = rng.normal(0, 0.1, (dim, len(languages))), np.zeros(len(languages))
+    epochs = max(epochs, -(-6000 // len(bags)))  # a small sample is gone through more often
     steps = epochs * len(bags)
     done = 0
     for _ in range(epochs):
