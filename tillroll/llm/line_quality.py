@@ -147,7 +147,12 @@ def marginals(emission: np.ndarray, doc: np.ndarray, change: np.ndarray) -> tupl
 
 def train(column: pa.Array, labels: np.ndarray, steps: int = 150, rate: float = 0.1, decay: float = 1e-3) -> LineModel:
     labels = np.asarray(labels, dtype=float)
-    doc, _, features = line_features(column)
+    parts = []
+    for start in range(0, len(column), 64):  # a few rows at a time: byte tables of all would be large
+        d, _, f = line_features(column.slice(start, 64))
+        parts.append((d + start, f))
+    doc = np.concatenate([d for d, _ in parts] or [np.zeros(0, np.int64)])
+    features = np.concatenate([f for _, f in parts] or [np.zeros((0, 12))])
     empty = LineModel(np.zeros((12, BINS - 1)), np.zeros((3, 12, BINS)), 0.0, np.zeros((2, 2)))
     if not len(doc) or labels[np.unique(doc)].min() == labels[np.unique(doc)].max():
         empty.constant = float(labels.mean()) if len(labels) else 0.5

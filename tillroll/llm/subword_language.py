@@ -90,13 +90,17 @@ def subwords(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(buckets)
 
 
-def _bags(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(buckets, weights that add up to 1) of each row."""
-    row, bucket = subwords(column)
-    both, count = np.unique(row.astype(np.int64) << 32 | bucket, return_counts=True)
-    cuts = np.searchsorted(both >> 32, np.arange(len(column) + 1))
-    return [((both[a:b] & 0xFFFFFFFF).astype(np.int64), count[a:b] / max(1, count[a:b].sum()))
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+def _bags(column: pa.Array, rows: int = 64) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, weights that add up to 1) of each row; a few rows at a time, since all grams of all are many."""
+    out = []
+    for start in range(0, len(column), rows):
+        part = column.slice(start, rows)
+        row, bucket = subwords(part)
+        both, count = np.unique(row.astype(np.int64) << 32 | bucket, return_counts=True)
+        cuts = np.searchsorted(both >> 32, np.arange(len(part) + 1))
+        out += [((both[a:b] & 0xFFFFFFFF).astype(np.int32), (count[a:b] / max(1, count[a:b].sum())).astype(np.float32))
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return out
 
 
 def train(texts: list[str], labels: list[str], dim: int = 16, epochs: int = 4, rate: float = 3.0,
@@ -148,14 +152,18 @@ def train(texts: list[str], labels: list[str], dim: int = 16, epochs: int = 4, r
 
 
 def _calibrate(model: LanguageModel, texts: list[str], target: np.ndarray, precision: float, loss: float) -> None:
-    column = pa.array(texts)
+    raw = np.concatenate([np.log(model.probabilities(pa.array(texts[i:i + 64]))[0] + 1e-300) for i in range(0, len(texts), 64)])
+
+    def shares(t: float) -> np.ndarray:
+        p = np.exp((raw - raw.max(axis=1, keepdims=True)) / t)
+        return p / p.sum(axis=1, keepdims=True)
+
     best = (np.inf, 1.0)
     for t in np.geomspace(0.1, 10, 41):
-        model.temperature = float(t)
-        p, _ = model.probabilities(column)
+        p = shares(float(t))
         best = min(best, (-np.log(p[np.arange(len(target)), target] + 1e-9).mean(), float(t)))
     model.temperature = best[1]
-    p, _ = model.probabilities(column)
+    p = shares(model.temperature)
     score, right = p.max(axis=1), p.argmax(axis=1) == target
     order = np.argsort(-score)
     exact = np.cumsum(right[order]) / np.arange(1, len(order) + 1)
