@@ -178,7 +178,8 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
     """Train on at most ``bound`` documents a language, none of them held out."""
     rows = docs.select(docs[key].alias("k"), docs[text].alias("t"), docs[label].alias("l")).where(
         "k IS NOT NULL AND t IS NOT NULL AND l IS NOT NULL").where(~held_out(F.col("k")))
-    some = sorted(bounded_sample(rows, "l", "k", bound).select("k", "t", "l").collect())
+    chosen = bounded_sample(rows.select("k", "l"), "l", "k", bound).select("k").distinct()
+    some = sorted(rows.join(F.broadcast(chosen), "k").dropDuplicates(["k"]).select("k", "t", "l").collect())
     return train([r.t for r in some], [r.l for r in some])
 
 
