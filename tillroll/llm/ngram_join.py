@@ -35,8 +35,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .tables import cut, texts
-from .words import Words, grams, mix, slices
+from .tables import bounded, cut, texts
+from .words import Words, grams, mix, slices, unzipped, zipped
 
 U64 = np.uint64
 #: Count-Min cells: 4 MB whatever the corpus.
@@ -47,9 +47,9 @@ ORDERS = (0x51, 0xA7, 0x1F3)
 TOKEN = U64((1 << 56) - 1)
 
 
-def token_sets(piece: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
+def token_sets(text: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(row of each token, 56-bit token), sorted by both and distinct, of at most 256 rows."""
-    words = Words(piece.column("text"), lower=True)
+    words = Words(text, lower=True)
     row = words.row()
     n = len(row) - size + 1
     token, owner = np.zeros(0, U64), np.zeros(0, np.int64)
@@ -72,7 +72,7 @@ def _count_tokens(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, dtype=np.uint32)
         for piece in slices(batches, "text", max_rows=256):
-            _, token = token_sets(piece, size)
+            _, token = token_sets(piece.column("text"), size)
             cells += np.bincount(_cells(token), minlength=CELLS).astype(np.uint32) if len(token) > CELLS // 8 else 0
             if len(token) <= CELLS // 8:
                 np.add.at(cells, _cells(token), 1)
@@ -101,14 +101,18 @@ def frequency_ranks(known: DataFrame, size: int) -> np.ndarray:
 
 
 def _profiles(size: int, percent: int, ranks: np.ndarray):
-    """doc_id, class, n and the prefixes under each order (prefixes once a class and task)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("class", pa.int64()), ("n", pa.int32())]
-                       + [(f"p{i}", pa.list_(pa.int64())) for i in range(len(ORDERS))])
+    """doc_id, class, n and the prefixes under each order (prefixes once a class and task).
+
+    Under the further orders they are only compared within a pair: 32 bits of each token do, as equal
+    bits of other tokens can but let a pair pass to verification.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("class", pa.int64()), ("n", pa.int32()), ("p0", pa.list_(pa.int64()))]
+                       + [(f"p{i}", pa.list_(pa.int32())) for i in range(1, len(ORDERS))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for piece in slices(batches, "text", max_rows=256):
-            row, token = token_sets(piece, size)
+            row, token = token_sets(piece.column("text"), size)
             n = np.bincount(row, minlength=piece.num_rows)
             first = np.concatenate(([0], np.cumsum(n)))
             kind = class_keys(token, first)
@@ -121,11 +125,13 @@ def _profiles(size: int, percent: int, ranks: np.ndarray):
             lists = []
             for seed in ORDERS:
                 order = np.lexsort((mix(token ^ U64(seed)) >> U64(6) | rank, row))
-                lists.append(pa.ListArray.from_arrays(offsets, pa.array(token[order][at].view(np.int64))))
+                chosen = token[order][at]
+                lists.append(pa.ListArray.from_arrays(offsets, pa.array(
+                    chosen.astype(np.uint32).view(np.int32) if lists else chosen.view(np.int64))))
             yield pa.RecordBatch.from_arrays(
                 [piece.column("doc_id").cast(pa.int64()), pa.array(kind), pa.array(n, pa.int32()), *lists], schema=schema)
 
-    return run, "doc_id long, class long, n int, " + ", ".join(f"p{i} array<long>" for i in range(len(ORDERS)))
+    return run, "doc_id long, class long, n int, p0 array<long>, " + ", ".join(f"p{i} array<int>" for i in range(1, len(ORDERS)))
 
 
 def class_keys(token: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -138,28 +144,31 @@ def class_keys(token: np.ndarray, first: np.ndarray) -> np.ndarray:
         return mix(a + mix(b + n.astype(U64))).view(np.int64)
 
 
-def _sets(size: int):
-    """class and the whole sorted set, packed."""
+def _bodies(size: int):
+    """class and the compressed text, a third of its set's bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text", max_rows=256):
-            row, token = token_sets(piece, size)
-            first = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=piece.num_rows))))
-            blobs = [token[first[r]:first[r + 1]].tobytes() for r in range(piece.num_rows)]
-            yield pa.RecordBatch.from_arrays([pa.array(class_keys(token, first)), pa.array(blobs, pa.binary())],
-                                             names=["class", "tokens"])
+            _, kind = _classes(piece.column("text"), size)
+            yield pa.RecordBatch.from_arrays([pa.array(kind), zipped(piece.column("text"))], names=["class", "body"])
+
+    return run, "class long, body binary"
 
-    return run, "class long, tokens binary"
 
+def _classes(text: pa.Array, size: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """(the token set of each text, its class)."""
+    row, token = token_sets(text, size)
+    first = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(text)))))
+    return np.split(token, first[1:-1]), class_keys(token, first)
 
-def _verify(percent: int):
+
+def _verify(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for piece in slices(batches, "ta", 1 << 18, max_rows=64):  # linked texts are of like size
             keep = []
-            for x, y in zip(batch.column("ta"), batch.column("tb"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
+            for x, y in zip(*(_classes(unzipped(piece.column(c)), size)[0] for c in ("ta", "tb")), strict=True):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([piece.column("a"), piece.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run, "a long, b long"
 
@@ -193,37 +202,38 @@ def similar_classes(docs: DataFrame, size: int = 4, percent: int = 85, key: str
     # the hub has the token earliest: few of its tokens are rarer, so it is the source of its copies, if any is
     sparse = (shared.withColumn("hub", F.min(F.struct("pos", "class", "n")).over(w))
               .withColumn("next", F.lead(F.struct("pos", "class", "n")).over(w.orderBy("pos", "class"))))
-    pairs = (sparse.select(F.explode(F.array("hub", "next")).alias("o"), "class", "n", "pos")
-             .where("o IS NOT NULL AND o.class <> class AND " + _compatible(percent, "", "o."))
-             .select(F.least("class", "o.class").alias("a"), F.greatest("class", "o.class").alias("b")).distinct())
-    others = profile.where("size(p0) > 0").dropDuplicates(["class"]).select("class", *(f"p{i}" for i in range(1, len(ORDERS))))
+    pairs = cut(sparse.select(F.explode(F.array("hub", "next")).alias("o"), "class", "n", "pos")
+                .where("o IS NOT NULL AND o.class <> class AND " + _compatible(percent, "", "o."))
+                .select(F.least("class", "o.class").alias("a"), F.greatest("class", "o.class").alias("b")).distinct())
+    orders = [f"p{i}" for i in range(1, len(ORDERS))]
     rep = members.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        side = lambda s: others.select(F.col("class").alias(s), *(F.col(f"p{i}").alias(f"{s}{i}") for i in range(1, len(ORDERS))))
+        classes = lambda of: of.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+        others = (profile.where("size(p0) > 0").join(bounded(classes(pairs)), "class", "left_semi")
+                  .dropDuplicates(["class"]).select("class", *orders))
+        side = lambda s: others.toDF(s, *(f"{s}{p}" for p in orders))
         left = cut(pairs.join(side("a"), "a").join(side("b"), "b")
-                   .where(" AND ".join(f"arrays_overlap(a{i}, b{i})" for i in range(1, len(ORDERS)))).select("a", "b"))
-        wanted = left.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(rep, "class").select("doc_id")
-        run, kind = _sets(size)
-        sets = known.join(wanted, "doc_id", "left_semi").mapInArrow(run, kind).dropDuplicates(["class"])
-        run, kind = _verify(percent)
-        return cut(left.join(sets.select(F.col("class").alias("a"), F.col("tokens").alias("ta")), "a")
-                   .join(sets.select(F.col("class").alias("b"), F.col("tokens").alias("tb")), "b")
+                   .where(" AND ".join(f"arrays_overlap(a{p}, b{p})" for p in orders)).select("a", "b"))
+        wanted = bounded(classes(left).join(rep, "class").select("doc_id"))
+        run, kind = _bodies(size)
+        bodies = known.join(wanted, "doc_id", "left_semi").mapInArrow(run, kind).dropDuplicates(["class"])
+        run, kind = _verify(size, percent)
+        return cut(left.join(bodies.toDF("a", "ta"), "a").join(bodies.toDF("b", "tb"), "b")
                    .select("a", "b", "ta", "tb").mapInArrow(run, kind))
 
     links = verified(pairs)
-    near = components(links)
-    placed = (shared.join(near.withColumnRenamed("node", "class"), "class", "left")
-              .withColumn("component", F.coalesce("component", "class")))
+    near = bounded(components(links).withColumnRenamed("node", "class"))
+    placed = shared.join(near, "class", "left").withColumn("component", F.coalesce("component", "class"))
     sizes = placed.groupBy("token", "component").agg(F.count("*").alias("c"))
     largest = (sizes.groupBy("token").agg(F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("parts"))
                .where("parts > 1").select("token", F.col("top.component").alias("main")))
     apart = cut(placed.join(largest, "token"))
     x, y = apart.where("component <> main").alias("x"), apart.alias("y")
-    across = (x.join(y, F.expr("x.token = y.token AND x.component <> y.component AND (y.component = y.main OR x.class < y.class) AND "
-                               + _compatible(percent, "x.", "y.")))
-              .select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
-              .join(cut(pairs), ["a", "b"], "left_anti"))
+    across = cut(x.join(y, F.expr("x.token = y.token AND x.component <> y.component AND (y.component = y.main OR x.class < y.class) AND "
+                                   + _compatible(percent, "x.", "y.")))
+                 .select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
+                 .join(pairs, ["a", "b"], "left_anti"))
     return members, links.union(verified(across))
 
 

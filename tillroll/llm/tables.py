@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tillroll.plans.session import ensure_checkpoint_dir
 
@@ -21,3 +22,9 @@ def cut(frame: DataFrame) -> DataFrame:
     """Materialise in the checkpoint folder that all executors share."""
     ensure_checkpoint_dir(frame.sparkSession)
     return frame.checkpoint()
+
+
+def bounded(frame: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """``frame``, of a few numbers a row, written and counted: broadcast up to ``most`` rows, shuffled by joins beyond."""
+    kept = cut(frame)
+    return F.broadcast(kept) if kept.count() <= most else kept

@@ -130,21 +130,27 @@ def unpack(blob: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
+def zipped(column: pa.Array) -> pa.Array:
+    """Each text as one zstd frame behind its length; a null one is an empty one."""
+    offsets, data = text_bytes(column)
+    raw, codec = data.tobytes(), pa.Codec("zstd", compression_level=6)
+    return pa.array([int(b - a).to_bytes(8, "little") + codec.compress(raw[a:b], asbytes=True)
+                     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary())
+
+
+def unzipped(column: pa.Array) -> pa.Array:
+    codec = pa.Codec("zstd")
+    return pa.array([None if b is None else codec.decompress(b[8:], int.from_bytes(b[:8], "little"), asbytes=True)
+                     for b in column.to_pylist()], pa.binary())
+
+
 def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) with the text as one zstd frame behind its length, for shuffles that several steps reuse."""
+    """(doc_id, text) with compressed texts, for shuffles that several steps reuse."""
     for piece in slices(batches, "text"):
-        offsets, data = text_bytes(piece.column("text"))
-        raw, codec = data.tobytes(), pa.Codec("zstd", compression_level=6)
-        out = [int(b - a).to_bytes(8, "little") + codec.compress(raw[a:b], asbytes=True)
-               for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "text"])
+        yield pa.RecordBatch.from_arrays([piece.column("doc_id"), zipped(piece.column("text"))], names=["doc_id", "text"])
 
 
 def unpacked(batches: Iterator[pa.RecordBatch], max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The reverse, in pieces of at most ``max_bytes`` packed bytes; all other columns stay."""
-    codec = pa.Codec("zstd")
     for piece in slices(batches, "text", max_bytes):
-        at = piece.schema.get_field_index("text")
-        text = [None if b is None else codec.decompress(b[8:], int.from_bytes(b[:8], "little"), asbytes=True)
-                for b in piece.column("text").to_pylist()]
-        yield piece.set_column(at, "text", pa.array(text, pa.binary()))
+        yield piece.set_column(piece.schema.get_field_index("text"), "text", unzipped(piece.column("text")))
