@@ -6,7 +6,8 @@ least ``percent / 100``.  Documents with equal sets form one class; all work bel
 
 * *Orders.*  A global order ranks tokens by how frequent they are and then by a hash; each order has its
   own hash.  Frequencies come from a Count-Min table of fixed size over every document, so that tokens
-  of many documents come last; any order gives right results.  Of a set of n tokens, the prefix is the
+  of many documents come last; any order gives right results, but the more tokens share a cell, the
+  more pairs a phrase of many documents costs.  Of a set of n tokens, the prefix is the
   first ``n - ceil(0.85 n) + 1``: two linked sets share a token of their prefixes under every order.
 * *Candidates.*  Under the first order, classes meet on prefix tokens.  A token's classes are first
   linked sparsely, each to the class that has the token earliest in its order and to the next one.  Candidates must also be
@@ -39,9 +40,9 @@ from .tables import bounded, cut, texts
 from .words import Words, grams, mix, slices, unzipped, zipped
 
 U64 = np.uint64
-#: Count-Min cells: 4 MB whatever the corpus.
-CELLS = 1 << 20
-CHUNKS = 16
+#: Count-Min cells: 16 MB in a task, 4 MB of ranks, whatever the corpus.
+CELLS = 1 << 22
+CHUNKS = 64
 #: Seeds of the token orders; candidates must share a prefix token under each.
 ORDERS = (0x51, 0xA7, 0x1F3)
 TOKEN = U64((1 << 56) - 1)
@@ -68,14 +69,20 @@ def _cells(token: np.ndarray) -> np.ndarray:
     return (mix(token ^ U64(0xC0FFEE)) % U64(CELLS)).astype(np.int64)
 
 
+def _early(token: np.ndarray) -> np.ndarray:
+    """Whether a token is in the first quarter of the first order's hashes, from which prefixes are taken.
+
+    Only these are counted and ranked, so that the cells tell lower frequencies apart.
+    """
+    return mix(token ^ U64(ORDERS[0])) >> U64(62) == 0
+
+
 def _count_tokens(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, dtype=np.uint32)
         for piece in slices(batches, "text", max_rows=256):
             _, token = token_sets(piece.column("text"), size)
-            cells += np.bincount(_cells(token), minlength=CELLS).astype(np.uint32) if len(token) > CELLS // 8 else 0
-            if len(token) <= CELLS // 8:
-                np.add.at(cells, _cells(token), 1)
+            np.add.at(cells, _cells(token[_early(token)]), 1)
         parts = [zlib.compress(c.tobytes(), 1) for c in cells.reshape(CHUNKS, -1)]
         yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())],
                                          names=["chunk", "cells"])
@@ -92,7 +99,7 @@ def _add_cells(group: pa.Table) -> pa.Table:
 
 
 def frequency_ranks(known: DataFrame, size: int) -> np.ndarray:
-    """For each Count-Min cell a rank, 0 for what can't be told from rare; one byte each, 1 MB in all."""
+    """For each Count-Min cell a rank, 0 for what can't be told from rare; one byte each, 4 MB in all."""
     rows = (known.mapInArrow(_count_tokens(size), "chunk int, cells binary").groupBy("chunk")
             .applyInArrow(_add_cells, "chunk int, cells binary").orderBy("chunk").collect())
     cells = np.concatenate([np.frombuffer(r.cells, np.uint32) for r in rows]) if rows else np.zeros(CELLS, np.uint32)
@@ -118,7 +125,7 @@ def _profiles(size: int, percent: int, ranks: np.ndarray):
             kind = class_keys(token, first)
             new = np.array([k not in seen and not seen.add(k) for k in kind.tolist()]) & (n > 0)
             prefix = np.where(new, n - (-(-percent * n // 100)) + 1, 0)
-            rank = ranks[_cells(token)].astype(U64) << U64(58)
+            rank = np.where(_early(token), ranks[_cells(token)], 0).astype(U64) << U64(58)
             at = np.repeat(first[:-1], prefix) + np.arange(prefix.sum()) \
                 - np.repeat(np.cumsum(prefix) - prefix, prefix)
             offsets = pa.array(np.concatenate(([0], np.cumsum(prefix))), pa.int32())
