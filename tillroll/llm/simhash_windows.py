@@ -2,16 +2,17 @@
 
 Words are lower-cased; a shingle is ``size`` consecutive words, of a shorter item all its words.
 
-* *Windows.*  A similar window shares a shingle with its item, so only windows that line up an equal
-  shingle of a document with one of an item are looked at; the window has the item's number of words
-  and is moved inside the document at its edges.  The shingles of all benchmark items are broadcast only
+* *Windows.*  A window has the item's number of words, at any start; a text shorter than the item is one
+  window.  With a and b shingles, a similarity of ``percent`` / 100 needs ``percent * (a + b) / (100 + percent)``
+  of them in common, so every start gets a SimHash whose window holds that many shingles that items of its length
+  have, whatever their order; no other can be similar.  The shingles of all benchmark items are broadcast only
   after they have been counted and found few (``broadcast_rows``); beyond that, an ordinary shuffle join
   is used, which adaptive execution splits on hot shingles.
 * *SimHash and blocks.*  Windows and items get 64-bit SimHashes of their shingles, weighted by how
   often each occurs.  The 64 bits are cut into 8 blocks; if two hashes differ in at most 23 bits, then some
   block differs in at most 2 of its 8 bits.  Items are listed under every such variant of each block, so
-  that a join on (window length, block, value) meets all pairs within the radius, whichever item lined the
-  window up.
+  that a join on (window length, block, value) meets all pairs within the radius, whichever items the
+  window's shingles come from.
 * *Verification.*  Pairs within 23 bits are compared exactly: the weighted Jaccard similarity of the
   shingles themselves, sum of the smaller over sum of the larger counts, at least ``percent / 100``.
 
@@ -82,6 +83,26 @@ def weighted_jaccard(a: str, b: str) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
+def _starts(size: int, percent: int) -> Column:
+    """Runs (lo, hi) of the starts whose window holds enough of the places ``at`` of a text of ``n`` words.
+
+    The window from s has ``need`` places if the first of them at or after s is followed by ``need - 1`` others in it.
+    """
+    gram = F.least(F.lit(size), F.col("len"))
+    room = F.least("n", "len") - gram + 1  # shingles of a window
+    common = F.lit(percent) * (room + F.col("len") - gram + 1)
+    need = F.greatest(F.lit(1), F.ceil(common / (100 + percent)).cast("int"))
+
+    def run(i: Column) -> Column:
+        place = lambda j: F.get("at", j)
+        return F.struct(F.greatest(F.lit(0), F.coalesce(place(i - 1), F.lit(-1)) + 1, place(i + need - 1) - room + 1).alias("lo"),
+                        F.least(place(i), F.greatest(F.lit(0), F.col("n") - F.col("len"))).alias("hi"))
+
+    last = F.size("at") - need
+    runs = F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), run))
+    return F.filter(runs, lambda r: r.lo <= r.hi)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text",
                  item_key: str = "item_id", item_text: str = "text", broadcast_rows: int = 2_000_000) -> DataFrame:
     """doc_id, item_id, start (first word of the window, from 0), n_words, distance in bits, similarity."""
@@ -95,18 +116,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, percent:
     seeds, places = [], []
     for n in [*short, size]:
         own = items.where(F.col("len") == n if n < size else F.col("len") >= size)
-        seeds.append(own.select(F.lit(n).alias("g"), "len", F.posexplode(_hashes("w", n)).alias("at", "h")))
+        seeds.append(own.select(F.lit(n).alias("g"), "len", F.explode(_hashes("w", n)).alias("h")))
         places.append(spoken.select("doc_id", F.size("w").alias("n"), F.lit(n).alias("g"), F.posexplode(_hashes("w", n)).alias("pos", "h")))
     union = lambda frames: frames[0] if len(frames) == 1 else frames[0].union(union(frames[1:]))
     seeds = cut(union(seeds).distinct())
     if seeds.count() <= broadcast_rows:
         seeds = F.broadcast(seeds)
-    starts = (union(places).join(seeds, ["g", "h"])
-              .select("doc_id", "len", F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("n") - F.col("len"))).alias("start")).distinct())
-    per = starts.groupBy("doc_id").agg(F.collect_set(F.struct("start", "len")).alias("windows"))
-    windows = (_words(_lower(known.join(per, "doc_id").select("doc_id", "windows", "text")))
-               .select("doc_id", "w", F.explode("windows").alias("o"))
-               .select("doc_id", F.col("o.start").alias("start"), F.col("o.len").alias("len"), F.slice("w", F.col("o.start") + 1, F.col("o.len")).alias("v"))
+    hits = (union(places).join(seeds, ["g", "h"]).groupBy("doc_id", "n", "len").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+            .select("doc_id", "n", "len", _starts(size, percent).alias("runs")).where("size(runs) > 0"))
+    per = hits.groupBy("doc_id", "n").agg(F.collect_list(F.struct("len", "runs")).alias("lens"))
+    windows = (_words(_lower(known.join(per, "doc_id").select("doc_id", "n", "lens", "text"))).where("size(w) = n")
+               .select("doc_id", "w", F.explode("lens").alias("o"))
+               .select("doc_id", "w", F.col("o.len").alias("len"), F.explode("o.runs").alias("o"))
+               .select("doc_id", "w", "len", F.explode(F.sequence("o.lo", "o.hi")).alias("start"))
+               .select("doc_id", "start", "len", F.slice("w", F.col("start") + 1, F.col("len")).alias("v"))
                .select("doc_id", "start", "len", _shingles("v", size).alias("shingles")).withColumn("hash", simhash(F.col("shingles"))))
     windows = cut(windows)
     listed = F.explode(F.array(*(F.struct(F.lit(i).alias("block"), F.lit(m).alias("mask")) for i in range(BLOCKS) for m in _MASKS)))
