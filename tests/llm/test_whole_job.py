@@ -2,9 +2,10 @@
 
 import collections
 
+import numpy as np
 import pytest
 
-from tillroll.llm import simhash_windows
+from tillroll.llm import simhash_windows, soft_mixing
 
 
 def similarities_by_hand(docs, items, size=5):
@@ -39,3 +40,19 @@ def test_simhash_windows_finds_rotated_passages(spark):
     for rows in (2_000_000, 0):
         got = simhash_windows.contaminated(table(docs, "doc_id"), table(items, "item_id"), broadcast_rows=rows)
         assert {(r.doc_id, r.item_id): r.similarity for r in got.collect()} == {k: pytest.approx(v) for k, v in want.items()}
+
+
+def test_soft_mixing_reads_every_script(spark):
+    good = ["хорошие слова здесь", "καλές λέξεις εδώ", "كلمات جيدة هنا", "מילים טובות כאן", "अच्छे शब्द यहाँ", "好的，文字，这里", "良い、言葉、ここ", "좋은 단어 여기", "ĳ½ 𐐀𐐁 e\u0301a"]
+    bad = ["плохой мусор тут", "κακά σκουπίδια εκεί", "سيء قمامة هناك", "רע זבל שם", "बुरा कचरा वहाँ", "坏的，垃圾，那里", "悪い、ごみ、そこ", "나쁜 쓰레기 거기", "word2 Straße 9x"]
+    docs = [(100 * i + j, t) for j in range(40) for i, t in enumerate(good + bad * (j % 4 == 0))]
+    table = spark.createDataFrame([*docs, (9000, "…—、。 !")], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, "good" if i // 100 < len(good) else "bad") for i, _ in docs], "doc_id long, domain string")
+    out = soft_mixing.mix(table, labels, {"good": 0.5, "bad": 0.5}).toPandas().set_index("doc_id")
+    assert out.loc[9000, "n_tokens"] == 0
+    tokens = {i: out.loc[100 * i, "n_tokens"] for i in range(len(good + bad))}
+    assert tokens == dict.fromkeys(tokens, 3)
+    p = out.drop(9000)
+    assert ((p.p_good > 0.5) == (p.index // 100 < len(good))).all()
+    drawn = [(p.n_tokens * p.rate * p[c]).sum() / p.n_tokens.sum() for c in ("p_good", "p_bad")]
+    assert np.allclose(drawn, 0.25, atol=0.01)

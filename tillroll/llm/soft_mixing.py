@@ -14,7 +14,7 @@ documents of K sums (K numbers reach the driver) and a longer column expression;
 collected and nothing is shuffled but partial sums.  A rate above 1 means repeats; ``copies`` turns the
 rate into a whole number with the expectation of the rate, by a hash of the id.
 
-A token is a run of letters and digits.  Defined results: a null or empty text has no tokens, the prior's posteriors and a rate like any other;
+A token is a run of letters, combining marks and digits of any script.  Defined results: a null or empty text has no tokens, the prior's posteriors and a rate like any other;
 without labelled rows the posteriors are even; a domain with no expected tokens can't be raised (its gap
 stays and does no harm); rows with a null doc_id get a rate and copies by the hash of null; repeated rows
 count each; extra columns are ignored; an empty table gives no rows.
@@ -39,12 +39,12 @@ def words_of(text: str = "text") -> Column:
 
 
 def _described(docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens (runs of letters and digits) and m: the distinct ones and marks of the text's form.
+    """doc_id, n_tokens (runs of letters, marks and digits) and m: the distinct ones and marks of the text's form.
 
     One split of each text; marks hold a space, which no run does.
     """
     rows = texts(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("doc_id", "text", F.split(F.lower("text"), "[^0-9a-z\u00df-\u024f]+").alias("runs"))
+    rows = rows.select("doc_id", "text", F.split(F.lower("text"), r"[^\p{L}\p{M}\p{N}]+").alias("runs"))
     empty = lambda at: F.when(F.element_at("runs", at) == "", 1).otherwise(0)
     rows = rows.select("doc_id", "text", F.array_distinct("runs").alias("distinct"),
                        F.greatest(F.lit(0), F.size("runs") - empty(1) - empty(-1)).cast("long").alias("n_tokens"))
