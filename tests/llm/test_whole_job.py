@@ -5,7 +5,7 @@ import collections
 import numpy as np
 import pytest
 
-from tillroll.llm import simhash_windows, soft_mixing
+from tillroll.llm import page_model, simhash_windows, soft_mixing
 
 
 def similarities_by_hand(docs, items, size=5):
@@ -56,3 +56,12 @@ def test_soft_mixing_reads_every_script(spark):
     assert ((p.p_good > 0.5) == (p.index // 100 < len(good))).all()
     drawn = [(p.n_tokens * p.rate * p[c]).sum() / p.n_tokens.sum() for c in ("p_good", "p_bad")]
     assert np.allclose(drawn, 0.25, atol=0.01)
+
+
+def test_page_model_keeps_all_attribute_words():
+    utilities = " ".join(f"md:grid-cols-{i} px-{i} hover:bg-{c}" for i, c in enumerate("red green blue teal pink gray lime cyan".split()))
+    page = page_model.Page(f"<div class='{utilities} sidebar' id=far role=\"navigation\"><p>Text.</p></div>")
+    words = "md grid cols px hover bg red green blue teal pink gray lime cyan sidebar far navigation".split()
+    assert page.names[1] == tuple(words)
+    many = [f"u{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(90)]
+    assert page_model.Page(f"<div class='{' '.join(many)} sidebar'>x</div>").names[1] == (*many, "sidebar")

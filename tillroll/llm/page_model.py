@@ -125,7 +125,7 @@ class Page:
                     else:
                         words += [w for w in _SPLIT.split(value.lower()) if w]
                 self.tags.append(tag)
-                self.names.append(tuple(words[:20]))
+                self.names.append(tuple(dict.fromkeys(words)))
                 self.parents.append(stack[-1])
                 self.depths.append(self.depths[stack[-1]] + 1)
                 self.labels.append(label)
