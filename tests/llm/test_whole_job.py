@@ -5,7 +5,7 @@ import collections
 import numpy as np
 import pytest
 
-from tillroll.llm import page_model, secret_forest, simhash_windows, soft_mixing
+from tillroll.llm import multiprobe, page_model, secret_forest, simhash_windows, soft_mixing
 
 
 def similarities_by_hand(docs, items, size=5):
@@ -82,3 +82,28 @@ def test_secret_forest_reads_assigned_and_letters_only_values(spark):
     assert all((a, b) in secret_forest.candidates(t) for t, a, b, _ in held)
     guess = forest.probability(np.array([secret_forest.features(t, a, b) for t, a, b, _ in held])) >= 0.5
     assert np.mean(guess == np.array([y == 1 for *_, y in held])) > 0.97
+
+
+def test_multiprobe_serves_isolated_queries_and_small_tables(spark):
+    rng = np.random.default_rng(6)
+    groups = np.repeat(rng.normal(size=(36, 16)), 50, axis=0) + rng.normal(size=(1800, 16)) * 1e-3  # tight groups of copies
+    alone = rng.normal(size=(200, 16))
+    x = np.concatenate((groups, alone))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    order = rng.permutation(len(x))
+    x = x[order]
+    table = lambda m: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    got = multiprobe.nearest(table(x)).toPandas()
+    hit, total = {True: 0, False: 0}, {True: 0, False: 0}
+    for q in range(0, len(x), 20):
+        score = x @ x[q]
+        score[q] = -9
+        low = np.sort(score)[-20] - 1e-12
+        part = got[got.query_id == q]
+        assert part["rank"].tolist() == list(range(1, 21))
+        lonely = bool(order[q] >= 1800)
+        hit[lonely] += int((part.score >= low).sum())
+        total[lonely] += 20
+    assert total[True] >= 100 and all(hit[c] >= 0.95 * total[c] for c in hit), (hit, total)
+    few = multiprobe.nearest(table(rng.normal(size=(5, 16)) * 3)).toPandas()
+    assert sorted(few.vec_id) == [1, 2, 3, 4] and sorted(few["rank"]) == [1, 2, 3, 4]

@@ -4,12 +4,14 @@ Nearness is the largest inner product.  Vectors are scaled by the largest norm a
 component that makes them unit vectors, queries are scaled to norm 1; then the largest inner product
 is the least Euclidean distance, for which p-stable (Gaussian) hashing is made.  Each of ``tables`` hash
 tables cuts ``planes`` random projections into cells of width ``width``.  A query visits, in each table, the
-cells in the order of their estimated success - the probability that a neighbour at the usual
+cells in the order of their estimated success - the probability that a neighbour at the query's
 distance lies there, a product of normal distribution functions - until the sum of these probabilities
 lets all tables together reach ``reach``.  Candidates of all tables are merged, scored exactly in
 double precision on the original vectors and ranked; equal scores go to the smaller vec_id.
 
-The usual distance comes from a bounded sample; every row is indexed.  Vectors and probes of a cell meet in
+The query's distance is that of its k-th neighbour in a bounded sample, which no k-th neighbour in the table exceeds,
+or the usual one of the sample if that is more; every row is indexed.  A query whose k-th neighbour found lies farther
+visits the further cells for that distance, and one with fewer than ``k`` found visits all cells of a table.  Vectors and probes of a cell meet in
 a co-grouped numpy product.  Cells are cut into blocks of at most about ``block`` vectors by
 ``block`` probes with an exact count, so one frequent vector never lands in one task, and no candidate is
 dropped.  The projections depend only on the seed, the dimension and the parameters.
@@ -31,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import cut
+
 _ERF = np.vectorize(math.erf, otypes=[float])
 SAMPLE = 4000
 SAMPLE_QUERIES = 100
@@ -50,6 +54,23 @@ class Hashing:
     usual: float        # distance of a k-th neighbour
     share: float        # success to reach in each table
     most: int           # cells that are ever enumerated
+    sample: np.ndarray  # some vectors, scaled
+    k: int
+
+    def distance(self, query: np.ndarray) -> float:
+        """What the query's probes are chosen for: at least the distance of its k-th neighbour."""
+        near = -np.partition(-(self.sample @ (query / np.linalg.norm(query))), min(self.k, len(self.sample) - 1))  # it may be in the sample itself
+        return max(self.usual, math.sqrt(max(0.0, 2.0 - 2.0 * float(near[min(self.k, len(near) - 1)]))))
+
+    def further(self, query: np.ndarray, n: int | None, last: float | None) -> list[np.ndarray]:
+        """For each table the cells to visit after ``n`` neighbours were found, the k-th with the score ``last``."""
+        none = [np.zeros(0, np.int64) for _ in self.planes]
+        if (n or 0) < self.k:
+            return [np.arange((2 * self.half) ** self.planes.shape[2]), *none[1:]]
+        known, found = self.distance(query), math.sqrt(max(0.0, 2.0 - 2.0 * last / (np.linalg.norm(query) * self.largest)))
+        if found <= known * (1 + 1e-9):
+            return none
+        return [np.setdiff1d(new, old) for new, old in zip(self.probes(query, found), self.probes(query, known), strict=True)]
 
     def cells(self, vectors: np.ndarray) -> np.ndarray:
         """tables x rows: the cell number of each vector."""
@@ -62,8 +83,8 @@ class Hashing:
             out.append(at @ (2 * self.half) ** np.arange(plane.shape[1]))
         return np.array(out)
 
-    def probes(self, query: np.ndarray) -> list[np.ndarray]:
-        """For each table the cells that one query visits, in the order of estimated success."""
+    def probes(self, query: np.ndarray, distance: float) -> list[np.ndarray]:
+        """For each table the cells that one query visits, in the order of estimated success at a distance."""
         unit = np.append(query / np.linalg.norm(query), 0.0)
         low = np.arange(-self.half, self.half) * self.width
         high = low + self.width
@@ -72,7 +93,7 @@ class Hashing:
         for plane, shift in zip(self.planes, self.shifts, strict=True):
             cell, chance = np.zeros(1, np.int64), np.ones(1)
             for j, p in enumerate(unit @ plane + shift):
-                mass = _normal((high - p) / self.usual) - _normal((low - p) / self.usual)
+                mass = _normal((high - p) / distance) - _normal((low - p) / distance)
                 chance = (chance[:, None] * mass).ravel()
                 cell = (cell[:, None] + np.arange(2 * self.half) * (2 * self.half) ** j).ravel()
                 order = np.argsort(-chance, kind="stable")[:self.most]  # best products have best prefixes
@@ -112,7 +133,8 @@ def prepare(rows: DataFrame, k: int, tables: int, planes: int, width: float, rea
     usual = float(np.quantile(np.sqrt(np.maximum(2.0 - 2.0 * near, 0.0)), 0.75))
     rng = np.random.default_rng(seed)
     return rows, Hashing(rng.normal(size=(tables, best.d + 1, planes)), rng.uniform(0, width, (tables, planes)), width,
-                         max(1, math.ceil(3.5 / width)), float(best.norm) * (1 + 1e-12), max(usual, 0.05), 1 - (1 - reach) ** (1 / tables), most)
+                         max(1, math.ceil(3.5 / width)), float(best.norm) * (1 + 1e-12), max(usual, 0.05), 1 - (1 - reach) ** (1 / tables), most,
+                         data / best.norm, k)
 
 
 def _index(h: Hashing):
@@ -129,11 +151,14 @@ def _index(h: Hashing):
     return run, "tab int, cell long, vec_id long, v binary"
 
 
-def _visit(h: Hashing):
+def _visit(h: Hashing, again: bool = False):
+    """The cells of each query; ``again``: those that its ``n`` neighbours found, the last with the score ``last``, leave to visit."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for query, row in zip(batch.column("vec_id").to_pylist(), _matrix(batch.column("v")), strict=True):
-                cells = h.probes(row)
+            told = zip(batch.column("n").to_pylist(), batch.column("last").to_pylist(), strict=True) if again else [None] * batch.num_rows
+            for query, row, known in zip(batch.column("vec_id").to_pylist(), _matrix(batch.column("v")), told, strict=True):
+                cells = h.further(row, *known) if again else h.probes(row, h.distance(row))
                 n = sum(map(len, cells))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(np.arange(len(cells), dtype=np.int32), list(map(len, cells)))), pa.array(np.concatenate(cells)),
@@ -201,14 +226,30 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20, t
     run, kind = _index(h)
     index = rows.mapInArrow(run, kind)
     run, kind = _visit(h)
-    probes = asked.mapInArrow(run, kind)
+    shards = max(8, asked.count() // 512)
+    first = cut(_merged(_candidates(index, asked.mapInArrow(run, kind), k, block), k, shards))
+    counts = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("last"))
+    run, kind = _visit(h, again=True)
+    probes = cut(asked.join(counts, asked["vec_id"] == counts["query_id"], "left").select("vec_id", "v", "n", "last").mapInArrow(run, kind))
+    if probes.isEmpty():
+        return first
+    held = (first.join(probes.select("query_id").distinct(), "query_id", "left_semi").groupBy("query_id")
+            .agg(F.collect_list(F.struct("vec_id", "score")).alias("l")).select("query_id", F.col("l.vec_id").alias("vecs"), F.col("l.score").alias("scores")))
+    later = _merged(_candidates(index, probes, k, block).union(held), k, shards)
+    return first.join(probes.select("query_id").distinct(), "query_id", "left_anti").union(later)
+
+
+def _candidates(index: DataFrame, probes: DataFrame, k: int, block: int) -> DataFrame:
+    """query_id, vecs, scores: the best of each block of a visited cell."""
     cells = (index.groupBy("tab", "cell").agg(F.ceil(F.count("*") / block).alias("nv"))
              .join(probes.groupBy("tab", "cell").agg(F.ceil(F.count("*") / block).alias("nq")), ["tab", "cell"]))
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     left = (index.join(cells, ["tab", "cell"]).select("tab", "cell", "vec_id", "v", F.pmod(F.xxhash64("vec_id"), "nv").alias("vb"), spread(F.col("nq")).alias("qb")))
     right = (probes.join(cells, ["tab", "cell"]).select("tab", "cell", "query_id", "q", F.pmod(F.xxhash64("query_id"), "nq").alias("qb"), spread(F.col("nv")).alias("vb")))
     by = ["tab", "cell", "vb", "qb"]
-    found = (left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_rank(k), "query_id long, vecs array<long>, scores array<double>"))
-    shards = max(8, asked.count() // 512)
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_rank(k), "query_id long, vecs array<long>, scores array<double>")
+
+
+def _merged(found: DataFrame, k: int, shards: int) -> DataFrame:
     return (found.withColumn("shard", F.pmod(F.xxhash64("query_id"), F.lit(shards))).groupBy("shard")
             .applyInArrow(lambda t: _merge(k)(t), "query_id long, rank int, vec_id long, score double"))
