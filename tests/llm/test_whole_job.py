@@ -5,7 +5,7 @@ import collections
 import numpy as np
 import pytest
 
-from tillroll.llm import multiprobe, page_model, secret_forest, simhash_windows, soft_mixing
+from tillroll.llm import multiprobe, page_model, repeated_phrases, secret_forest, simhash_windows, soft_mixing
 
 
 def similarities_by_hand(docs, items, size=5):
@@ -107,3 +107,15 @@ def test_multiprobe_serves_isolated_queries_and_small_tables(spark):
     assert total[True] >= 100 and all(hit[c] >= 0.95 * total[c] for c in hit), (hit, total)
     few = multiprobe.nearest(table(rng.normal(size=(5, 16)) * 3)).toPandas()
     assert sorted(few.vec_id) == [1, 2, 3, 4] and sorted(few["rank"]) == [1, 2, 3, 4]
+
+
+def test_repeated_phrases_with_clashing_ids(spark):
+    word = lambda name, n: [f"{name}{i}" for i in range(n)]
+    passage = word("p", 20)
+    rows = [(1, word("a", 5) + passage), (3, word("b", 400) + passage + word("c", 5)), (3, word("d", 30)), (3, word("e", 7) + passage),
+            (3, word("e", 7) + passage), (4, word("d", 30)), (4, ["short"]), (5, word("f", 13)), (5, word("f", 13) + ["x"])]
+    kept = [(1, rows[0][1]), (3, word("b", 400) + word("c", 5)), (3, word("d", 30)), (3, word("e", 7)), (3, word("e", 7)), (4, []), (4, ["short"]),
+            *rows[7:]]  # rows of one doc_id aren't held against each other
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(4)
+    got = repeated_phrases.remove_repeated(table, shards=3).collect()
+    assert sorted((r.doc_id, r.kept_text, r.n_words - r.n_removed) for r in got) == sorted((i, " ".join(w), len(w)) for i, w in kept)

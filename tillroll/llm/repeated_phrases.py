@@ -37,8 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import texts
-from .words import Words, grams, pack, packed, slices, unpack, unpacked
+from .tables import cut, texts
+from .words import Words, grams, pack, packed, slices, unpack, unpacked, zipped
 
 #: Occurrences that a task gathers before it sends them.
 FLUSH = 2_000_000
@@ -73,14 +73,15 @@ def _occurrences(words: Words, window: int, gram: int):
 
 
 def _sketch(shards: int, window: int, gram: int):
-    """Task side of step 1: rows (shard, anchors, docs, places, settled)."""
+    """Task side of step 1: rows (shard, anchors, docs, row_keys, places, settled)."""
     schema = pa.schema([("shard", pa.int32()), ("anchors", pa.binary()), ("docs", pa.binary()),
-                        ("places", pa.binary())])
+                        ("row_keys", pa.binary()), ("places", pa.binary())])
 
     def flush(parts, task):
-        anchor, doc, place = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        anchor, doc, own, place = (np.concatenate([p[i] for p in parts]) for i in range(4))
         order = np.lexsort((doc, anchor))
-        anchor, doc, place = anchor[order], doc[order], place[order]
+        anchor, doc, own, place = anchor[order], doc[order], own[order], place[order]
+        keys = lambda i: pack(own[i]) if own[i].any() else b""
         head = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
         group = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(anchor))))
         last = np.append(head[1:], len(anchor)) - 1
@@ -92,13 +93,13 @@ def _sketch(shards: int, window: int, gram: int):
         shard = (anchor % np.uint64(shards)).astype(np.int32)
         rows = []
         for s, index in _by_shard(shard, np.flatnonzero(send), shards):
-            rows.append((s, pack(anchor[index]), pack(doc[index]), pack(place[index] << 1 | settled[index])))
+            rows.append((s, pack(anchor[index]), pack(doc[index]), keys(index), pack(place[index] << 1 | settled[index])))
         index = np.flatnonzero(settled)
         if len(index):  # known to recur: they only travel along, spread over the shards
             spread = ((doc[index] * 31 + task) % shards).astype(np.int32)
             for s, sub in _by_shard(spread, np.arange(len(index)), shards):
                 i = index[sub]
-                rows.append((s, b"", pack(doc[i]), pack(place[i] << 1)))
+                rows.append((s, b"", pack(doc[i]), keys(i), pack(place[i] << 1)))
         columns = list(zip(*rows, strict=True))
         return pa.RecordBatch.from_arrays(
             [pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
@@ -111,7 +112,8 @@ def _sketch(shards: int, window: int, gram: int):
                 continue
             rows, start, count, anchor = found
             ids = piece.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            parts.append((anchor, ids[rows], start.astype(np.int64) << 4 | count))
+            own = piece.column("row_key").to_numpy(zero_copy_only=False).astype(np.int64)
+            parts.append((anchor, ids[rows], own[rows], start.astype(np.int64) << 4 | count))
             held += len(rows)
             if held >= FLUSH:
                 yield flush(parts, flushed)
@@ -119,7 +121,7 @@ def _sketch(shards: int, window: int, gram: int):
         if held:
             yield flush(parts, flushed)
 
-    return run, "shard int, anchors binary, docs binary, places binary"
+    return run, "shard int, anchors binary, docs binary, row_keys binary, places binary"
 
 
 def _by_shard(shard: np.ndarray, index: np.ndarray, shards: int):
@@ -130,26 +132,27 @@ def _by_shard(shard: np.ndarray, index: np.ndarray, shards: int):
 
 def _confirm(group: pa.Table) -> pa.Table:
     """Shard side of step 1: the occurrences of minimizers that two documents have."""
-    doc, place, anchor, known = [], [], [], []
-    for a, d, p in zip(*(group.column(c).to_pylist() for c in ("anchors", "docs", "places")), strict=True):
-        (known if not a else anchor).append(unpack(a, np.uint64) if a else None)
-        (doc if a else known).append(unpack(d, np.int64))
-        (place if a else known).append(unpack(p, np.int64))
-    out_doc, out_place = [x for x in known[1::3]], [x for x in known[2::3]]
-    if anchor:
-        anchor, doc, place = np.concatenate(anchor), np.concatenate(doc), np.concatenate(place)
+    new, known = [], []
+    for a, d, r, p in zip(*(group.column(c).to_pylist() for c in ("anchors", "docs", "row_keys", "places")), strict=True):
+        doc, place = unpack(d, np.int64), unpack(p, np.int64)
+        own = unpack(r, np.int64) if r else np.zeros(len(doc), np.int64)
+        if a:
+            new.append((unpack(a, np.uint64), doc, own, place))
+        else:
+            known.append((doc, own, place))
+    if new:
+        anchor, doc, own, place = (np.concatenate(x) for x in zip(*new, strict=True))
         order = np.argsort(anchor, kind="stable")
-        anchor, doc, place = anchor[order], doc[order], place[order]
+        anchor, doc, own, place = anchor[order], doc[order], own[order], place[order]
         head = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
         size = np.diff(np.append(head, len(anchor)))
         told = place & 1
         recurs = (np.minimum.reduceat(doc, head) != np.maximum.reduceat(doc, head)) \
             | (np.maximum.reduceat(told, head) == 1)
         keep = np.repeat(recurs, size) & (told == 0)
-        out_doc.append(doc[keep])
-        out_place.append(place[keep])
-    flat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    return pa.table({"doc_id": flat(out_doc), "place": flat(out_place) >> 1})
+        known.append((doc[keep], own[keep], place[keep]))
+    doc, own, place = (np.concatenate(x) for x in zip(*known, strict=True)) if known else [np.zeros(0, np.int64)] * 3
+    return pa.table({"doc_id": doc, "row_key": own, "place": place >> 1})
 
 
 def _passages(window: int, gram: int, shards: int, dictionary: bool):
@@ -157,9 +160,9 @@ def _passages(window: int, gram: int, shards: int, dictionary: bool):
     if dictionary:
         kind = "shard int, passages binary"
     else:
-        kind = "doc_id long, start int, anchor long, passage_key long"
-        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("anchor", pa.int64()),
-                            ("passage_key", pa.int64())])
+        kind = "doc_id long, row_key long, start int, anchor long, passage_key long"
+        schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("start", pa.int32()),
+                            ("anchor", pa.int64()), ("passage_key", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, int], list] = {}
@@ -177,7 +180,7 @@ def _passages(window: int, gram: int, shards: int, dictionary: bool):
             anchor = _least_gram(words.hash, at, count, window, gram)
             if not dictionary:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc), pa.array(start.astype(np.int32)), pa.array(anchor.view(np.int64)),
+                    [pa.array(doc), piece.column("row_key").take(pa.array(row)), pa.array(start.astype(np.int32)), pa.array(anchor.view(np.int64)),
                      pa.array(key.view(np.int64))], schema=schema)
                 continue
             data, begin, end = words.data.tobytes(), words.start, words.end
@@ -352,19 +355,37 @@ def _cover(window: int):
     return run, "doc_id long, n_words long, n_removed long, kept_text string"
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with compressed texts."""
+    for piece in slices(batches, "text"):
+        yield piece.set_column(piece.schema.get_field_index("text"), "text", zipped(piece.column("text")))
+
+
+def _keyed(known: DataFrame) -> DataFrame:
+    """doc_id, row_key, text: the key is a hash of the text if rows of that doc_id differ, else 0."""
+    h = F.xxhash64("text")
+    clashing = cut(known.groupBy("doc_id").agg(F.min(h).alias("a"), F.max(h).alias("b")).where("a <> b").select("doc_id"))
+    n = clashing.count()
+    if not n:
+        return known.select("doc_id", F.lit(0).cast("long").alias("row_key"), "text")
+    marks = clashing.withColumn("clash", F.lit(True))
+    return (known.join(F.broadcast(marks) if n <= 1 << 20 else marks, "doc_id", "left")
+            .select("doc_id", F.when(F.col("clash"), h).otherwise(0).alias("row_key"), "text"))
+
+
 def remove_repeated(docs: DataFrame, window: int = 13, gram: int = 5, key: str = "doc_id",
                     text: str = "text", shards: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (kept words joined by one space) of every row of ``docs``."""
     if not 0 < gram <= window or window - gram > 14:
         raise ValueError("gram must be at most window, and at least window - 14")
     rows = texts(docs, key, text)
-    known = rows.where("doc_id IS NOT NULL AND text IS NOT NULL")
+    known = _keyed(rows.where("doc_id IS NOT NULL AND text IS NOT NULL"))
     shards = shards or max(8, -(-docs.count() // DOCS_PER_SHARD))
     run, kind = _sketch(shards, window, gram)
-    places = (known.mapInArrow(run, kind).groupBy("shard").applyInArrow(_confirm, "doc_id long, place long")
-              .groupBy("doc_id").agg(F.collect_list("place").alias("places")))
-    small = known.mapInArrow(packed, "doc_id long, text binary")
-    marked = small.join(places, "doc_id").select("doc_id", "text", "places")
+    places = (known.mapInArrow(run, kind).groupBy("shard").applyInArrow(_confirm, "doc_id long, row_key long, place long")
+              .groupBy("doc_id", "row_key").agg(F.collect_list("place").alias("places")))
+    small = known.mapInArrow(_packed, "doc_id long, row_key long, text binary")
+    marked = small.join(places, ["doc_id", "row_key"]).select("doc_id", "row_key", "text", "places")
     run, kind = _passages(window, gram, shards, dictionary=True)
     firsts = (marked.mapInArrow(run, kind).groupBy("shard")
               .applyInArrow(_automaton(window, gram), "anchor long, passage_key long, firsts array<long>"))
@@ -373,9 +394,9 @@ def remove_repeated(docs: DataFrame, window: int = 13, gram: int = 5, key: str =
     bits = F.aggregate(F.sequence(F.lit(0), F.size("firsts") - 1), F.col("start").cast("long") * 65536, lambda total, i: total + F.when(
         F.get("firsts", i) < F.col("doc_id"), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(0))
     hits = (marked.mapInArrow(run, kind).join(firsts, ["anchor", "passage_key"])
-            .where(F.array_min("firsts") < F.col("doc_id")).select("doc_id", bits.alias("hit"))
-            .groupBy("doc_id").agg(F.collect_list("hit").alias("hits")))
+            .where(F.array_min("firsts") < F.col("doc_id")).select("doc_id", "row_key", bits.alias("hit"))
+            .groupBy("doc_id", "row_key").agg(F.collect_list("hit").alias("hits")))
     run, kind = _cover(window)
     rest = (rows.where("doc_id IS NULL OR text IS NULL").mapInArrow(packed, "doc_id long, text binary")
             .withColumn("hits", F.lit(None).cast("array<long>")))
-    return small.join(hits, "doc_id", "left").select("doc_id", "text", "hits").union(rest).mapInArrow(run, kind)
+    return small.join(hits, ["doc_id", "row_key"], "left").select("doc_id", "text", "hits").union(rest).mapInArrow(run, kind)
