@@ -31,12 +31,25 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2 on shingles of five words at 0.8: the document with the least id of each group stays.
 
-    Rows without an id stay; of rows with the same id one stays.
+    Rows without an id stay.  Rows with the same id are judged by their texts like others; of linked ones the least by a hash of
+    the text stays, of those with one text the least by the other columns.
     """
-    groups = near_duplicates(docs, size=5, percent=80)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return (docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-            .union(docs.where("doc_id IS NULL")))
+    repeated = cut(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    if repeated.isEmpty():
+        groups = near_duplicates(docs, size=5, percent=80)
+        first = groups.where("doc_id = component_id").select("doc_id").distinct()
+        return docs.join(first, "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id IS NULL"))
+    rows, names = _numbered(docs)
+    key, text = names[docs.columns.index("doc_id")], names[docs.columns.index("text")]
+    rows = (rows.where(F.col(key).isNotNull()).join(repeated.select(F.col("doc_id").alias(key), F.lit(True).alias("again")), key, "left")
+            .withColumn("own", F.when(F.col("again"), F.xxhash64(key, text)).otherwise(F.col(key).cast("long"))))
+    groups = near_duplicates(rows, size=5, percent=80, key="own", text=text).select(F.col("doc_id").alias("own"), "component_id").distinct()
+    first = (groups.join(rows.select("own", key).distinct(), "own").groupBy("component_id")
+             .agg(F.min(F.struct(key, "own")).alias("first")).select(F.col("first.own").alias("own")))
+    kept = rows.join(first, "own", "left_semi")
+    one = kept.where("again").groupBy("own").agg(F.min(F.struct(*names)).alias("r")).select("r.*")
+    out = kept.where("again IS NULL").select(*names).union(one.select(*names)).toDF(*docs.columns)
+    return out.union(docs.where("doc_id IS NULL"))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

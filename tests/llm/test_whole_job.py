@@ -2,6 +2,7 @@
 
 import collections
 
+import corpus_pipeline
 import numpy as np
 import pytest
 
@@ -119,3 +120,14 @@ def test_repeated_phrases_with_clashing_ids(spark):
     table = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(4)
     got = repeated_phrases.remove_repeated(table, shards=3).collect()
     assert sorted((r.doc_id, r.kept_text, r.n_words - r.n_removed) for r in got) == sorted((i, " ".join(w), len(w)) for i, w in kept)
+
+
+def test_near_copies_of_one_id_go_only_where_texts_link(spark):
+    text = lambda name, n=60: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(5, text("a"), "x"), (5, text("b"), "x"), (5, text("b"), "w"), (2, text("c"), "x"), (9, text("a") + " more", "x"),
+            (9, text("d"), "x"), (None, text("a"), "x")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = {rows[0], rows[2], rows[3], rows[5], rows[6]}
+    for n in (1, 4):
+        got = corpus_pipeline.near_copies(spark, table.repartition(n), "").collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
