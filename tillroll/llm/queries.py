@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_quality, multiprobe, page_model, secret_forest, simhash_windows, soft_mixing, subword_language, word_shapes
+from . import line_quality, merkle, multiprobe, page_model, secret_forest, simhash_windows, soft_mixing, subword_language, word_shapes
 from .ngram_join import near_duplicates
 from .repeated_phrases import remove_repeated
 from .samples import held_out
@@ -77,6 +78,12 @@ def op10_page_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    return merkle.manifest(read(spark, sf_dir, "documents"), {"text": lowered}, third)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -84,7 +91,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_repeated_phrases, op2_ngram_join, op3_word_shapes, op4_line_quality, op5_secret_forest, op6_soft_mixing,
-        op7_simhash_windows, op8_subword_language, op9_multiprobe, op10_page_model, pipeline)}
+        op7_simhash_windows, op8_subword_language, op9_multiprobe, op10_page_model, op13_merkle_manifest, pipeline)}
 
 
 def llm_oracles() -> dict[str, str]:

@@ -13,9 +13,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+def columns(frame: DataFrame, *names: str) -> DataFrame:
+    """Exactly the named columns, found by position: others may differ in case only, hold dots, or repeat an operator's own names."""
+    at = [frame.columns.index(n) for n in names]
+    rows = frame.toDF(*(f"_{i}" for i in range(len(frame.columns))))
+    return rows.select(*(F.col(f"_{i}").alias(n) for i, n in zip(at, names, strict=True)))
+
+
 def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Exactly the two columns an operator reads, so other columns may have any name."""
-    return docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
+    """The two columns an operator reads."""
+    return columns(docs, key, text).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def cut(frame: DataFrame) -> DataFrame:
