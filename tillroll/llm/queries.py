@@ -9,11 +9,11 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_quality, merkle, multiprobe, page_model, secret_forest, simhash_windows, soft_mixing, subword_language, word_shapes
+from . import line_quality, merkle, multiprobe, page_model, periodic_runs, secret_forest, simhash_windows, soft_mixing, subword_language, word_shapes
 from .ngram_join import near_duplicates
 from .repeated_phrases import remove_repeated
 from .samples import held_out
-from .tables import read
+from .tables import columns, read
 
 
 def op1_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +78,32 @@ def op10_page_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def _planted(docs: DataFrame) -> DataFrame:
+    """doc_id and text; with h the crc32 of the id and h % 10 = 0, the words from one place on repeat the first few of them."""
+    rows = columns(docs, "doc_id", "text").withColumn("h", F.crc32(F.col("doc_id").cast("string").cast("binary")))
+    chosen = F.col("h") % 10 == 0
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rows = rows.withColumn("w", F.when(chosen, words)).withColumn("g", F.floor(F.col("h") / 10)).withColumn("n", F.size("w"))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    rows = rows.withColumn("p", F.lit(1) + F.call_function("div", F.col("n") - F.col("a"), F.lit(3) + F.col("g") % 8))
+    at = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    again = F.array_join(F.transform("w", lambda w, i: F.element_at("w", (at(i) + 1).cast("int"))), " ")
+    return rows.select("doc_id", F.when(chosen & (F.col("n") > 0), again).otherwise(F.col("text")).alias("text"))
+
+
+def op12_block_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs.periodic_runs(_planted(read(spark, sf_dir, "documents")))
+    sign = lambda test, otherwise: F.when(test < 0, -1).when(test > 0, 1).otherwise(otherwise)
+    strongest = F.get(F.array_sort("runs", lambda x, y: sign(y.length * x.period - x.length * y.period, sign(
+        x.start - y.start, sign(x.period - y.period, F.lit(0))))), F.lit(0))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n"))), "")
+    hashed = lambda text: F.sha2(text.cast("binary"), 256)
+    best = out.withColumn("best", strongest)
+    return best.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                       F.call_function("div", F.col("best.length") * 1000, F.col("best.period")).alias("exponent_milli"),
+                       hashed(lines).alias("runs_sha256"), hashed(F.col("collapsed")).alias("collapsed_sha256"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
     third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
@@ -91,7 +117,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_repeated_phrases, op2_ngram_join, op3_word_shapes, op4_line_quality, op5_secret_forest, op6_soft_mixing,
-        op7_simhash_windows, op8_subword_language, op9_multiprobe, op10_page_model, op13_merkle_manifest, pipeline)}
+        op7_simhash_windows, op8_subword_language, op9_multiprobe, op10_page_model, op12_block_convolution, op13_merkle_manifest, pipeline)}
 
 
 def llm_oracles() -> dict[str, str]:
