@@ -9,7 +9,8 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_quality, merkle, multiprobe, page_model, periodic_runs, secret_forest, simhash_windows, soft_mixing, subword_language, word_shapes
+from . import (line_quality, merkle, metric_tree, multiprobe, page_model, periodic_runs, secret_forest, simhash_windows, soft_mixing,
+               subword_language, word_shapes)
 from .ngram_join import near_duplicates
 from .repeated_phrases import remove_repeated
 from .samples import held_out
@@ -78,6 +79,10 @@ def op10_page_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_metric_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_tree.nearest(read(spark, sf_dir, "embeddings"))
+
+
 def _planted(docs: DataFrame) -> DataFrame:
     """doc_id and text; with h the crc32 of the id and h % 10 = 0, the words from one place on repeat the first few of them."""
     rows = columns(docs, "doc_id", "text").withColumn("h", F.crc32(F.col("doc_id").cast("string").cast("binary")))
@@ -117,7 +122,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_repeated_phrases, op2_ngram_join, op3_word_shapes, op4_line_quality, op5_secret_forest, op6_soft_mixing,
-        op7_simhash_windows, op8_subword_language, op9_multiprobe, op10_page_model, op12_block_convolution, op13_merkle_manifest, pipeline)}
+        op7_simhash_windows, op8_subword_language, op9_multiprobe, op10_page_model, op11_metric_tree, op12_block_convolution, op13_merkle_manifest, pipeline)}
 
 
 def llm_oracles() -> dict[str, str]:
