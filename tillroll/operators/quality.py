@@ -26,11 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillroll.functions.keysets import repeated_keys
 from tillroll.functions.money import MONEY_TYPE
 from tillroll.functions.times import ntz
 from tillroll.operators.writes import Written
 from tillroll.sources.schema import PRIMARY_KEYS, SCHEMAS, TABLE_NAMES, RetailTables
 
+FACT_TABLES = ("product_category", "invoice", "invoice_line", "payment")
 VIOLATION_COLUMNS = ["rule", "table_name", "column_name", "value", "n"]
 
 # Fixed values of the schema (constraint metadata).
@@ -105,17 +107,13 @@ def _tbl(t: RetailTables, name: str, cols: list[str]) -> DataFrame:
 # C1 primary keys, C2 unique columns
 
 def check_primary_keys(t: RetailTables) -> DataFrame:
-    """Duplicate primary keys (one row per key) and rows with a NULL key part.
+    """Duplicate primary keys (one row per key) and the number of rows with a NULL key part.
 
-    One aggregate per table: complete keys are grouped by value, all keys
-    with a NULL part form one group."""
+    In the large tables bitmaps of key buckets clear the unique keys; only the other buckets are grouped by key."""
     parts = []
     for table in TABLE_NAMES:
         keys = list(PRIMARY_KEYS[table])
-        any_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-        whole = [F.when(~any_null, F.col(k)).alias(k) for k in keys]
-        counted = (_tbl(t, table, keys).select(*whole, any_null.alias("_null")).groupBy(*keys, "_null")
-                   .agg(F.count(F.lit(1)).alias("n")).filter(F.col("_null") | (F.col("n") > 1)))
+        counted = repeated_keys(_tbl(t, table, keys), keys, pack=table in FACT_TABLES)
         parts.append(counted.select(
             F.when(F.col("_null"), F.lit("null_key")).otherwise(F.lit("duplicate_key")).alias("rule"),
             F.lit(table).alias("table_name"), F.lit(",".join(keys)).alias("column_name"),
@@ -140,17 +138,27 @@ def check_unique(t: RetailTables) -> DataFrame:
 def check_foreign_keys(t: RetailTables) -> DataFrame:
     """Non-NULL references without a parent row: one row per orphan value.
 
-    The child side is aggregated per reference value first (map-side combine),
-    so a fact table sends one row per value and task to the anti join.
+    A child is scanned once: GROUPING SETS count the values of all its references in one aggregate with map-side
+    combine, and one anti join holds them against the union of their parents' keys.
     """
     parts = []
-    for child, col, parent, key in FOREIGN_KEYS:
-        refs = (_tbl(t, child, [col]).filter(F.col(col).isNotNull())
-                .groupBy(col).agg(F.count(F.lit(1)).alias("n")))
+    for child in dict.fromkeys(fk[0] for fk in FOREIGN_KEYS):
+        own = [fk[1:] for fk in FOREIGN_KEYS if fk[0] == child]
+        cols = [col for col, _, _ in own]
+        rows = _tbl(t, child, cols)
+        if len(own) == 1:
+            counted = rows.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).select(F.lit(0).alias("_fk"), F.col(cols[0]).alias("_ref"), "n")
+        else:
+            counted = rows.groupingSets([[F.col(c)] for c in cols], *cols).agg(
+                F.count(F.lit(1)).alias("n"), *(F.grouping(c).alias(f"_g{i}") for i, c in enumerate(cols)))
+            which = F.coalesce(*(F.when(F.col(f"_g{i}") == 0, F.lit(i)) for i in range(len(cols))))
+            counted = counted.select(which.alias("_fk"), F.coalesce(*cols).alias("_ref"), "n")
         # an anti join ignores duplicate keys on its right side: no distinct
-        parents = _tbl(t, parent, [key]).withColumnRenamed(key, col)
-        orphans = refs.join(parents, col, "left_anti").select(F.col(col).alias("value"), "n")
-        parts.append(_violations(orphans, "foreign_key", child, f"{col}->{parent}.{key}"))
+        parents = _union([_tbl(t, parent, [key]).select(F.lit(i).alias("_fk"), F.col(key).alias("_ref")) for i, (_, parent, key) in enumerate(own)])
+        orphans = counted.filter(F.col("_ref").isNotNull()).join(parents, ["_fk", "_ref"], "left_anti")
+        name = F.element_at(F.array(*(F.lit(f"{col}->{parent}.{key}") for col, parent, key in own)), F.col("_fk") + 1)
+        parts.append(orphans.select(F.lit("foreign_key").alias("rule"), F.lit(child).alias("table_name"), name.alias("column_name"),
+                                    F.col("_ref").cast("string").alias("value"), F.col("n").cast("bigint").alias("n")))
     return _union(parts)
 
 
@@ -185,7 +193,9 @@ def _row_rules(t: RetailTables, rules: list[tuple[str, str, str, Column]]) -> Da
         columns = list(dict.fromkeys([*keys, *(r[1] for r in own)]))
         broken = F.array_compact(F.array(*[
             F.when(bad, F.struct(F.lit(rule).alias("rule"), F.lit(col).alias("column_name"))) for _, col, rule, bad in own]))
-        parts.append(_tbl(t, table, columns).select(_key_text(keys).alias("value"), F.explode(broken).alias("b"))
+        # almost no row breaks a rule: only those that do build the array
+        some = reduce(lambda a, b: a | b, [F.coalesce(bad, F.lit(False)) for _, _, _, bad in own])
+        parts.append(_tbl(t, table, columns).filter(some).select(_key_text(keys).alias("value"), F.explode(broken).alias("b"))
                      .select("b.rule", F.lit(table).alias("table_name"), "b.column_name", "value",
                              F.lit(1).cast("bigint").alias("n")))
     return _union(parts)

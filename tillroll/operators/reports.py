@@ -26,6 +26,7 @@ from tillroll.functions.money import (avg_money, cents, money_sum, percent_of,
                                       to_total)
 from tillroll.functions.times import ntz, truncate
 from tillroll.plans.session import ensure_checkpoint_dir
+from tillroll.sources.layouts import range_of
 from tillroll.sources.schema import RetailTables
 
 
@@ -229,14 +230,15 @@ def partial_refunds(t: RetailTables, literal: bool = False) -> DataFrame:
         money_sum("line_total").alias("billed"), F.count(F.lit(1)).alias("n_lines"))
     pays = t.payment.groupBy("invoice_id").agg(
         money_sum("amount").alias("paid"), F.count(F.lit(1)).alias("n_payments"))
-    joined = _of_known_invoices(t, lines).join(pays, "invoice_id")
+    joined = lines.join(pays, "invoice_id")
     if literal:
         billed = to_total(F.col("billed") * F.col("n_payments"))
         paid = to_total(F.col("paid") * F.col("n_lines"))
     else:
         billed, paid = F.col("billed"), F.col("paid")
-    return (joined.select("invoice_id", billed.alias("billed"), paid.alias("paid"))
-            .filter(F.col("paid") < F.col("billed")))
+    # few invoices pass, so orphans go last
+    return _of_known_invoices(t, joined.select("invoice_id", billed.alias("billed"), paid.alias("paid"))
+                              .filter(F.col("paid") < F.col("billed")))
 
 
 def last_order(t: RetailTables, since=None) -> DataFrame:
@@ -273,7 +275,10 @@ def invoices_above_average(t: RetailTables) -> DataFrame:
     average is ever rounded); SUM and n come from one global aggregate used as
     a scalar subquery.
     """
+    # both uses of the totals read them from the checkpoint folder: the lines are aggregated once
     totals = _of_known_invoices(t, invoice_totals(t))
+    ensure_checkpoint_dir(totals.sparkSession)
+    totals = totals.checkpoint(eager=True)
     stats = totals.agg(F.struct(money_sum("total").alias("s"),
                                 F.count(F.lit(1)).alias("n")).alias("st")).scalar()
     return (totals.withColumn("st", stats)
@@ -314,20 +319,38 @@ def invoice_refund_flags(t: RetailTables) -> DataFrame:
     refunded = (t.payment.filter(F.col("amount") < 0).select("invoice_id").distinct()
                 .withColumn("refunded", F.lit(True)))
     return (t.invoices().select("invoice_id", "customer_id")
+            .join(refunded, "invoice_id", "left")  # before the customers: tables bucketed by invoice need no exchange for it
             .join(t.customer.select("customer_id", "full_name"), "customer_id")
-            .join(refunded, "invoice_id", "left")
             .select("invoice_id", "full_name",
                     F.when(F.col("refunded"), F.lit("Y")).otherwise(F.lit("N")).alias("has_refund"))
             .orderBy("invoice_id"))
 
 
-def _ids(ids: DataFrame, column: str) -> DataFrame:
-    return ids.select(column).distinct()
+#: Requested ids that are broadcast at most.
+MOST_IDS = 1 << 20
+
+
+def _wanted(t: RetailTables, ids: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(the requested invoice ids, the columns to join them on).
+
+    Tables partitioned by id ranges are joined on the range too: a broadcast of the ids then prunes the partitions that
+    hold none of them (dynamic partition pruning).  More ids than that would leave few partitions out, and are shuffled.
+    """
+    wanted = ids.select("invoice_id").filter(F.col("invoice_id").isNotNull()).distinct()
+    if t.range_width is None:
+        return wanted, ["invoice_id"]
+    ensure_checkpoint_dir(wanted.sparkSession)
+    kept = wanted.select("invoice_id", range_of(F.col("invoice_id"), t.range_width).alias("invoice_range")).checkpoint(eager=True)
+    few = kept.count() <= MOST_IDS
+    # the planner prunes for a side that a comparison makes selective
+    kept = kept.filter(F.col("invoice_range").between(-(2 ** 62), 2 ** 62))
+    return F.broadcast(kept) if few else kept, ["invoice_id", "invoice_range"]
 
 
 def invoice_header(t: RetailTables, ids: DataFrame) -> DataFrame:
     """Header of each requested invoice (unknown ids give no row)."""
-    return (t.invoice.join(_ids(ids, "invoice_id"), "invoice_id", "left_semi")
+    wanted, on = _wanted(t, ids)
+    return (t.invoice.join(wanted, on, "left_semi")
             .join(t.customer.select("customer_id", "full_name"), "customer_id")
             .select("invoice_id", "full_name", "invoice_date", "status", "ship_to_country")
             .orderBy("invoice_id"))
@@ -335,14 +358,16 @@ def invoice_header(t: RetailTables, ids: DataFrame) -> DataFrame:
 
 def invoice_items(t: RetailTables, ids: DataFrame) -> DataFrame:
     """Product name, quantity, price and total of the lines of requested invoices."""
-    return (t.invoice_line.join(_ids(ids, "invoice_id"), "invoice_id", "left_semi")
+    wanted, on = _wanted(t, ids)
+    return (t.invoice_line.join(wanted, on, "left_semi")
             .join(t.product.select("product_id", F.col("name").alias("product_name")), "product_id")
             .select("invoice_id", "product_name", "quantity", "unit_price", "line_total"))
 
 
 def invoice_payments(t: RetailTables, ids: DataFrame) -> DataFrame:
     """Payments and refunds of requested invoices, by payment time."""
-    return (t.payment.join(_ids(ids, "invoice_id"), "invoice_id", "left_semi")
+    wanted, on = _wanted(t, ids)
+    return (t.payment.join(wanted, on, "left_semi")
             .orderBy("invoice_id", F.asc_nulls_last("paid_at"), "payment_id")
             .select("invoice_id", "method", "amount", "paid_at"))
 
@@ -350,13 +375,14 @@ def invoice_payments(t: RetailTables, ids: DataFrame) -> DataFrame:
 def invoice_balance(t: RetailTables, ids: DataFrame) -> DataFrame:
     """Billed and paid so far per requested invoice, each 0 when absent."""
     zero = F.lit(0).cast("decimal(38,2)")
-    wanted = _ids(ids, "invoice_id")
+    wanted, on = _wanted(t, ids)
     # only the requested invoices' lines and payments are aggregated
-    billed = (t.invoice_line.join(wanted, "invoice_id", "left_semi").groupBy("invoice_id")
+    billed = (t.invoice_line.join(wanted, on, "left_semi").groupBy("invoice_id")
               .agg(money_sum("line_total").alias("billed")))
-    paid = (t.payment.join(wanted, "invoice_id", "left_semi").groupBy("invoice_id")
+    paid = (t.payment.join(wanted, on, "left_semi").groupBy("invoice_id")
             .agg(money_sum("amount").alias("paid")))
-    return (wanted
+    # a missing id is asked for as well, and has neither lines nor payments
+    return (ids.select("invoice_id").distinct()
             .join(billed, "invoice_id", "left").join(paid, "invoice_id", "left")
             .select("invoice_id", F.coalesce("billed", zero).alias("billed"),
                     F.coalesce("paid", zero).alias("paid")))

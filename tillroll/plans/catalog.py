@@ -18,6 +18,7 @@ from tillroll.operators import quality as Q
 from tillroll.operators import reports as R
 from tillroll.operators import writes as W
 from tillroll.plans.oracle_sql import PARAMS as P
+from tillroll.sources.layouts import save_bucketed, save_ranged, saved_once
 from tillroll.sources.requests import (brand_pairs, inactive_type_pairs, load_order_requests,
                                        load_refund_requests, new_category_rows)
 from tillroll.sources.starmap import load_star, raw_table
@@ -86,6 +87,28 @@ REPORT_QUERIES: dict[str, Query] = {
 }
 
 
+def _saved(save, fn, *args) -> Query:
+    """A report over the tables in a saved layout."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = saved_once(load_star(spark, sf_dir), (sf_dir.rstrip("/"),), save)
+        return fn(t, *(make(spark, sf_dir) for make in args))
+    run.__name__ = fn.__name__
+    return run
+
+
+LAYOUT_QUERIES: dict[str, Query] = {
+    "invoice_header_ranged": _saved(save_ranged, R.invoice_header, load_refund_requests),
+    "invoice_items_ranged": _saved(save_ranged, R.invoice_items, load_refund_requests),
+    "invoice_payments_ranged": _saved(save_ranged, R.invoice_payments, load_refund_requests),
+    "invoice_balance_ranged": _saved(save_ranged, R.invoice_balance, load_refund_requests),
+    "revenue_by_country_bucketed": _saved(save_bucketed, R.revenue_by_country),
+    "avg_order_value_bucketed": _saved(save_bucketed, R.avg_order_value),
+    "partial_refunds_bucketed": _saved(save_bucketed, R.partial_refunds),
+    "invoices_above_average_bucketed": _saved(save_bucketed, R.invoices_above_average),
+    "invoice_refund_flags_bucketed": _saved(save_bucketed, R.invoice_refund_flags),
+}
+
+
 def _write(make, pick) -> Query:
     """A registered view of one output of a write operator."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,4 +293,4 @@ QUALITY_QUERIES: dict[str, Query] = {
 
 
 def all_queries() -> dict[str, Query]:
-    return {**REPORT_QUERIES, **WRITE_QUERIES, **QUALITY_QUERIES}
+    return {**REPORT_QUERIES, **LAYOUT_QUERIES, **WRITE_QUERIES, **QUALITY_QUERIES}

@@ -90,7 +90,8 @@ class RetailTables:
     ``invoice_core`` is optional: a source whose ``ship_to_country`` has to be
     derived by a join (the star-schema mapping) passes the invoice columns
     without it here, so that operators that never read the ship-to name do not
-    plan that join.
+    plan that join.  ``range_width`` and ``database`` belong to tables saved by
+    ``tillroll.sources.layouts``.
     """
 
     country: DataFrame
@@ -102,6 +103,8 @@ class RetailTables:
     invoice_line: DataFrame
     payment: DataFrame
     invoice_core: DataFrame | None = None
+    range_width: int | None = None
+    database: str | None = None
 
     def invoices(self) -> DataFrame:
         """Invoice rows without the denormalised ``ship_to_country``."""
