@@ -14,11 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
+from tillroll.operators import partition_writes as PW
 from tillroll.operators import quality as Q
 from tillroll.operators import reports as R
 from tillroll.operators import writes as W
 from tillroll.plans.oracle_sql import PARAMS as P
-from tillroll.sources.layouts import save_bucketed, save_ranged, saved_once
+from tillroll.sources.layouts import save_bucketed, save_for_updates, save_ranged, saved_once
 from tillroll.sources.requests import (brand_pairs, inactive_type_pairs, load_order_requests,
                                        load_refund_requests, new_category_rows)
 from tillroll.sources.starmap import load_star, raw_table
@@ -165,6 +166,28 @@ def _refunded(spark, sf_dir):
                             _day(P["refunds_as_of"]))
 
 
+def _in_place(change, pick, name, *args) -> Query:
+    """A change made in a table of its own, saved for updates."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return pick(change(save_for_updates(load_star(spark, sf_dir), names=(name,)), *args))
+    run.__name__ = change.__name__
+    return run
+
+
+_SHIP = (_day(P["ship_as_of"]), P["ship_days"])
+_REPRICE = (P["reprice_category"], Decimal(P["reprice_factor"]))
+_PURGE = (Decimal(P["purge_limit"]),)
+
+IN_PLACE_QUERIES: dict[str, Query] = {
+    "mark_shipped_in_place": _in_place(PW.mark_shipped_in_place, lambda c: c.table, "invoice", *_SHIP),
+    "mark_shipped_in_place_affected": _in_place(PW.mark_shipped_in_place, lambda c: c.affected, "invoice", *_SHIP),
+    "reprice_category_in_place": _in_place(PW.reprice_category_in_place, lambda c: c.table, "product", *_REPRICE),
+    "reprice_category_in_place_affected": _in_place(PW.reprice_category_in_place, lambda c: c.affected, "product", *_REPRICE),
+    "purge_small_refunds_in_place": _in_place(PW.purge_small_refunds_in_place, lambda c: c.table, "payment", *_PURGE),
+    "purge_small_refunds_in_place_removed": _in_place(PW.purge_small_refunds_in_place, lambda c: c.affected, "payment", *_PURGE),
+}
+
+
 WRITE_QUERIES: dict[str, Query] = {
     "mark_shipped_affected": _write(_shipped, lambda w: w.affected),
     "mark_shipped_state": _write(_shipped, lambda w: w.tables.invoice),
@@ -293,4 +316,4 @@ QUALITY_QUERIES: dict[str, Query] = {
 
 
 def all_queries() -> dict[str, Query]:
-    return {**REPORT_QUERIES, **LAYOUT_QUERIES, **WRITE_QUERIES, **QUALITY_QUERIES}
+    return {**REPORT_QUERIES, **LAYOUT_QUERIES, **IN_PLACE_QUERIES, **WRITE_QUERIES, **QUALITY_QUERIES}

@@ -72,18 +72,20 @@ def save_bucketed(t: RetailTables, buckets: int = 32) -> RetailTables:
     return replace(t, **saved, invoice_core=None, database=database)
 
 
-def save_for_updates(t: RetailTables, ranges: int = RANGES) -> RetailTables:
+def save_for_updates(t: RetailTables, ranges: int = RANGES, names: tuple[str, ...] = ("invoice", "product", "payment")) -> RetailTables:
     """Invoices by month (``invoice_month``), products and payments by id range: columns that no update changes."""
     spark = t.country.sparkSession
     database = new_database(spark)
+    by_range = lambda name, key: range_of(F.col(key), _width(t.table(name), key, ranges))
     parts = {
-        "invoice": ("invoice_month", F.date_format("invoice_date", "yyyy-MM")),
-        "product": ("product_range", range_of(F.col("product_id"), _width(t.product, "product_id", ranges))),
-        "payment": ("payment_range", range_of(F.col("payment_id"), _width(t.payment, "payment_id", ranges))),
+        "invoice": ("invoice_month", lambda: F.date_format("invoice_date", "yyyy-MM")),
+        "product": ("product_range", lambda: by_range("product", "product_id")),
+        "payment": ("payment_range", lambda: by_range("payment", "payment_id")),
     }
     saved = {}
-    for name, (by, value) in parts.items():
-        _partitioned(t.table(name).select(*SCHEMAS[name].fieldNames(), value.alias(by)), by, f"{database}.{name}")
+    for name in names:
+        by, value = parts[name]
+        _partitioned(t.table(name).select(*SCHEMAS[name].fieldNames(), value().alias(by)), by, f"{database}.{name}")
         saved[name] = spark.table(f"{database}.{name}")
     return replace(t, **saved, invoice_core=None, database=database)
 
