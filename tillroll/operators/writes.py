@@ -172,6 +172,24 @@ def purge_small_refunds(t: RetailTables, limit=Decimal("1")) -> Written:
     return Written(t.with_tables(payment=kept), removed)
 
 
+# ---------------------------------------------------------------------------
+# requests that were applied before
+
+def _replayed(requests: DataFrame, applied: DataFrame | None) -> tuple[DataFrame, Column]:
+    """(the requests, why one can't be applied by its id alone).
+
+    ``applied`` is the ledger: a table with the request_id of all that former batches applied.  It grows with the history, so it
+    is cut to the batch's ids before it is joined.  Without a ledger ids aren't looked at.
+    """
+    if applied is None:
+        return requests, F.lit(None).cast("string")
+    ids = requests.select("request_id").filter(F.col("request_id").isNotNull()).groupBy("request_id").agg(F.count(F.lit(1)).alias("_times"))
+    done = applied.select("request_id").join(ids, "request_id", "left_semi").distinct().withColumn("_applied", F.lit(True))
+    told = requests.join(ids.join(done, "request_id", "left").filter((F.col("_times") > 1) | F.col("_applied")), "request_id", "left")
+    return told, (F.when(F.col("request_id").isNull(), "missing request id").when(F.col("_applied"), "already applied")
+                  .when(F.col("_times") > 1, "request repeated in batch"))
+
+
 # ---------------------------------------------------------------------------
 # W7 place_orders
 
@@ -221,6 +239,12 @@ class PlacedOrders:
             F.coalesce("_method", F.lit("CARD")).alias("method"), F.col("subtotal").cast(MONEY_TYPE).alias("amount"),
             self._when.alias("paid_at"), F.lit(None).cast("string").alias("external_ref"))
 
+    @cached_property
+    def ledger(self) -> DataFrame:
+        """(request_id, invoice_id) of the lines that were billed, to be appended to the ledger with the batch."""
+        good = self._staged.filter(F.col("reason").isNull()).select("request_id", "order_id")
+        return good.join(self._placed.select("order_id", "invoice_id"), "order_id").select("request_id", "invoice_id")
+
     @cached_property
     def rejected(self) -> DataFrame:
         refused = self._orders.filter(F.col("_order_reason").isNotNull()).select("order_id", "_order_reason")
@@ -237,7 +261,7 @@ class PlacedOrders:
                              payment=t.payment.unionByName(self.payments))
 
 
-def place_orders(t: RetailTables, requests: DataFrame, as_of: datetime) -> PlacedOrders:
+def place_orders(t: RetailTables, requests: DataFrame, as_of: datetime, applied: DataFrame | None = None) -> PlacedOrders:
     """Turn order requests into invoices, lines and one payment per invoice.
 
     ``requests``: (request_id, order_id, customer_id, product_id, quantity,
@@ -254,18 +278,23 @@ def place_orders(t: RetailTables, requests: DataFrame, as_of: datetime) -> Place
       no invoice, its lines are rejected;
     * invoice: status PAID, currency GBP, date ``as_of``, ship-to = name of the
       customer's country (NULL without one);
-    * payment: the order's method upper-cased and trimmed, else CARD, amount = subtotal.
+    * payment: the order's method upper-cased and trimmed, else CARD, amount = subtotal;
+    * with ``applied`` (a ledger of request ids, see ``PlacedOrders.ledger``), lines that were billed before are refused, as
+      are lines without an id or with one that the batch repeats: a batch that is sent twice bills once.
 
     Ids continue after the current maxima: invoices in (customer_id, order_id)
     order, lines in (invoice_id, request_id) order, and payment i belongs to
     the i-th new invoice.  Nothing runs before an output is asked for.
     """
-    req = (requests.select("request_id", F.col("order_id").cast("string").alias("order_id"), "customer_id", "product_id", "quantity", "method")
+    requests, id_reason = _replayed(requests.select("request_id", "order_id", "customer_id", "product_id", "quantity", "method"), applied)
+    req = (requests.select("request_id", F.col("order_id").cast("string").alias("order_id"), "customer_id", "product_id", "quantity", "method",
+                           id_reason.alias("_id_reason"))
            .withColumn("_product", F.col("product_id").try_cast("bigint")).withColumn("_quantity", _whole(F.col("quantity"))))
     known = t.customer.select("customer_id", "country_id").withColumn("_known", F.lit(True))
     priced = t.product.filter(F.col("is_active")).select(F.col("product_id").alias("_product"), F.col("unit_price").alias("_price"))
     staged = req.join(known, "customer_id", "left").join(priced, "_product", "left")
-    line_reason = (F.when(F.col("order_id").isNull(), "missing order id")
+    line_reason = (F.when(F.col("_id_reason").isNotNull(), F.col("_id_reason"))
+                   .when(F.col("order_id").isNull(), "missing order id")
                    .when(~_holds(F.col("_known")), "unknown customer")
                    .when(F.col("_product").isNull(), "invalid product id")
                    .when(~_holds(F.col("_quantity") > 0), "invalid quantity")
@@ -330,12 +359,17 @@ class RecordedRefunds:
             "request_id", "payment_id", "invoice_id", (-F.col("refund")).cast(MONEY_TYPE).alias("amount"),
             (F.col("refund") > F.col("_paid_before")).alias("over_refund"))
 
+    @cached_property
+    def ledger(self) -> DataFrame:
+        """(request_id, payment_id) of the refunds that were paid, to be appended to the ledger with the batch."""
+        return self._numbered.select("request_id", "payment_id")
+
     @cached_property
     def tables(self) -> RetailTables:
         return self._t.with_tables(payment=self._t.payment.unionByName(self.payments))
 
 
-def record_refunds(t: RetailTables, refunds: DataFrame, as_of: datetime) -> RecordedRefunds:
+def record_refunds(t: RetailTables, refunds: DataFrame, as_of: datetime, applied: DataFrame | None = None) -> RecordedRefunds:
     """Append a REFUND payment of -amount for each valid refund request.
 
     ``refunds``: (request_id, invoice_id, amount).  The amount, a number or a
@@ -344,12 +378,15 @@ def record_refunds(t: RetailTables, refunds: DataFrame, as_of: datetime) -> Reco
     refund larger than what was paid so far is accepted with ``over_refund`` =
     true — "so far" includes the earlier accepted refunds of the same invoice
     in this batch (request order), as if they had been entered one after another.
+    With ``applied``, a ledger of request ids, refunds that were paid before, have no id or repeat one are refused.
     """
-    req = (refunds.select("request_id", F.col("invoice_id"), "amount")
+    refunds, id_reason = _replayed(refunds.select("request_id", "invoice_id", "amount"), applied)
+    req = (refunds.select("request_id", "invoice_id", "amount", id_reason.alias("_id_reason"))
            .withColumn("refund", F.col("amount").try_cast(MONEY_TYPE)))
     known = (t.invoices().select("invoice_id").join(req.select("invoice_id").distinct(), "invoice_id", "left_semi")
              .withColumn("_known", F.lit(True)))
     staged = req.join(known, "invoice_id", "left")
-    reason = (F.when(~_holds(F.col("refund") > 0), "invalid amount")
+    reason = (F.when(F.col("_id_reason").isNotNull(), F.col("_id_reason"))
+              .when(~_holds(F.col("refund") > 0), "invalid amount")
               .when(~_holds(F.col("_known")), "unknown invoice"))
     return RecordedRefunds(t, staged.withColumn("reason", reason), _ts(as_of))

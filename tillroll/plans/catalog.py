@@ -154,11 +154,27 @@ def _purged(spark, sf_dir):
 
 
 def _placed(spark, sf_dir):
-    # every fifth product is given away, so that some orders are cancelled
+    return W.place_orders(_free_products(spark, sf_dir), load_order_requests(spark, sf_dir), _day(P["orders_as_of"]))
+
+
+def _free_products(spark, sf_dir):
+    """The tables with every fifth product given away, so that some orders are cancelled."""
     t = load_star(spark, sf_dir)
     free = F.when(F.col("product_id") % 5 == 0, F.lit(Decimal("0.00"))).otherwise(F.col("unit_price"))
-    t = t.with_tables(product=t.product.withColumn("unit_price", free.cast("decimal(12,2)")))
-    return W.place_orders(t, load_order_requests(spark, sf_dir), _day(P["orders_as_of"]))
+    return t.with_tables(product=t.product.withColumn("unit_price", free.cast("decimal(12,2)")))
+
+
+def _orders_replayed(spark, sf_dir):
+    # the whole batch arrives again after it was billed
+    requests, when = load_order_requests(spark, sf_dir), _day(P["orders_as_of"])
+    first = W.place_orders(_free_products(spark, sf_dir), requests, when)
+    return W.place_orders(first.tables, requests, when, applied=first.ledger)
+
+
+def _refunds_replayed(spark, sf_dir):
+    refunds, when = load_refund_requests(spark, sf_dir), _day(P["refunds_as_of"])
+    first = W.record_refunds(load_star(spark, sf_dir), refunds, when)
+    return W.record_refunds(first.tables, refunds, when, applied=first.ledger)
 
 
 def _refunded(spark, sf_dir):
@@ -209,6 +225,12 @@ WRITE_QUERIES: dict[str, Query] = {
     "place_orders_lines": _write(_placed, lambda w: w.lines),
     "place_orders_payments": _write(_placed, lambda w: w.payments),
     "place_orders_rejected": _write(_placed, lambda w: w.rejected),
+    "place_orders_ledger": _write(_placed, lambda w: w.ledger),
+    "place_orders_replayed_invoices": _write(_orders_replayed, lambda w: w.invoices),
+    "place_orders_replayed_rejected": _write(_orders_replayed, lambda w: w.rejected),
+    "record_refunds_ledger": _write(_refunded, lambda w: w.ledger),
+    "record_refunds_replayed_payments": _write(_refunds_replayed, lambda w: w.payments),
+    "record_refunds_replayed_rejected": _write(_refunds_replayed, lambda w: w.rejected),
     "record_refunds_payments": _write(_refunded, lambda w: w.affected),
     "record_refunds_rejected": _write(_refunded, lambda w: w.rejected),
 }
