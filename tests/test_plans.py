@@ -17,7 +17,8 @@ def optimized(df) -> str:
 
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_no_cartesian_or_python_in_plans(spark, name):
-    p = plan(queries()[name](spark, SF_DIR))
+    # a runtime filter that Spark adds to a join by itself isn't an aggregate of the operator
+    p = "\n".join(line for line in plan(queries()[name](spark, SF_DIR)).splitlines() if "bloom_filter_agg" not in line)
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython",
                 "ArrowEvalPython", "FlatMapGroupsInPandas", "SortAggregate",
                 "ObjectHashAggregate"):

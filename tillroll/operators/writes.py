@@ -224,11 +224,14 @@ class PlacedOrders:
                         F.lit("GBP").alias("currency"), "ship_to_country"))
 
     @cached_property
-    def lines(self) -> DataFrame:
+    def _numbered_lines(self) -> DataFrame:
         good = self._staged.filter(F.col("reason").isNull()).drop("customer_id")
-        lines = assign_keys(good.join(self._placed.select("order_id", "invoice_id"), "order_id"),
-                            "invoice_line_id", ["invoice_id", "request_id"], _max_id(self._t.invoice_line, "invoice_line_id"))
-        return lines.select("invoice_line_id", "invoice_id", F.col("_product").alias("product_id"),
+        return assign_keys(good.join(self._placed.select("order_id", "invoice_id"), "order_id"),
+                           "invoice_line_id", ["invoice_id", "request_id"], _max_id(self._t.invoice_line, "invoice_line_id"))
+
+    @cached_property
+    def lines(self) -> DataFrame:
+        return self._numbered_lines.select("invoice_line_id", "invoice_id", F.col("_product").alias("product_id"),
                             F.col("_quantity").cast("int").alias("quantity"), F.col("_price").alias("unit_price"), "line_total")
 
     @cached_property
@@ -242,8 +245,7 @@ class PlacedOrders:
     @cached_property
     def ledger(self) -> DataFrame:
         """(request_id, invoice_id) of the lines that were billed, to be appended to the ledger with the batch."""
-        good = self._staged.filter(F.col("reason").isNull()).select("request_id", "order_id")
-        return good.join(self._placed.select("order_id", "invoice_id"), "order_id").select("request_id", "invoice_id")
+        return self._numbered_lines.select("request_id", "invoice_id")
 
     @cached_property
     def rejected(self) -> DataFrame:

@@ -19,6 +19,7 @@ from tillroll.operators import quality as Q
 from tillroll.operators import reports as R
 from tillroll.operators import writes as W
 from tillroll.plans.oracle_sql import PARAMS as P
+from tillroll.plans.session import ensure_checkpoint_dir
 from tillroll.sources.layouts import save_bucketed, save_for_updates, save_ranged, saved_once
 from tillroll.sources.requests import (brand_pairs, inactive_type_pairs, load_order_requests,
                                        load_refund_requests, new_category_rows)
@@ -164,17 +165,23 @@ def _free_products(spark, sf_dir):
     return t.with_tables(product=t.product.withColumn("unit_price", free.cast("decimal(12,2)")))
 
 
+def _stored(ledger: DataFrame) -> DataFrame:
+    """A ledger is a table that was written with its batch, not a plan that bills again."""
+    ensure_checkpoint_dir(ledger.sparkSession)
+    return ledger.checkpoint(eager=True)
+
+
 def _orders_replayed(spark, sf_dir):
     # the whole batch arrives again after it was billed
     requests, when = load_order_requests(spark, sf_dir), _day(P["orders_as_of"])
     first = W.place_orders(_free_products(spark, sf_dir), requests, when)
-    return W.place_orders(first.tables, requests, when, applied=first.ledger)
+    return W.place_orders(first.tables, requests, when, applied=_stored(first.ledger))
 
 
 def _refunds_replayed(spark, sf_dir):
     refunds, when = load_refund_requests(spark, sf_dir), _day(P["refunds_as_of"])
     first = W.record_refunds(load_star(spark, sf_dir), refunds, when)
-    return W.record_refunds(first.tables, refunds, when, applied=first.ledger)
+    return W.record_refunds(first.tables, refunds, when, applied=_stored(first.ledger))
 
 
 def _refunded(spark, sf_dir):
