@@ -9,7 +9,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (line_quality, merkle, metric_tree, multiprobe, page_model, periodic_runs, secret_forest, simhash_windows, soft_mixing,
+from . import (line_quality, merkle, metric_tree, multiprobe, oracles, page_model, periodic_runs, secret_forest, simhash_windows, soft_mixing,
                subword_language, word_shapes)
 from .ngram_join import near_duplicates
 from .repeated_phrases import remove_repeated
@@ -126,4 +126,6 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def llm_oracles() -> dict[str, str]:
-    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    fixed = {"op1_repeated_phrases": oracles.OP1, "op2_ngram_join": oracles.OP2, "op11_metric_tree": oracles.OP11,
+             "op12_block_convolution": oracles.OP12, "op13_merkle_manifest": oracles.OP13}
+    return fixed | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
