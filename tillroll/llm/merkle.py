@@ -11,9 +11,10 @@ one.  What remains is the group's subroot; the subroots, ordered by group, give
 * *Levels.*  Each level is one grouped aggregate over ``FAN`` rows a key, written to the checkpoint folder as
   node rows: id, parent, slot and the digests of its children.  A level has an eighth of the rows of the one below.
 * *Climb.*  ``WITH RECURSIVE`` ascends one level a step for all leaves: it joins the parent's row, appends the
-  siblings as one more row of the leaf, and folds the claimed digest with them.  The top levels, whose nodes
-  together are at most ``UPPER`` rows, are climbed by a second such query against a broadcast, so that no join key
-  has a share of the leaves that grows with the table.  One aggregate by leaf then hashes its siblings in order of the level.
+  siblings (as one more row of the leaf that names them by parent and slot, 60 bytes instead of seven digests),
+  and folds the claimed digest with them.  The top levels, whose nodes together are at most ``UPPER`` rows, are
+  climbed by a second such query against a broadcast, so that no join key has a share of the leaves that grows with
+  the table.  One aggregate by leaf then hashes the digests of its siblings in order of the level.
 
 Defined results: null ids and null groups come first, equal ids ascend by digest, identical rows are leaves each;
 a single leaf is its group's subroot, a single subroot the root, and no siblings hash as the empty text; an
@@ -35,8 +36,8 @@ from .tables import bounded, columns, cut
 FAN = 8
 #: Bits of a node id that hold its level; levels of the tree of subroots start at TOP.
 LEVEL_BITS, TOP = 6, 32
-#: Node rows that are broadcast at most, about 300 bytes each.
-UPPER = 1 << 14
+#: Node rows that are broadcast at most, about 300 bytes each (20 MB).
+UPPER = 1 << 16
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
@@ -102,8 +103,8 @@ class Manifest:
 
 def build(rows: DataFrame, key: str, group: str, leaf: str = "leaf", claimed: str = "claimed") -> Manifest:
     """The tree over ``rows`` (key, group, digest of the leaf, digest claimed for it; both binary)."""
-    rows = rows.select(F.col(key).alias("key"), F.col(group).alias("grp"), F.col(leaf).alias("leaf"), F.col(claimed).alias("claimed"),
-                       F.monotonically_increasing_id().alias("spread"))  # many identical rows go to several ranges
+    rows = cut(rows.select(F.col(key).alias("key"), F.col(group).alias("grp"), F.col(leaf).alias("leaf"), F.col(claimed).alias("claimed"),
+                           F.monotonically_increasing_id().alias("spread")))  # many identical rows go to several ranges; hashed once
     placed = assign_keys(rows, "g", ["grp", "key", "leaf", "spread"], -1).drop("spread")
     groups = placed.groupBy("grp").agg(F.min("g").alias("start"), F.count("*").alias("n"))
     groups = cut(assign_keys(groups, "j", ["start"], -1).select("grp", "start", "j", _depth(F.col("n")).alias("depth")))
@@ -135,14 +136,13 @@ def build(rows: DataFrame, key: str, group: str, leaf: str = "leaf", claimed: st
     return Manifest(leaves.select("g", "key", "leaf", "claimed", "j", "parent", "slot"), reduce(DataFrame.union, nodes), subroots, root)
 
 
-#: One step: the parent's row, the digest folded with its other children, and these as one more row of the leaf.
+#: One step: the parent's row, the digest folded with its other children, and where the next siblings stand.
 CLIMB = """
-WITH RECURSIVE climb(g, level, parent, slot, folded, siblings) AS (
-  SELECT g, level, parent, slot, folded, siblings FROM {start}
+WITH RECURSIVE climb(g, level, parent, slot, folded) AS (
+  SELECT g, level, parent, slot, folded FROM {start}
   UNION ALL
   SELECT g, level + 1, n.parent, n.slot,
-         unhex(sha2(cast(lower(hex(concat(substring(n.children, 1, 32 * c.slot), c.folded, substring(n.children, 32 * c.slot + 33)))) AS BINARY), 256)),
-         concat(substring(n.children, 1, 32 * c.slot), substring(n.children, 32 * c.slot + 33))
+         unhex(sha2(cast(lower(hex(concat(substring(n.children, 1, 32 * c.slot), c.folded, substring(n.children, 32 * c.slot + 33)))) AS BINARY), 256))
   FROM climb c JOIN {nodes} n ON n.id = c.parent)
 SELECT * FROM climb
 """
@@ -153,27 +153,35 @@ ROW_LIMIT = "spark.sql.cteRecursionRowLimit"
 def climb(tree: Manifest) -> DataFrame:
     """g, folded_root, proof_sha256 of each leaf with a parent: its claimed digest folded with the stored siblings up to the root."""
     spark = tree.leaves.sparkSession
-    level = F.col("id").bitwiseAND((1 << LEVEL_BITS) - 1)
-    sizes = {r.level: r.n for r in tree.nodes.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()}  # a row a level
+    level = lambda c: F.col(c).bitwiseAND((1 << LEVEL_BITS) - 1)
+    sizes = {r.level: r.n for r in tree.nodes.groupBy(level("id").alias("level")).agg(F.count("*").alias("n")).collect()}  # a row a level
     cutoff, held = 1 << LEVEL_BITS, 0
     for at in sorted(sizes, reverse=True):
         held += sizes[at]
         if held > UPPER:
             break
         cutoff = at
-    start = tree.leaves.where("parent IS NOT NULL").select(
-        "g", F.lit(0).alias("level"), "parent", "slot", F.col("claimed").alias("folded"), F.lit(b"").cast("binary").alias("siblings"))
-    above = lambda c: F.col(c).bitwiseAND((1 << LEVEL_BITS) - 1) >= cutoff
-    upper = F.broadcast(tree.nodes.where(above("id")))
-    lower = tree.nodes.where(~above("id"))
-    steps = [] if lower.isEmpty() else [spark.sql(CLIMB, start=start, nodes=lower)]
-    low = cut(steps[0]) if steps else start
-    rows = spark.sql(CLIMB, start=low.where(F.col("parent").isNull() | above("parent")), nodes=upper)
-    rows = low.where(~above("parent")).union(rows) if steps else rows
-    path = F.array_sort(F.collect_list(F.struct("level", "siblings")))
-    return rows.groupBy("g").agg(F.max_by("folded", "level").alias("folded"), path.alias("path")).select(
-        "g", F.lower(F.hex("folded")).alias("folded_root"),
-        F.sha2(F.lower(F.array_join(F.transform("path", lambda p: F.hex(p.siblings)), "")).cast("binary"), 256).alias("proof_sha256"))
+    start = tree.leaves.where("parent IS NOT NULL").select("g", F.lit(0).alias("level"), "parent", "slot", F.col("claimed").alias("folded"))
+    upper, lower = F.broadcast(tree.nodes.where(level("id") >= cutoff)), tree.nodes.where(level("id") < cutoff)
+    near = F.coalesce(level("parent") < cutoff, F.lit(False))
+    lean = lambda rows, ended: rows.withColumn("folded", F.when(ended, F.col("folded")))
+
+    def paths(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+        """g, the last folded digest, and the siblings of each step side by side."""
+        rows = rows.join(nodes.select(F.col("id").alias("parent"), "children"), "parent", "left")
+        siblings = F.concat(F.expr("substring(children, 1, 32 * slot)"), F.expr("substring(children, 32 * slot + 33)"))
+        steps = F.array_sort(F.collect_list(F.when(F.col("children").isNotNull(), F.struct("level", siblings.alias("siblings")))))
+        return rows.groupBy("g").agg(F.max_by("folded", "level").alias("folded"), F.array_join(F.transform(steps, lambda p: F.hex(p.siblings)), "").alias("path"))
+
+    below = None
+    if cutoff > 1:
+        low = cut(lean(spark.sql(CLIMB, start=start, nodes=lower), ~near))
+        start, below = low.where(~near), paths(low.where(near), lower).select("g", F.col("path").alias("below"))
+    # the broadcast gives the upper siblings after the rows of a leaf have met, so that they aren't shuffled
+    above = paths(lean(spark.sql(CLIMB, start=start, nodes=upper), F.col("parent").isNull()).repartition("g"), upper)
+    above = above.withColumn("below", F.lit("")) if below is None else above.join(below, "g", "left")
+    return above.select("g", F.lower(F.hex("folded")).alias("folded_root"),
+                        F.sha2(F.lower(F.concat(F.coalesce("below", F.lit("")), "path")).cast("binary"), 256).alias("proof_sha256"))
 
 
 def verify(tree: Manifest) -> DataFrame:
