@@ -230,11 +230,15 @@ def test_rates_equal_projected_gradient_in_numpy(spark):
     rng = np.random.default_rng(5)
     p, n = rng.dirichlet([0.3, 0.3], 50), rng.integers(1, 90, 50)
     members = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p)], "n_tokens long, p array<double>")
-    got = members.withColumn("r", soft_mixing.fit_rates(members, [0.9, 0.1], steps=5, tolerance=0)).toPandas()
-    rate, there = np.full(50, 0.5), (n[:, None] * p).sum(axis=0)
-    for _ in range(5):
-        gap = (np.array([0.9, 0.1]) * 0.5 * n.sum() - (n * rate) @ p) / there
-        rate = np.maximum(0, rate * (1 - 1e-3) + 1e-3 * 0.5 + p @ gap)
+    got = members.withColumn("r", soft_mixing.fit_rates(members, [0.9, 0.1], steps=11, tolerance=0)).toPandas()
+    rate, goal, before = np.full(50, 0.5), np.array([0.9, 0.1]) * 0.5 * n.sum(), np.inf
+    for _ in range(11):
+        gap, active = goal - (n * rate) @ p, rate > 0
+        left = max(abs(gap) / goal)
+        plain = gap / (n[:, None] * p).sum(axis=0)
+        scaled = np.linalg.solve((p[active] * n[active, None]).T @ p[active], gap)
+        rate, before = np.maximum(0, rate + p @ (plain if left > 0.9 * before else scaled)), left
+    assert np.allclose((n * rate) @ p, goal)
     order = lambda a, b: sorted(zip(a, b))
     assert np.allclose(order(got.n_tokens, got.r), order(n, rate))
 

@@ -5,12 +5,13 @@ bounded sample of labelled documents: the ``vocabulary`` letter runs (and marks
 themselves, or are full of symbols or capitals) that tell the domains apart best.  Only words that are there count, so that a short text stays near the prior.  Every document then gets posterior probabilities of the domains, so it
 belongs to several domains softly.  Rates r >= 0 are fitted by projected gradient least squares:
 
-    minimise  sum_k (sum_d n_d r_d p_dk - T_k)^2 / (2 S_k)  +  decay / 2 * sum_d n_d (r_d - b)^2,   r_d >= 0
+    minimise  sum_k (sum_d n_d r_d p_dk - T_k)^2,   r_d >= 0,   from r_d = ``fraction``
 
-with n_d the tokens of document d, p_dk its posteriors, T_k the target tokens of domain k (its weight
-times ``fraction`` of all tokens), S_k the tokens there are, and b = ``fraction``.  The gradient step of
-a document needs only its own posteriors and the K gaps T_k - sum, so a step is one aggregate over all
-documents of K sums (K numbers reach the driver) and a longer column expression; no document is
+with n_d the tokens of document d, p_dk its posteriors and T_k the target tokens of domain k (its weight
+times ``fraction`` of all tokens).  The gradient step of a document needs only its own posteriors and the K gaps
+T_k - sum, which are scaled by K x K sums of the posteriors; so a step is one aggregate over all documents of
+K (K + 2) sums that reach the driver, and one more vector in a literal array that a short fold applies.  Every
+``STEPS_PER_CUT`` steps the rates so far are written, so that a pass does not repeat all former ones.  No document is
 collected and nothing is shuffled but partial sums.  A rate above 1 means repeats; ``copies`` turns the
 rate into a whole number with the expectation of the rate, by a hash of the id.
 
@@ -23,8 +24,10 @@ count each; extra columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import math
+import warnings
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,9 +73,8 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], voc
     total = sum(size.values())
     if not total:
         return [(None, tuple(0.0 for _ in domains))]
-    drawn = {r.domain: r.n for r in rows.groupBy("domain").agg(F.sum(F.size("w")).alias("n")).collect()}
-    per = (rows.select("domain", F.explode("w").alias("word")).groupBy("word")
-           .agg(*(F.sum((F.col("domain") == d).cast("int")).alias(f"c{i}") for i, d in enumerate(domains))))
+    per = cut(rows.select("domain", F.explode("w").alias("word")).groupBy("word")
+              .agg(*(F.sum((F.col("domain") == d).cast("int")).alias(f"c{i}") for i, d in enumerate(domains))))
     rate = [(F.col(f"c{i}") + 0.5) / (size.get(d, 0) + 1.0) for i, d in enumerate(domains)]
     weight = [size.get(d, 0) / total for d in domains]
     mean = reduce(lambda a, b: a + b, (r * w for r, w in zip(rate, weight, strict=True)))
@@ -80,8 +82,9 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], voc
                                        for r, w in zip(rate, weight, strict=True)))
     best = per.select("word", gain.alias("g"), *(f"c{i}" for i in range(len(domains)))).orderBy(F.desc("g"), "word").limit(vocabulary).collect()
     base = [math.log((known.get(d, 0) + 0.5) / (sum(known.values()) + 0.5 * len(domains))) for d in domains]
-    return [(None, tuple(base))] + [
-        (r.word, tuple(math.log((r[f"c{i}"] + 0.5) / (drawn.get(d, 0) + 0.5 * vocabulary)) for i, d in enumerate(domains))) for r in best]
+    # chances among the vocabulary's words alone: then a word as common in every domain tells nothing, however long its documents are
+    drawn = [sum(r[f"c{i}"] for r in best) + 0.5 * len(best) for i in range(len(domains))]
+    return [(None, tuple(base))] + [(r.word, tuple(math.log((r[f"c{i}"] + 0.5) / n) for i, n in enumerate(drawn))) for r in best]
 
 
 def posteriors(docs: DataFrame, model: list[tuple], domains: list[str]) -> DataFrame:
@@ -104,30 +107,71 @@ def posteriors(docs: DataFrame, model: list[tuple], domains: list[str]) -> DataF
     return rows.select("doc_id", "n_tokens", F.array(*(F.col(f"e{i}") / total for i in range(len(domains)))).alias("p"))
 
 
-def fit_rates(members: DataFrame, targets: list[float], fraction: float = 0.5, decay: float = 1e-3, steps: int = 40,
-              tolerance: float = 1e-3) -> Column:
-    """The fitted rate as a column of ``members`` (n_tokens, p)."""
-    k = range(len(targets))
-    p = [F.col("p")[i] for i in k]
+#: Steps after which the rates so far are written, so that no pass repeats more than these.
+STEPS_PER_CUT = 8
 
-    def sums(rate: Column) -> list[float]:
-        row = members.agg(F.sum("n_tokens").cast("double"), *(F.sum(F.col("n_tokens") * rate * p[i]) for i in k)).first()
-        return [x or 0.0 for x in row]
 
-    total, *there = sums(F.lit(1.0))
-    rate = F.lit(float(fraction))
-    if not total:
+def _stepped(rate: Column, moves: list[list[float]]) -> Column:
+    """``rate`` after projected gradient steps along these combinations of the posteriors: one short fold, whatever their number."""
+    if not moves:
         return rate
-    goal = [t / sum(targets) * fraction * total for t in targets]
-    now = [fraction * s for s in there]
+    k = range(len(moves[0]))
+    step = lambda r, m: F.greatest(F.lit(0.0), reduce(lambda a, b: a + b, (F.get("p", F.lit(i)) * F.get(m, F.lit(i)) for i in k), r))
+    return F.aggregate(F.array(*(F.array(*map(F.lit, m)) for m in moves)), rate, step)
+
+
+def scaled_step(goal: np.ndarray, now: np.ndarray, there: np.ndarray, moments: np.ndarray, worse: bool) -> np.ndarray:
+    """The move lambda of the next step r <- max(0, r + p . lambda).
+
+    The gradient's gaps, scaled by the inverse of sum n p p' over the documents with a rate above 0: exact as long as no other
+    rate reaches 0.  After a step that did not help, the plain one, gap / tokens, which always descends.
+    """
+    gap = np.where(there > 1e-9 * there.sum(), goal - now, 0.0)
+    if worse:
+        return gap / np.maximum(there, 1e-9 * there.sum())
+    return np.linalg.lstsq(moments, gap, rcond=1e-9)[0]
+
+
+def fit_rates(members: DataFrame, targets: list[float], fraction: float = 0.5, steps: int = 60, tolerance: float = 1e-4) -> Column:
+    """The fitted rate as a column of ``members`` (n_tokens, p).
+
+    Stops when each domain's tokens are within ``tolerance`` of its target; a RuntimeWarning tells what is left after ``steps``.
+    Domains without tokens can't be raised and don't count.
+    """
+    k = len(targets)
+    state = members.select(F.col("n_tokens").cast("double").alias("n"), "p", F.lit(float(fraction)).alias("r"))
+
+    def sums(moves: list[list[float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens of each domain, those drawn, and the second moments of the posteriors where the rate is above 0."""
+        now = state.select("n", "p", _stepped(F.col("r"), moves).alias("r")).select("n", "r", *(F.col("p")[i].alias(f"p{i}") for i in range(k)))
+        active = F.when(F.col("r") > 0, F.col("n")).otherwise(0.0)
+        row = now.agg(*(F.sum(F.col("n") * F.col(f"p{i}")) for i in range(k)), *(F.sum(F.col("n") * F.col("r") * F.col(f"p{i}")) for i in range(k)),
+                      *(F.sum(active * F.col(f"p{i}") * F.col(f"p{j}")) for i in range(k) for j in range(k))).first()
+        row = np.array([x or 0.0 for x in row])
+        return row[:k], row[k:2 * k], row[2 * k:].reshape(k, k)
+
+    there, now, moments = sums([])
+    if not there.sum():
+        return F.lit(float(fraction))
+    goal = np.array(targets, float) / sum(targets) * fraction * there.sum()
+    off = lambda: max((abs(g - s) / g for g, s, t in zip(goal, now, there, strict=True) if g and t > 1e-9 * there.sum()), default=0.0)
+    done: list[list[float]] = []
+    recent: list[list[float]] = []
+    before = math.inf
     for _ in range(steps):
-        gap = [(g - s) / max(t, 1e-9 * total) for g, s, t in zip(goal, now, there, strict=True)]
-        if max(abs(g - s) / total for g, s in zip(goal, now, strict=True)) < tolerance * fraction / len(targets):
+        left = off()
+        if left < tolerance:
             break
-        step = reduce(lambda a, b: a + b, (p[i] * gap[i] for i in k))
-        rate = F.greatest(F.lit(0.0), rate * (1 - decay) + decay * fraction + step)
-        now = sums(rate)[1:]
-    return rate
+        move = scaled_step(goal, now, there, moments, left > 0.9 * before).tolist()
+        before = left
+        done.append(move)
+        recent.append(move)
+        _, now, moments = sums(recent)
+        if len(recent) == STEPS_PER_CUT:
+            state, recent = cut(state.select("n", "p", _stepped(F.col("r"), recent).alias("r"))), []
+    if tolerance and off() >= tolerance:
+        warnings.warn(f"token totals are up to {off():.2%} off their targets after {steps} steps", RuntimeWarning, stacklevel=2)
+    return _stepped(F.lit(float(fraction)), done)
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], fraction: float = 0.5, vocabulary: int = 120,
