@@ -8,11 +8,12 @@ least ``percent / 100``.  Documents with equal sets form one class; all work bel
   own hash.  Frequencies come from a Count-Min table of fixed size over every document, so that tokens
   of many documents come last; any order gives right results.  Of a set of n tokens, the prefix is the
   first ``n - ceil(0.85 n) + 1``: two linked sets share a token of their prefixes under every order.
-* *Candidates.*  Under the first order, classes meet on prefix tokens.  A token's classes are first
+* *Candidates.*  Under the first order, classes meet on prefix tokens.  Of tokens that the same classes have only the first of the
+  order stays, which is the first common one of any two classes that have it, so a shared passage is one token.  A token's classes are first
   linked sparsely, each to the class that has the token earliest in its order and to the next one.  Candidates must also be
   of compatible size, have enough tokens left from the common one on in both (linked sets have at their
-  first common token), and share a prefix token under each of the other orders; those that remain
-  are verified on their whole sets.
+  first common token), have parity bits that differ in no more places than linked sets may differ in tokens, and
+  share a prefix token under each of the other orders; those that remain are verified on their whole sets.
 * *The rest.*  Verified links give components.  Then each token whose classes lie in more than one
   component pairs its classes across components - classes outside the token's largest component
   against all others - and the same filters and verification follow.  So no pair of different
@@ -45,6 +46,8 @@ CHUNKS = 16
 #: Seeds of the token orders; candidates must share a prefix token under each.
 ORDERS = (0x51, 0xA7, 0x1F3)
 TOKEN = U64((1 << 56) - 1)
+#: Parity bits of a class: the power of two above this many a token, between these.
+BITS_PER_TOKEN, LEAST_BITS, MOST_BITS = 2, 256, 1 << 15
 
 
 def token_sets(text: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,12 +104,12 @@ def frequency_ranks(known: DataFrame, size: int) -> np.ndarray:
 
 
 def _profiles(size: int, percent: int, ranks: np.ndarray):
-    """doc_id, class, n and the prefixes under each order (prefixes once a class and task).
+    """doc_id, class, n, the parity bits of the set and the prefixes under each order (bits and prefixes once a class and task).
 
     Under the further orders they are only compared within a pair: 32 bits of each token do, as equal
     bits of other tokens can but let a pair pass to verification.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("class", pa.int64()), ("n", pa.int32()), ("p0", pa.list_(pa.int64()))]
+    schema = pa.schema([("doc_id", pa.int64()), ("class", pa.int64()), ("n", pa.int32()), ("bits", pa.list_(pa.int64())), ("p0", pa.list_(pa.int64()))]
                        + [(f"p{i}", pa.list_(pa.int32())) for i in range(1, len(ORDERS))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,9 +132,24 @@ def _profiles(size: int, percent: int, ranks: np.ndarray):
                 lists.append(pa.ListArray.from_arrays(offsets, pa.array(
                     chosen.astype(np.uint32).view(np.int32) if lists else chosen.view(np.int64))))
             yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id").cast(pa.int64()), pa.array(kind), pa.array(n, pa.int32()), *lists], schema=schema)
+                [piece.column("doc_id").cast(pa.int64()), pa.array(kind), pa.array(n, pa.int32()), parities(token, first, new), *lists],
+                schema=schema)
 
-    return run, "doc_id long, class long, n int, p0 array<long>, " + ", ".join(f"p{i} array<int>" for i in range(1, len(ORDERS)))
+    return run, "doc_id long, class long, n int, bits array<long>, p0 array<long>, " + ", ".join(f"p{i} array<int>" for i in range(1, len(ORDERS)))
+
+
+def parities(token: np.ndarray, first: np.ndarray, wanted: np.ndarray) -> pa.Array:
+    """For each wanted row a list of words: bit i tells whether an odd number of its tokens hash to i."""
+    place, out = mix(token ^ U64(0xB175)), []
+    for r in range(len(first) - 1):
+        own = place[first[r]:first[r + 1]]
+        if not wanted[r]:
+            out.append(None)
+            continue
+        width = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_PER_TOKEN * len(own) - 1).bit_length()))
+        odd = np.bincount((own % U64(width)).astype(np.int64), minlength=width) & 1
+        out.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+    return pa.array(out, pa.list_(pa.int64()))
 
 
 def class_keys(token: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -196,9 +214,16 @@ def similar_classes(docs: DataFrame, size: int = 4, percent: int = 85, key: str
     profile = cut(known.mapInArrow(run, kind))
     members = profile.select("doc_id", "class", F.col("n").alias("n_shingles"))
     w = Window.partitionBy("token")
-    shared = cut(profile.where("size(p0) > 0").select(F.posexplode("p0").alias("pos", "token"), "class", "n")
-                 .repartition("token").dropDuplicates(["token", "class"])
-                 .withColumn("many", F.count("*").over(w)).where("many > 1").drop("many"))
+    held = lambda seed: F.bit_xor(F.xxhash64("class", F.lit(seed))).over(w)
+    at = F.col("n").cast("long") * (1 << 32) + F.col("pos")  # one column of both: what is written stays small
+    told = cut(profile.where("size(p0) > 0").select(F.posexplode("p0").alias("pos", "token"), "class", "n")
+               .repartition("token").dropDuplicates(["token", "class"])
+               .select("token", "class", at.alias("at"), F.count("*").over(w).alias("many"), held(1).alias("held"), held(2).alias("held2"), F.sum("pos").over(w).alias("place"))
+               .where("many > 1").drop("many"))
+    # tokens of the same classes tell the same: of each passage's, only the first of the order stays
+    firsts = told.groupBy("held", "held2").agg(F.min(F.struct("place", "token")).alias("first")).select(F.col("first.token").alias("token"))
+    shared = cut(told.join(firsts, "token", "left_semi").select(
+        "token", "class", F.col("at").bitwiseAND((1 << 32) - 1).cast("int").alias("pos"), F.shiftright("at", 32).cast("int").alias("n")))
     # the hub has the token earliest: few of its tokens are rarer, so it is the source of its copies, if any is
     sparse = (shared.withColumn("hub", F.min(F.struct("pos", "class", "n")).over(w))
               .withColumn("next", F.lead(F.struct("pos", "class", "n")).over(w.orderBy("pos", "class"))))
@@ -210,8 +235,14 @@ def similar_classes(docs: DataFrame, size: int = 4, percent: int = 85, key: str
 
     def verified(pairs: DataFrame) -> DataFrame:
         classes = lambda of: of.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-        others = (profile.where("size(p0) > 0").join(bounded(classes(pairs)), "class", "left_semi")
-                  .dropDuplicates(["class"]).select("class", *orders))
+        once = lambda of, *kept: (profile.where("size(p0) > 0").join(bounded(classes(of)), "class", "left_semi")
+                                  .dropDuplicates(["class"]).select("class", *kept))
+        marks = once(pairs, "n", "bits")
+        mark = lambda s: marks.toDF(s, f"{s}n", f"{s}bits")
+        apart = F.aggregate(F.zip_with("abits", "bbits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+        near = (F.size("abits") != F.size("bbits")) | (apart * (100 + percent) <= (F.col("an") + F.col("bn")) * (100 - percent))
+        pairs = cut(pairs.join(mark("a"), "a").join(mark("b"), "b").where(near).select("a", "b"))
+        others = once(pairs, *orders)
         side = lambda s: others.toDF(s, *(f"{s}{p}" for p in orders))
         left = cut(pairs.join(side("a"), "a").join(side("b"), "b")
                    .where(" AND ".join(f"arrays_overlap(a{p}, b{p})" for p in orders)).select("a", "b"))
@@ -248,3 +279,27 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 85, key: str
     return (full.join(least, "component").select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id")
             .union(members.where("n_shingles = 0")
                    .select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))))
+
+
+def first_of_each(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each group the document with the least id stays.
+
+    Rows without an id stay.  Rows with the same id are judged by their texts like others; of linked ones the least by a hash of
+    the text stays, of those with one text the least by all columns as JSON.  No column may be named own, again, or first.
+    """
+    known = docs.where(F.col(key).isNotNull())
+    repeated = cut(known.groupBy(F.col(key).alias("id")).agg(F.count("*").alias("n")).where("n > 1").select("id"))
+    rest = docs.where(F.col(key).isNull())
+    if repeated.isEmpty():
+        groups = near_duplicates(docs, size, percent, key, text)
+        first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("first")).distinct()
+        return known.join(first, F.col(key) == F.col("first"), "left_semi").union(rest)
+    rows = (known.join(repeated.withColumn("again", F.lit(True)), F.col(key) == F.col("id"), "left").drop("id")
+            .withColumn("own", F.when(F.col("again"), F.xxhash64(key, text)).otherwise(F.col(key).cast("long"))))
+    groups = near_duplicates(rows, size, percent, "own", text).select(F.col("doc_id").alias("own"), "component_id").distinct()
+    first = (groups.join(rows.select("own", key).distinct(), "own").groupBy("component_id")
+             .agg(F.min(F.struct(key, "own")).alias("first")).select(F.col("first.own").alias("own")))
+    kept = rows.join(first, "own", "left_semi")
+    whole = F.struct(*docs.columns)
+    one = kept.where("again").groupBy("own").agg(F.min_by(whole, F.to_json(whole)).alias("r")).select("r.*")
+    return kept.where("again IS NULL").select(*docs.columns).union(one).union(rest)
