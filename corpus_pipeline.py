@@ -10,65 +10,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.llm import secret_forest, simhash_windows, soft_mixing, subword_language
-from tillroll.llm.ngram_join import near_duplicates
+from tillroll.llm.ngram_join import first_of_each
 from tillroll.llm.tables import cut, read
 
 
-def _numbered(docs: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
-    """The rows with columns c0, c1, ... so that names can't clash with an operator's own."""
+def _numbered(docs: DataFrame) -> tuple[DataFrame, tuple[str, ...], dict[str, str]]:
+    """The rows with columns c0, c1, ..., these names, and each column's (the first of a name).
+
+    Then no name can clash with an operator's own, differ in case only, or need quotes.
+    """
     names = tuple(f"c{i}" for i in range(len(docs.columns)))
-    return docs.toDF(*names), names
+    return docs.toDF(*names), names, dict(reversed(list(zip(docs.columns, names, strict=True))))
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: documents that it rejects go (no letters, or no language likelier than not)."""
-    model = subword_language.fit(docs)
-    rows, names = _numbered(docs)
-    out = subword_language.identify(rows, model, text=names[docs.columns.index("text")], keep=names)
+    rows, names, at = _numbered(docs)
+    model = subword_language.fit(rows, key=at["doc_id"], text=at["text"], label=at["lang"])
+    out = subword_language.identify(rows, model, text=at["text"], keep=names)
     return out.where("NOT rejected").select(*names).toDF(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2 on shingles of five words at 0.8: the document with the least id of each group stays.
-
-    Rows without an id stay.  Rows with the same id are judged by their texts like others; of linked ones the least by a hash of
-    the text stays, of those with one text the least by the other columns.
-    """
-    repeated = cut(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
-    if repeated.isEmpty():
-        groups = near_duplicates(docs, size=5, percent=80)
-        first = groups.where("doc_id = component_id").select("doc_id").distinct()
-        return docs.join(first, "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id IS NULL"))
-    rows, names = _numbered(docs)
-    key, text = names[docs.columns.index("doc_id")], names[docs.columns.index("text")]
-    rows = (rows.where(F.col(key).isNotNull()).join(repeated.select(F.col("doc_id").alias(key), F.lit(True).alias("again")), key, "left")
-            .withColumn("own", F.when(F.col("again"), F.xxhash64(key, text)).otherwise(F.col(key).cast("long"))))
-    groups = near_duplicates(rows, size=5, percent=80, key="own", text=text).select(F.col("doc_id").alias("own"), "component_id").distinct()
-    first = (groups.join(rows.select("own", key).distinct(), "own").groupBy("component_id")
-             .agg(F.min(F.struct(key, "own")).alias("first")).select(F.col("first.own").alias("own")))
-    kept = rows.join(first, "own", "left_semi")
-    one = kept.where("again").groupBy("own").agg(F.min(F.struct(*names)).alias("r")).select("r.*")
-    out = kept.where("again IS NULL").select(*names).union(one.select(*names)).toDF(*docs.columns)
-    return out.union(docs.where("doc_id IS NULL"))
+    """Operator 2 on shingles of five words at 0.8: the document with the least id of each group stays (see ``first_of_each``)."""
+    rows, names, at = _numbered(docs)
+    return first_of_each(rows, size=5, percent=80, key=at["doc_id"], text=at["text"]).select(*names).toDF(*docs.columns)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: documents that hold a benchmark item or a near copy of one go."""
-    found = simhash_windows.contaminated(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    rows, names, at = _numbered(docs)
+    found = simhash_windows.contaminated(rows, read(spark, sf_dir, "benchmark"), key=at["doc_id"], text=at["text"])
+    gone = found.select(F.col("doc_id").alias("gone")).distinct()
+    return rows.join(gone, F.col(at["doc_id"]) == F.col("gone"), "left_anti").toDF(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: secrets are replaced in the text, and n_chars follows; every document stays."""
     forest = secret_forest.train(secret_forest.labelled_findings())
-    rows, names = _numbered(docs)
-    text = docs.columns.index("text")
-    out = secret_forest.scan(rows, forest, text=names[text], keep=names)
-    columns = {names[text]: F.col("redacted")}
-    if "n_chars" in docs.columns:
-        at = docs.columns.index("n_chars")
+    rows, names, at = _numbered(docs)
+    out = secret_forest.scan(rows, forest, text=at["text"], keep=names)
+    columns = {at["text"]: F.col("redacted")}
+    if n_chars := at.get("n_chars"):
         changed = F.size("findings") > 0
-        columns[names[at]] = F.when(changed, F.length("redacted")).otherwise(F.col(names[at])).cast(docs.schema[at].dataType)
+        columns[n_chars] = F.when(changed, F.length("redacted")).otherwise(F.col(n_chars)).cast(rows.schema[n_chars].dataType)
     return out.select(*(columns.get(n, F.col(n)).alias(n) for n in names)).toDF(*docs.columns)
 
 
