@@ -216,14 +216,15 @@ def similar_classes(docs: DataFrame, size: int = 4, percent: int = 85, key: str
     w = Window.partitionBy("token")
     held = lambda seed: F.bit_xor(F.xxhash64("class", F.lit(seed))).over(w)
     at = F.col("n").cast("long") * (1 << 32) + F.col("pos")  # one column of both: what is written stays small
-    told = cut(profile.where("size(p0) > 0").select(F.posexplode("p0").alias("pos", "token"), "class", "n")
-               .repartition("token").dropDuplicates(["token", "class"])
-               .select("token", "class", at.alias("at"), F.count("*").over(w).alias("many"), held(1).alias("held"), held(2).alias("held2"), F.sum("pos").over(w).alias("place"))
+    position = F.col("at").bitwiseAND((1 << 32) - 1)
+    told = cut(profile.where("size(p0) > 0").select(F.posexplode("p0").alias("pos", "token"), "class", at.alias("at"))
+               .select("token", "class", "at").repartition("token").dropDuplicates(["token", "class"])
+               .select("token", "class", "at", F.count("*").over(w).alias("many"), held(1).alias("held"), held(2).alias("held2"), F.sum(position).over(w).alias("place"))
                .where("many > 1").drop("many"))
     # tokens of the same classes tell the same: of each passage's, only the first of the order stays
     firsts = told.groupBy("held", "held2").agg(F.min(F.struct("place", "token")).alias("first")).select(F.col("first.token").alias("token"))
     shared = cut(told.join(firsts, "token", "left_semi").select(
-        "token", "class", F.col("at").bitwiseAND((1 << 32) - 1).cast("int").alias("pos"), F.shiftright("at", 32).cast("int").alias("n")))
+        "token", "class", position.cast("int").alias("pos"), F.shiftright("at", 32).cast("int").alias("n")))
     # the hub has the token earliest: few of its tokens are rarer, so it is the source of its copies, if any is
     sparse = (shared.withColumn("hub", F.min(F.struct("pos", "class", "n")).over(w))
               .withColumn("next", F.lead(F.struct("pos", "class", "n")).over(w.orderBy("pos", "class"))))
@@ -259,10 +260,12 @@ def similar_classes(docs: DataFrame, size: int = 4, percent: int = 85, key: str
     sizes = placed.groupBy("token", "component").agg(F.count("*").alias("c"))
     largest = (sizes.groupBy("token").agg(F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("parts"))
                .where("parts > 1").select("token", F.col("top.component").alias("main")))
-    apart = cut(placed.join(largest, "token"))
+    # the two tokens before it in the class's order: classes with one of them in common met there already
+    order = Window.partitionBy("class").orderBy("pos")
+    apart = cut(placed.join(largest, "token").withColumn("q1", F.lag("token").over(order)).withColumn("q2", F.lag("token", 2).over(order)))
     x, y = apart.where("component <> main").alias("x"), apart.alias("y")
     across = cut(x.join(y, F.expr("x.token = y.token AND x.component <> y.component AND (y.component = y.main OR x.class < y.class) AND "
-                                   + _compatible(percent, "x.", "y.")))
+                                   "NOT coalesce(x.q1 = y.q1 OR x.q1 = y.q2 OR x.q2 = y.q1 OR x.q2 = y.q2, false) AND " + _compatible(percent, "x.", "y.")))
                  .select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
                  .join(pairs, ["a", "b"], "left_anti"))
     return members, links.union(verified(across))
