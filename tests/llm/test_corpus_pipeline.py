@@ -55,3 +55,14 @@ def test_stages_on_an_empty_table(spark):
     for _, stage in cp.STAGES:
         docs_out = stage(spark, docs, SF)
         assert docs_out.count() == 0
+
+
+def test_stages_with_odd_column_names(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    docs = docs.union(docs.limit(3)).withColumn("a.b", F.lit(1)).withColumn("m", F.create_map(F.lit("k"), "doc_id"))
+    docs = docs.toDF(*docs.columns).select("*", F.lit("other").alias("Text"), F.lit(0).alias("DOC_ID"))
+    columns = docs.columns
+    for name, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == columns and docs.count() > 0, name
+    assert cp.STAGES[-1][1](spark, docs, SF).count() > 0
