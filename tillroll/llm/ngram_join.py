@@ -256,13 +256,13 @@ def similar_classes(docs: DataFrame, size: int = 4, percent: int = 85, key: str
 
     links = verified(pairs)
     near = bounded(components(links).withColumnRenamed("node", "class"))
-    placed = shared.join(near, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    sizes = placed.groupBy("token", "component").agg(F.count("*").alias("c"))
-    largest = (sizes.groupBy("token").agg(F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("parts"))
-               .where("parts > 1").select("token", F.col("top.component").alias("main")))
     # the two tokens before it in the class's order: classes with one of them in common met there already
     order = Window.partitionBy("class").orderBy("pos")
-    apart = cut(placed.join(largest, "token").withColumn("q1", F.lag("token").over(order)).withColumn("q2", F.lag("token", 2).over(order)))
+    placed = (shared.withColumn("q1", F.lag("token").over(order)).withColumn("q2", F.lag("token", 2).over(order))
+              .join(near, "class", "left").withColumn("component", F.coalesce("component", "class")))
+    # one shuffle by token serves the largest component and both sides of the join
+    apart = (placed.withColumn("c", F.count("*").over(Window.partitionBy("token", "component")))
+             .withColumn("main", F.max(F.struct("c", "component")).over(w)["component"]))
     x, y = apart.where("component <> main").alias("x"), apart.alias("y")
     across = cut(x.join(y, F.expr("x.token = y.token AND x.component <> y.component AND (y.component = y.main OR x.class < y.class) AND "
                                    "NOT coalesce(x.q1 = y.q1 OR x.q1 = y.q2 OR x.q2 = y.q1 OR x.q2 = y.q2, false) AND " + _compatible(percent, "x.", "y.")))
