@@ -47,7 +47,7 @@ CHUNKS = 16
 ORDERS = (0x51, 0xA7, 0x1F3)
 TOKEN = U64((1 << 56) - 1)
 #: Parity bits of a class: the power of two above this many a token, between these.
-BITS_PER_TOKEN, LEAST_BITS, MOST_BITS = 2, 256, 1 << 15
+BITS_PER_TOKEN, LEAST_BITS, MOST_BITS = 1, 128, 1 << 15
 
 
 def token_sets(text: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
