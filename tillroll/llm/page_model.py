@@ -14,7 +14,7 @@ blocks are joined in page order by a newline; text on either side of an inner bl
 Scripts, styles, comments, templates and form fields hold no text.
 
 Defined results: null or empty html, and pages without content, give an empty text; unclosed tags
-end where HTML ends them or at the end of the page; extra columns are ignored; rows with null
+end where HTML ends them or at the end of the page; a ``<`` with no ``>`` behind it is text, and pages take linear time; extra columns are ignored; rows with null
 ids are extracted all the same; an empty table gives no rows.  Nothing is cut off.
 """
 
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 
 from .words import slices
 
-_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
 _DECLARATION = re.compile(r"<[!?/][^>]*>")
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|data-content)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -69,6 +69,8 @@ class Page:
 
     def _parse(self, source: str) -> None:
         stack, link, at, end, last = [0], False, 0, len(source), -1
+        places: dict[str, list[int]] = {}  # where each tag stands in the stack
+        final = source.rfind(">")  # no tag begins behind it
         while at < end:
             lt = source.find("<", at)
             if lt != at:
@@ -81,9 +83,9 @@ class Page:
                 stop = source.find("-->", lt + 4)
                 at = end if stop < 0 else stop + 3
                 continue
-            m = _TAG.match(source, lt) or _LOOSE.match(source, lt)
+            m = (_TAG.match(source, lt) or _LOOSE.match(source, lt)) if lt < final else None
             if m is None:
-                m = _DECLARATION.match(source, lt)
+                m = _DECLARATION.match(source, lt) if lt < final else None
                 if m is None:
                     self._text(stack[-1], "<", link, last)
                     last, at = stack[-1], lt + 1
@@ -104,19 +106,18 @@ class Page:
             elif tag in INLINE or tag in VOID:
                 continue
             elif closing:
-                names = [self.tags[i] for i in stack]
-                if tag in names[1:]:
-                    del stack[len(names) - 1 - names[::-1].index(tag):]
+                if places.get(tag):
+                    self._close(stack, places, places[tag][-1])
                     link = False
                 last = -1
             else:
                 link, last = False, -1
                 if tag in CLOSES_P:
-                    self._pop(stack, ("p",), ())
+                    self._pop(stack, places, ("p",), ())
                 if tag in SAME:
-                    self._pop(stack, SAME[tag], SCOPE.get(tag, ()))
+                    self._pop(stack, places, SAME[tag], SCOPE.get(tag, ()))
                 if len(tag) == 2 and tag[0] == "h" and self.tags[stack[-1]] in ("h1", "h2", "h3", "h4", "h5", "h6"):
-                    stack.pop()
+                    self._close(stack, places, len(stack) - 1)
                 words, label = [], self.labels[stack[-1]]
                 for a in _ATTRIBUTE.finditer(m.group(3)) if m.group(3) else ():
                     value = a.group(2) or a.group(3) or a.group(4) or ""
@@ -132,17 +133,23 @@ class Page:
                 self.own.append(0)
                 self.linked.append(0)
                 if not m.group(3).endswith("/"):
+                    places.setdefault(tag, []).append(len(stack))
                     stack.append(len(self.tags) - 1)
 
-    def _pop(self, stack: list[int], which: tuple, scope: tuple) -> None:
-        """Close the innermost open element of ``which``, unless one of ``scope`` is nearer."""
-        for depth in range(len(stack) - 1, 0, -1):
-            tag = self.tags[stack[depth]]
-            if tag in which:
-                del stack[depth:]
-                return
-            if tag in scope or (not scope and tag not in ("p", "li", "dt", "dd", "head")):
-                return
+    def _close(self, stack: list[int], places: dict[str, list[int]], depth: int) -> None:
+        for node in stack[depth:]:
+            places[self.tags[node]].pop()
+        del stack[depth:]
+
+    def _pop(self, stack: list[int], places: dict[str, list[int]], which: tuple, scope: tuple) -> None:
+        """Close the innermost open element of ``which``, unless one of ``scope`` is nearer (without a scope, unless any but
+        paragraphs and items is)."""
+        nearest = lambda tags: max((places[t][-1] for t in tags if places.get(t)), default=0)
+        depth = nearest(which)
+        if not depth or depth < nearest(scope):
+            return
+        if scope or all(self.tags[i] in ("p", "li", "dt", "dd", "head") for i in stack[:depth:-1]):
+            self._close(stack, places, depth)
 
     def _text(self, node: int, piece: str, link: bool, last: int) -> None:
         if last == node and self.runs:
