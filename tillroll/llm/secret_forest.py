@@ -69,7 +69,8 @@ def _assigned(text: str) -> list[tuple[int, int]]:
             out.append(quoted.span(1 if quoted.group(1) else 2))
         elif value := _VALUE.match(text, at, stop):
             start, end = value.span(1)
-            while end > start and (text[end - 1] in ",;.\"'`" or text[end - 1] in _OPEN and _OPEN[text[end - 1]] not in text[start:end]):
+            unopened = {close for close, opening in _OPEN.items() if opening not in value.group(1)}  # trimming takes no opening one
+            while end > start and (text[end - 1] in ",;.\"'`" or text[end - 1] in unopened):
                 end -= 1
             out.append((start, end))
     return [(a, b) for a, b in out if a < b]
