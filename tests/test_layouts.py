@@ -6,6 +6,7 @@ import pytest
 from conftest import rows
 
 from tillroll.operators import reports as R
+from tillroll.sources import layouts
 from tillroll.sources.layouts import range_of, save_bucketed, save_ranged
 from tillroll.sources.starmap import load_star
 
@@ -116,3 +117,17 @@ def test_empty_tables_can_be_saved(spark, star):
     for save in (save_ranged, save_bucketed):
         saved = save(none)
         assert rows(R.invoice_items(saved, ids_of(spark, [1]))) == [] and rows(R.revenue_by_country(saved)) == []
+
+
+def test_tasks_of_a_partitioned_write_are_small(spark, star, monkeypatch, tmp_path):
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key, None)
+    files = lambda t: len(t.invoice_line.inputFiles())
+    star.invoice_line.repartition(8).write.parquet(f"{tmp_path}/lines")  # what one map task sends isn't split
+    star = star.with_tables(invoice_line=spark.read.parquet(f"{tmp_path}/lines"))
+    large = save_ranged(star, ranges=1)
+    monkeypatch.setattr(layouts, "PIECE", "20k")
+    small = save_ranged(star, ranges=1)
+    assert files(large) < files(small) and spark.conf.get(key, None) == before
+    for name in layouts.FACTS:
+        assert sorted(rows(small.table(name)), key=str) == sorted(rows(large.table(name)), key=str)

@@ -12,6 +12,8 @@ The tables belong to a database of their own in the checkpoint folder, which all
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +25,8 @@ from tillroll.sources.schema import SCHEMAS, RetailTables
 FACTS = ("invoice", "invoice_line", "payment")
 #: Ranges of ids (directories) that a ranged table gets about.
 RANGES = 64
+#: Shuffled bytes that a task of a partitioned write gets about: it sorts its rows by directory, in memory.
+PIECE = "16m"
 
 
 def new_database(spark: SparkSession) -> str:
@@ -42,9 +46,23 @@ def _width(table: DataFrame, key: str, ranges: int) -> int:
     return 1 if low is None else max(1, -(-(high - low + 1) // ranges))
 
 
+@contextmanager
+def _pieces(spark: SparkSession, size: str) -> Iterator[None]:
+    """The size of the parts that ``rebalance`` makes, for the writes inside."""
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def _partitioned(table: DataFrame, by: str, name: str) -> None:
-    """``rebalance`` brings a partition's rows together but splits a large one over several tasks."""
-    table.hint("rebalance", by).write.partitionBy(by).format("parquet").saveAsTable(name)
+    """``rebalance`` brings a partition's rows together but splits a large one over several tasks; their number grows
+    with the table, so that none has to spill what it sorts."""
+    with _pieces(table.sparkSession, PIECE):
+        table.hint("rebalance", by).write.partitionBy(by).format("parquet").saveAsTable(name)
 
 
 def save_ranged(t: RetailTables, ranges: int = RANGES, width: int | None = None) -> RetailTables:
