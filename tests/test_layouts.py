@@ -119,6 +119,17 @@ def test_empty_tables_can_be_saved(spark, star):
         assert rows(R.invoice_items(saved, ids_of(spark, [1]))) == [] and rows(R.revenue_by_country(saved)) == []
 
 
+def test_buckets_grow_with_the_rows(spark, star, monkeypatch):
+    count = lambda t: int(next(r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {t.database}.invoice_line").collect()
+                               if r.col_name == "Num Buckets"))
+    assert count(save_bucketed(star)) == layouts.BUCKETS
+    monkeypatch.setattr(layouts, "BUCKET_ROWS", 100)
+    saved = save_bucketed(star)
+    lines = star.invoice_line.count()
+    assert count(saved) == -(-lines // 100) > layouts.BUCKETS and saved.invoice_line.count() == lines
+    assert sorted(rows(R.partial_refunds(saved))) == sorted(rows(R.partial_refunds(star)))
+
+
 def test_tasks_of_a_partitioned_write_are_small(spark, star, monkeypatch, tmp_path):
     key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
     before = spark.conf.get(key, None)

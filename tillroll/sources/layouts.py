@@ -27,6 +27,8 @@ FACTS = ("invoice", "invoice_line", "payment")
 RANGES = 64
 #: Shuffled bytes that a task of a partitioned write gets about: it sorts its rows by directory, in memory.
 PIECE = "16m"
+#: Buckets that a bucketed table gets at least and at most, and the rows that one holds about.
+BUCKETS, MOST_BUCKETS, BUCKET_ROWS = 32, 65536, 1 << 19
 
 
 def new_database(spark: SparkSession) -> str:
@@ -78,10 +80,20 @@ def save_ranged(t: RetailTables, ranges: int = RANGES, width: int | None = None)
     return replace(t, **saved, invoice_core=None, range_width=width, database=database)
 
 
-def save_bucketed(t: RetailTables, buckets: int = 32) -> RetailTables:
+def _buckets(t: RetailTables) -> int:
+    """Buckets for these tables, as a bucket is sorted by one task when it is written and again in each join.
+
+    Payments aren't counted: some sources have to derive them, and an invoice has about as many as lines.
+    """
+    rows = max(t.invoices().count(), t.invoice_line.count())
+    return min(MOST_BUCKETS, max(BUCKETS, -(-rows // BUCKET_ROWS)))
+
+
+def save_bucketed(t: RetailTables, buckets: int | None = None) -> RetailTables:
     """The facts bucketed and sorted by ``invoice_id``; one invoice of most lines fills one bucket but no shuffle."""
     spark = t.country.sparkSession
     database = new_database(spark)
+    buckets = buckets or _buckets(t)
     saved = {}
     for name in FACTS:
         (t.table(name).select(*SCHEMAS[name].fieldNames()).repartition(buckets, "invoice_id")
