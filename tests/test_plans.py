@@ -89,3 +89,17 @@ def test_rejects_need_no_job_to_be_built(spark):
     for name in ("place_orders_rejected", "record_refunds_rejected"):
         text = plan(queries()[name](spark, SF_DIR))
         assert "Scan ExistingRDD" not in text and "RDDScan" not in text, name
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables too large to broadcast
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_cascade_counts_without_sorting_its_tables(spark, no_broadcast):
+    text = plan(queries()["cascade_delete_removed"](spark, SF_DIR))
+    assert "SortMergeJoin [invoice_id" not in text and "SortMergeJoin [l_orderkey" not in text
+    assert text.count("ShuffledHashJoin") >= 3
