@@ -99,6 +99,12 @@ def no_broadcast(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_requested_invoices_are_hashed(spark, no_broadcast):
+    """Neither lines nor payments are sorted, and one aggregate sums up both."""
+    text = plan(queries()["invoice_balance"](spark, SF_DIR))
+    assert "ShuffledHashJoin" in text and "SortMergeJoin" not in text and "Sort [" not in text
+
+
 def test_a_cascade_counts_without_sorting_its_tables(spark, no_broadcast):
     text = plan(queries()["cascade_delete_removed"](spark, SF_DIR))
     assert "SortMergeJoin [invoice_id" not in text and "SortMergeJoin [l_orderkey" not in text

@@ -374,16 +374,17 @@ def invoice_payments(t: RetailTables, ids: DataFrame) -> DataFrame:
 
 def invoice_balance(t: RetailTables, ids: DataFrame) -> DataFrame:
     """Billed and paid so far per requested invoice, each 0 when absent."""
-    zero = F.lit(0).cast("decimal(38,2)")
+    zero, none = F.lit(0).cast("decimal(38,2)"), F.lit(None).cast("decimal(12,2)")
     wanted, on = _wanted(t, ids)
+    if t.range_width is None:
+        wanted = wanted.hint("shuffle_hash")  # a task holds its share of the ids and neither sorts lines nor payments
     # only the requested invoices' lines and payments are aggregated
-    billed = (t.invoice_line.join(wanted, on, "left_semi").groupBy("invoice_id")
-              .agg(money_sum("line_total").alias("billed")))
-    paid = (t.payment.join(wanted, on, "left_semi").groupBy("invoice_id")
-            .agg(money_sum("amount").alias("paid")))
+    lines = t.invoice_line.join(wanted, on, "left_semi").select("invoice_id", F.col("line_total").alias("billed"), none.alias("paid"))
+    payments = t.payment.join(wanted, on, "left_semi").select("invoice_id", none.alias("billed"), F.col("amount").alias("paid"))
     # a missing id is asked for as well, and has neither lines nor payments
-    return (ids.select("invoice_id").distinct()
-            .join(billed, "invoice_id", "left").join(paid, "invoice_id", "left")
+    asked = ids.select("invoice_id", none.alias("billed"), none.alias("paid"))
+    return (asked.unionByName(lines).unionByName(payments).groupBy("invoice_id")
+            .agg(money_sum("billed").alias("billed"), money_sum("paid").alias("paid"))
             .select("invoice_id", F.coalesce("billed", zero).alias("billed"),
                     F.coalesce("paid", zero).alias("paid")))
 
