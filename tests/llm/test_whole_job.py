@@ -131,3 +131,36 @@ def test_near_copies_of_one_id_go_only_where_texts_link(spark):
     for n in (1, 4):
         got = corpus_pipeline.near_copies(spark, table.repartition(n), "").collect()
         assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_automata_of_frequent_words_are_bounded(monkeypatch):
+    """Few words in many passages: the phrases of a shard don't go into one automaton."""
+    import pyarrow as pa
+    rng = np.random.default_rng(5)
+    docs = [" ".join(f"w{n}" for n in rng.integers(0, 40, 18)).encode() for _ in range(60)]
+    part = pa.RecordBatch.from_arrays([pa.array(docs, pa.binary()), pa.array([1] * 60, pa.int64()), pa.array([2] * 60, pa.int64())],
+                                      names=["passage", "least", "most"])
+    group = pa.table({"shard": [0], "passages": pa.array([repeated_phrases._compressed(part)], pa.binary())})
+    sizes, locate = [], repeated_phrases._locate
+    monkeypatch.setattr(repeated_phrases, "_locate", lambda some, *a: (sizes.append(len(some)), locate(some, *a)))
+    run = repeated_phrases._automaton(13, 5)
+    whole = sorted(map(str, run(group).to_pylist()))
+    assert sizes == [60] and len(whole) == 60
+    monkeypatch.setattr(repeated_phrases, "AUTOMATON_WORDS", 200)
+    sizes.clear()
+    assert sorted(map(str, run(group).to_pylist())) == whole and len(sizes) > 5 and sum(sizes) == 60
+
+
+def test_no_task_of_repeated_phrases_holds_two_python_workers(spark):
+    """Workers stay for a minute: two a task would double what idle ones hold of an executor's memory."""
+    docs = spark.createDataFrame([(1, "a b"), (2, None), (None, "c d")], "doc_id long, text string")
+    got = repeated_phrases.remove_repeated(docs)
+    depth, chained = {}, []
+    for line in got._jdf.queryExecution().executedPlan().toString().splitlines():
+        level = len(line) - len(line.lstrip(" :+-*"))
+        depth = {k: v for k, v in depth.items() if k < level}
+        if any(n in line for n in ("MapInArrow", "FlatMapGroupsInArrow")):
+            chained.append(any("InArrow" in depth[k] and not any("Exchange" in depth[j] for j in depth if j > k) for k in depth))
+        depth[level] = line
+    assert len(chained) > 3 and not any(chained)
+    assert sorted(((r.doc_id or 0), r.n_words, r.kept_text) for r in got.collect()) == [(0, 2, "c d"), (1, 2, "a b"), (2, 0, "")]

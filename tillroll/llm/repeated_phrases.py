@@ -41,9 +41,9 @@ from .tables import cut, texts
 from .words import Words, grams, pack, packed, slices, unpack, unpacked, zipped
 
 #: Occurrences that a task gathers before it sends them.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 #: Documents that a shard stands for; shards grow with the input.
-DOCS_PER_SHARD = 4096
+DOCS_PER_SHARD = 2048
 
 
 def _occurrences(words: Words, window: int, gram: int):
@@ -78,10 +78,18 @@ def _sketch(shards: int, window: int, gram: int):
                         ("row_keys", pa.binary()), ("places", pa.binary())])
 
     def flush(parts, task):
-        anchor, doc, own, place = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        def column(i):  # its pieces are let go before the next one is put together
+            out = np.concatenate(parts[i])
+            parts[i].clear()
+            return out
+
+        anchor, doc = column(0), column(1)
         order = np.lexsort((doc, anchor))
-        anchor, doc, own, place = anchor[order], doc[order], own[order], place[order]
-        keys = lambda i: pack(own[i]) if own[i].any() else b""
+        anchor, doc = anchor[order], doc[order]
+        own = column(2)[order] if any(p.any() for p in parts[2]) else None
+        place = column(3)[order]
+        del order
+        keys = lambda i: pack(own[i]) if own is not None and own[i].any() else b""
         head = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
         group = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(anchor))))
         last = np.append(head[1:], len(anchor)) - 1
@@ -105,19 +113,21 @@ def _sketch(shards: int, window: int, gram: int):
             [pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held, flushed = [], 0, 0
-        for piece in slices(batches, "text"):
+        parts, held, flushed = ([], [], [], []), 0, 0
+        for piece in slices(batches, "text", 1 << 20):
             found = _occurrences(Words(piece.column("text")), window, gram)
             if found is None:
                 continue
             rows, start, count, anchor = found
             ids = piece.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             own = piece.column("row_key").to_numpy(zero_copy_only=False).astype(np.int64)
-            parts.append((anchor, ids[rows], own[rows], start.astype(np.int64) << 4 | count))
+            keys = own[rows] if own.any() else np.broadcast_to(np.int64(0), len(rows))  # almost always none: takes no memory
+            for part, values in zip(parts, (anchor, ids[rows], keys, start.astype(np.int64) << 4 | count), strict=True):
+                part.append(values)
             held += len(rows)
             if held >= FLUSH:
                 yield flush(parts, flushed)
-                parts, held, flushed = [], 0, flushed + 1
+                parts, held, flushed = ([], [], [], []), 0, flushed + 1
         if held:
             yield flush(parts, flushed)
 
@@ -166,7 +176,7 @@ def _passages(window: int, gram: int, shards: int, dictionary: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, int], list] = {}
-        for piece in unpacked(batches):
+        for piece in unpacked(batches, 1 << 18):
             words = Words(piece.column("text"))
             places = piece.column("places")
             row = np.repeat(np.arange(piece.num_rows), places.value_lengths().to_numpy(zero_copy_only=False))
@@ -193,7 +203,7 @@ def _passages(window: int, gram: int, shards: int, dictionary: bool):
                     have[1] = d
                 elif d > have[2]:
                     have[2] = d
-            if len(seen) >= FLUSH // 8:
+            if len(seen) >= FLUSH // 10:
                 yield batch(seen)
                 seen = {}
         if dictionary and seen:
@@ -241,13 +251,16 @@ def _least_gram(hashes, at, count, window, gram):
 #: children up one by one, so that a small alphabet is fast.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 VOCABULARY = len(ALPHABET) ** 2
+#: Words of the passages that an automaton is made of, about: it has a node for each letter that they don't share.
+AUTOMATON_WORDS = 1 << 16
 
 
 def _automaton(window: int, gram: int):
     """Step 3: first documents of the windows of each passage of one shard.
 
     The passages of a minimizer stay together; minimizers are put into one automaton until it has
-    ``VOCABULARY`` words (one minimizer alone may have more, its words just get longer numbers).
+    ``VOCABULARY`` words (one minimizer alone may have more, its words just get longer numbers) or is
+    made of ``AUTOMATON_WORDS``, so that frequent words don't make it as large as the shard.
     """
 
     def run(group: pa.Table) -> pa.Table:
@@ -261,17 +274,20 @@ def _automaton(window: int, gram: int):
         at, length = spoken.first[:-1], spoken.count
         anchor = _least_gram(spoken.hash, at, length - window + 1, window, gram).view(np.int64)
         key = _span_hash(spoken.hash, at, length).view(np.int64)
-        passages = sorted(((a, k, low, high, t.split(b" ")) for a, k, (t, (low, high)) in zip(
+        passages = sorted(((a, k, low, high, t) for a, k, (t, (low, high)) in zip(
             anchor.tolist(), key.tolist(), merged.items(), strict=True)), key=lambda p: p[0])
+        del merged, spoken
         found: tuple[list, list, list] = ([], [], [])
-        start, number = 0, {}
-        for i, (a, _, _, _, words) in enumerate(passages):
-            if len(number) > VOCABULARY * 3 // 4 and passages[i - 1][0] != a:
-                _locate(passages[start:i], number, window, found)
-                start, number = i, {}
-            for w in words:
-                number.setdefault(w, len(number))
-        _locate(passages[start:], number, window, found)
+        some, number, total = [], {}, 0
+        for a, k, low, high, text in passages:
+            if some and some[-1][0] != a and (len(number) > VOCABULARY * 3 // 4 or total > AUTOMATON_WORDS):
+                _locate(some, number, window, found)
+                some, number, total = [], {}, 0
+            words = text.split(b" ")
+            words = [number.setdefault(w, len(number)) for w in words]
+            some.append((a, k, low, high, np.array(words, np.int32)))
+            total += len(words)
+        _locate(some, number, window, found)
         return pa.table({"anchor": pa.array(found[0], pa.int64()), "passage_key": pa.array(found[1], pa.int64()),
                          "firsts": pa.array(found[2], pa.list_(pa.int64()))})
 
@@ -283,8 +299,8 @@ def _locate(passages: list[tuple], number: dict[bytes, int], window: int, found:
     width, base = 2, len(ALPHABET)
     while base ** width < len(number):
         width += 1
-    letters = {w: "".join(ALPHABET[n // base ** j % base] for j in range(width)) for w, n in number.items()}
-    coded = ["".join([letters[w] for w in words]) for *_, words in passages]
+    letters = ["".join(ALPHABET[n // base ** j % base] for j in range(width)) for n in range(len(number))]
+    coded = ["".join([letters[n] for n in words.tolist()]) for *_, words in passages]
     span, extent = window * width, {}
     for text, (_, _, low, high, _) in zip(coded, passages, strict=True):
         for i in range(0, len(text) - span + 1, width):
@@ -319,7 +335,7 @@ def _cover(window: int):
                         ("kept_text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in unpacked(batches):
+        for piece in unpacked(batches, 1 << 18):
             words = Words(piece.column("text"), hashes=False)
             total = len(words.start)
             edge = np.zeros(total + 1, dtype=np.int32)
@@ -355,6 +371,15 @@ def _cover(window: int):
     return run, "doc_id long, n_words long, n_removed long, kept_text string"
 
 
+def _unhit(cover):
+    """``cover`` for rows without windows; one Python worker a task does both steps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return cover(piece.append_column("hits", pa.nulls(piece.num_rows, pa.list_(pa.int64()))) for piece in packed(batches))
+
+    return run
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows with compressed texts."""
     for piece in slices(batches, "text"):
@@ -397,6 +422,5 @@ def remove_repeated(docs: DataFrame, window: int = 13, gram: int = 5, key: str =
             .where(F.array_min("firsts") < F.col("doc_id")).select("doc_id", "row_key", bits.alias("hit"))
             .groupBy("doc_id", "row_key").agg(F.collect_list("hit").alias("hits")))
     run, kind = _cover(window)
-    rest = (rows.where("doc_id IS NULL OR text IS NULL").mapInArrow(packed, "doc_id long, text binary")
-            .withColumn("hits", F.lit(None).cast("array<long>")))
-    return small.join(hits, ["doc_id", "row_key"], "left").select("doc_id", "text", "hits").union(rest).mapInArrow(run, kind)
+    rest = rows.where("doc_id IS NULL OR text IS NULL").mapInArrow(_unhit(run), kind)
+    return small.join(hits, ["doc_id", "row_key"], "left").select("doc_id", "text", "hits").mapInArrow(run, kind).union(rest)
